@@ -1,10 +1,10 @@
-"""Session settings the jobs rely on, and lineage cutting."""
+"""Session settings the jobs rely on."""
 
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Rows may hold a whole file (2 MiB), so Arrow batches are kept short.
 CONF = {
@@ -32,19 +32,14 @@ def local_session(cpus: int | str = 8, app: str = "codelake", **extra: str) -> S
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
-
-    Only where neither the session nor the context names one (tests) is a folder made here.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="codelake-checkpoint-"))
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """A folder every executor sees: the one the cluster names, or in local mode one made here."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="codelake-")
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -41,8 +41,9 @@ def score_parts(matches: DataFrame, stats: DataFrame) -> DataFrame:
     A phrase's document frequency is counted over its own matches.
     """
     holding = matches.groupBy("query_id", "phrase_id").agg(F.count("*").alias("holding"))
-    n_chunks, avgdl = (stats.select(c).scalar() for c in ("n_chunks", "avgdl"))
-    idf = inverse_document_frequency(n_chunks, F.col("holding"))
+    # One subquery for both values; asked for twice, it runs once.
+    corpus = stats.select(F.struct("n_chunks", "avgdl")).scalar()
+    idf = inverse_document_frequency(corpus["n_chunks"], F.col("holding"))
     weights = holding.select("query_id", "phrase_id", idf.alias("idf"))
-    part = bm25_part(F.col("tf"), F.col("dl"), avgdl, F.col("idf"))
+    part = bm25_part(F.col("tf"), F.col("dl"), corpus["avgdl"], F.col("idf"))
     return matches.join(weights, ["query_id", "phrase_id"]).withColumn("part", part)

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelake.functions.text import like_substring
-from codelake.operators.matching import expand_prefixes, match_phrases, phrase_rows
+from codelake.operators.matching import match_phrases, phrase_rows
 from codelake.operators.queries import side_limit, text_phrases
 from codelake.operators.ranking import score_parts, top_rows
 from codelake.schemas import CHUNK_KEY
@@ -56,21 +56,36 @@ def score_chunks(parts: DataFrame, phrases: DataFrame) -> DataFrame:
     )
 
 
-def prune_postings(postings: DataFrame, rows: DataFrame, most: int = 1000) -> DataFrame:
-    """Name the wanted terms to the Parquet scan, which skips row groups by them.
+def few_terms(rows: DataFrame, most: int = 1000) -> list | None:
+    """The distinct (term, prefix) of phrase rows, or None if there are more than ``most``."""
+    found = rows.select("term", "prefix").distinct().limit(most + 1).collect()
+    return found if len(found) <= most else None
 
-    Only for a few terms, counted first; the join that follows is what decides the result.
-    """
-    terms = [r.term for r in rows.select("term").distinct().limit(most + 1).collect()]
-    return postings.filter(F.col("term").isin(terms)) if 0 < len(terms) <= most else postings
+
+def only_terms(postings: DataFrame, wanted: list) -> DataFrame:
+    """Name a few terms to the scan, which skips row groups by them; the join later decides."""
+    term = F.col("term")
+    test = term.isin([r.term for r in wanted if not r.prefix])
+    for r in wanted:
+        if r.prefix:
+            test = test | F.startswith(term, F.lit(r.term))
+    return postings.filter(test)
 
 
 def score_text(index, parsed: DataFrame) -> DataFrame:
-    """Every chunk that answers the text of a request, scored, before filters and limits."""
+    """Every chunk that answers the text of a request, scored, before filters and limits.
+
+    Requests usually ask for few terms. Then these are named to the postings' scan, and the terms
+    are searched for prefixes only if there are any.
+    """
     phrases = text_phrases(parsed)
-    rows = expand_prefixes(phrase_rows(phrases, index.stem), index.vocabulary)
-    postings = prune_postings(index.postings, rows) if index.stored else index.postings
-    return score_chunks(score_parts(match_phrases(postings, rows), index.stats), phrases)
+    rows = phrase_rows(phrases, index.stem)
+    wanted = few_terms(rows)
+    postings = index.postings if wanted is None else only_terms(index.postings, wanted)
+    some_prefix = wanted is None or any(r.prefix for r in wanted)
+    vocabulary = postings.select("term") if some_prefix else None
+    matches = match_phrases(postings, rows, vocabulary)
+    return score_chunks(score_parts(matches, index.stats), phrases)
 
 
 def passes_filters(language: Column, path: Column) -> Column:

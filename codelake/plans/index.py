@@ -38,10 +38,6 @@ class Index:
     def stats(self) -> DataFrame:
         return corpus_stats(self.chunks)
 
-    @property
-    def vocabulary(self) -> DataFrame:
-        return self.postings.select("term")
-
     def placed(self, rows: DataFrame, path: str = "path") -> tuple[DataFrame, list[str]]:
         """Rows with the bucket of their file, where there is one: joins on it skip other buckets."""
         if not self.stored:

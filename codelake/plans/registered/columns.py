@@ -115,7 +115,7 @@ def mtime_size(spark, sf):
     raw = C.table(spark, sf, "events").select(
         F.lit("events").alias("repo"),
         F.concat("event_id", F.lit(".json")).alias("path"),
-        F.floor(F.col("ts").cast("double")).alias("mtime"),
+        F.floor(F.to_timestamp("ts").cast("double")).alias("mtime"),
         F.octet_length("props").alias("size_bytes"),
         F.col("props").cast("binary").alias("content"),
     )
@@ -158,7 +158,7 @@ def numbered_lines(spark, sf):
     return file_lines(C.document_files(spark, sf)).select("path", "line_no", "line")
 
 
-AT = "hash_line AS (SELECT *, length(content) % 40 + 1 AS at FROM lines)"
+AT = "hash_line AS (SELECT *, length(content) % 40 + 1 AS spot FROM lines)"
 
 
 def _at():
@@ -168,8 +168,8 @@ def _at():
 @query(
     "chk_04_snippet",
     CHUNKS
-    + f""", {AT} SELECT path, array_to_string(ls[greatest(1, at - 2):least(len(ls), at + 2)], chr(10)) AS snippet,
-         greatest(1, at - 2) AS start_line, least(len(ls), at + 2) AS end_line FROM hash_line""",
+    + f""", {AT} SELECT path, array_to_string(ls[greatest(1, spot - 2):least(len(ls), spot + 2)], chr(10)) AS snippet,
+         greatest(1, spot - 2) AS start_line, least(len(ls), spot + 2) AS end_line FROM hash_line""",
 )
 def snippet(spark, sf):
     found = L.snippet_around(F.col("content"), _at(), 2)
@@ -180,7 +180,7 @@ def snippet(spark, sf):
     "chk_05_formatted_snippet",
     CHUNKS
     + f""", {AT} SELECT path, coalesce(array_to_string(list_transform(ls[1:5], lambda l, i:
-           printf('%s %4d | %s', CASE WHEN at - 1 + i = at + 1 THEN '>' ELSE ' ' END, at - 1 + i, l)), chr(10)), '') AS formatted
+           printf('%s %4d | %s', CASE WHEN spot - 1 + i = spot + 1 THEN '>' ELSE ' ' END, spot - 1 + i, l)), chr(10)), '') AS formatted
        FROM hash_line""",
 )
 def formatted_snippet(spark, sf):
@@ -191,7 +191,7 @@ def formatted_snippet(spark, sf):
 
 @query(
     "chk_06_line_at",
-    CHUNKS + f", {AT} SELECT path, CASE WHEN at - 3 >= 1 THEN coalesce(ls[at - 3], '') ELSE '' END AS line FROM hash_line",
+    CHUNKS + f", {AT} SELECT path, CASE WHEN spot - 3 >= 1 THEN coalesce(ls[spot - 3], '') ELSE '' END AS line FROM hash_line",
 )
 def line_at(spark, sf):
     return C.document_files(spark, sf).select("path", L.line_at(F.col("content"), _at() - 3).alias("line"))
@@ -205,8 +205,8 @@ def head_snippet(spark, sf):
 @query(
     "chk_08_context",
     CHUNKS
-    + f""", {AT} SELECT path, array_to_string(list_transform(ls[greatest(1, at - 3):least(len(ls), at + 3)],
-           lambda l, i: printf('%4d | %s', greatest(1, at - 3) + i - 1, rtrim(l))), chr(10)) AS context
+    + f""", {AT} SELECT path, array_to_string(list_transform(ls[greatest(1, spot - 3):least(len(ls), spot + 3)],
+           lambda l, i: printf('%4d | %s', greatest(1, spot - 3) + i - 1, rtrim(l))), chr(10)) AS context
        FROM hash_line""",
 )
 def context(spark, sf):
@@ -218,8 +218,8 @@ def context(spark, sf):
     "jon_07_lines_in_range",
     CHUNKS
     + f""", {AT}, n AS (SELECT path, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS line FROM lines)
-       SELECT path, at AS line_number, line_no, line FROM hash_line JOIN n USING (path)
-       WHERE line_no BETWEEN at - 2 AND at + 2""",
+       SELECT path, spot AS line_number, line_no, line FROM hash_line JOIN n USING (path)
+       WHERE line_no BETWEEN spot - 2 AND spot + 2""",
 )
 def lines_in_range(spark, sf):
     files = C.document_files(spark, sf)

@@ -50,7 +50,7 @@ def ordered(spark, sf):
 
 @query(
     "agg_05_metadata_map",
-    """SELECT string_agg(n_name || '=' || n_regionkey, ',' ORDER BY n_name) AS entries, count(*) AS n FROM nation""",
+    """SELECT string_agg(n_name || '=' || n_regionkey, ',' ORDER BY n_name || '=' || n_regionkey) AS entries, count(*) AS n FROM nation""",
 )
 def metadata(spark, sf):
     found = metadata_map(_metadata(spark, sf))

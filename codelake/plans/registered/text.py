@@ -107,7 +107,7 @@ def without(spark, sf):
     BASE
     + """, pairs(query_id, a, b) AS (VALUES (0, 'of', 'the'), (1, 'the', 'the'), (2, 'en', 'la')),
   hit AS (SELECT query_id, p.path, p.chunk_id,
-            len(list_filter(p.positions, x -> list_contains(q.positions, x + 1))) AS tf
+            len(list_filter(p.positions, lambda x: list_contains(q.positions, x + 1))) AS tf
           FROM pairs JOIN post p ON p.term = a JOIN post q
             ON q.term = b AND q.path = p.path AND q.chunk_id = p.chunk_id)
   SELECT * FROM hit WHERE tf > 0""",
@@ -145,10 +145,10 @@ def prefix(spark, sf):
            FROM pairs JOIN post p ON p.term = a JOIN post q
              ON q.term = b AND q.path = p.path AND q.chunk_id = p.chunk_id),
   near AS (SELECT query_id, 0 AS phrase_id, path, chunk_id,
-             len(list_filter(xs, x -> len(list_filter(ys, y -> abs(x - y) - 1 <= 3)) > 0)) AS tf FROM both_
+             len(list_filter(xs, lambda x: len(list_filter(ys, lambda y: abs(x - y) - 1 <= 3)) > 0)) AS tf FROM both_
            UNION ALL
            SELECT query_id, 1, path, chunk_id,
-             len(list_filter(ys, y -> len(list_filter(xs, x -> abs(x - y) - 1 <= 3)) > 0)) FROM both_)
+             len(list_filter(ys, lambda y: len(list_filter(xs, lambda x: abs(x - y) - 1 <= 3)) > 0)) FROM both_)
   SELECT * FROM near WHERE tf > 0""",
 )
 def near(spark, sf):
@@ -182,12 +182,12 @@ REQUEST = """req AS (
     '{n}', p_name), '{k}', p_partkey::VARCHAR) AS query FROM part),
 pairs AS (
   SELECT *, regexp_extract_all(query, '\\w+:[^\\s]+') AS ps,
-         list_transform(regexp_extract_all(query, '(\\w+):([^\\s]+)', 1), x -> lower(x)) AS ops,
+         list_transform(regexp_extract_all(query, '(\\w+):([^\\s]+)', 1), lambda x: lower(x)) AS ops,
          regexp_extract_all(query, '(\\w+):([^\\s]+)', 2) AS vals
   FROM req),
 parsed AS (
   SELECT query_id, query,
-         trim(regexp_replace(list_reduce(list_prepend(query, ps), (acc, p) -> replace(acc, p, '')), '\\s+', ' ', 'g')) AS text_query,
+         trim(regexp_replace(list_reduce(list_prepend(query, ps), lambda acc, p: replace(acc, p, '')), '\\s+', ' ', 'g')) AS text_query,
 """ + ",\n".join(
     f"         CASE WHEN list_contains(ops, '{op}') THEN "
     f"vals[len(ops) - list_position(list_reverse(ops), '{op}') + 1] END AS {op}_filter"

@@ -1,10 +1,11 @@
 """JavaScript and TypeScript symbols with Spark's own regular expressions, no Python.
 
 Each pattern is matched over the whole text once for the matches and once for the gaps before
-them; the two together give every match's position and line.
+them; the two together give every match's position and line. The expressions are written as SQL
+text: as many nested lambdas built call by call would take seconds to build.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelake.functions.text import BLANK, WORD
@@ -12,8 +13,8 @@ from codelake.settings import METHOD_WINDOW_CHARS
 
 _S = f"[{BLANK}]"
 _W = f"[{WORD}]"
-_Q = "['\"]"
-_MODULE = f"{_Q}([^'\"]+){_Q}"
+_Q = r"[\x27\x22]"
+_MODULE = rf"{_Q}([^\x27\x22]+){_Q}"
 
 # The patterns. (?md): ^ holds after every LF and only there.
 FUNCTION = rf"(?md)^{_S}*(?:export{_S}+)?(?:async{_S}+)?function{_S}+({_W}+){_S}*\((.*?)\)"
@@ -36,155 +37,116 @@ NOT_METHODS = ("constructor", "if", "for", "while", "switch", "catch")
 
 LANGUAGES = ("javascript", "typescript")
 
+_MATCHES = "array<struct<text:string,start:int,line:int>>"
 
-def _newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
+def _raw(regex: str) -> str:
+    return f"r'{regex}'"
 
-def regex_matches(text: Column, pattern: str) -> Column:
-    """Array of (text, start, line): each match, its 0-based offset, newlines before it."""
-    # \G: every match begins, with the gap before it, where the last one ended.
-    gapped = F.lit(rf"(?md)\G((?s:.*?))({pattern})")
-    pairs = F.zip_with(
-        F.regexp_extract_all(text, gapped, F.lit(2)),
-        F.regexp_extract_all(text, gapped, F.lit(1)),
-        lambda match, gap: F.struct(match.alias("text"), gap.alias("gap")),
-    )
-    empty = F.array().cast("array<struct<text:string,start:int,line:int>>")
-    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("line"), empty.alias("out"))
-
-    def step(state: Column, pair: Column) -> Column:
-        start = state["start"] + F.length(pair["gap"])
-        line = state["line"] + _newlines(pair["gap"])
-        match = F.struct(pair["text"].alias("text"), start.alias("start"), line.alias("line"))
-        return F.struct(
-            (start + F.length(pair["text"])).alias("start"),
-            (line + _newlines(pair["text"])).alias("line"),
-            F.concat(state["out"], F.array(match)).alias("out"),
-        )
-
-    return F.aggregate(pairs, zero, step)["out"]
-
-
-def _symbol(name: Column, kind: str, line: Column, signature: Column) -> Column:
-    return F.struct(
-        name.alias("name"),
-        F.lit(kind).alias("kind"),
-        line.cast("int").alias("start_line"),
-        line.cast("int").alias("end_line"),
-        signature.cast("string").alias("signature"),
-    )
 
+def _newlines(text: str) -> str:
+    return rf"(length({text}) - length(replace({text}, '\n', '')))"
 
-def _is_async(match: Column) -> Column:
-    return F.contains(match, F.lit("async"))
 
+def _group(text: str, regex: str, group: int) -> str:
+    return f"regexp_extract({text}, {_raw(regex)}, {group})"
 
-def _functions(matches: Column) -> Column:
-    def one(m: Column) -> Column:
-        name, params = (F.regexp_extract(m["text"], FUNCTION, g) for g in (1, 2))
-        lead = F.when(_is_async(m["text"]), "async function ").otherwise("function ")
-        signature = F.concat(lead, name, F.lit("("), params, F.lit(")"))
-        return _symbol(name, "function", m["line"] + 1, signature)
 
-    return F.transform(matches, one)
+def regex_matches(text: str, regex: str) -> str:
+    """SQL for an array of (text, start, line): each match, its 0-based offset, newlines before it."""
+    # \G: every match begins, with the gap before it, where the last one ended.
+    gapped = _raw(rf"(?md)\G((?s:.*?))({regex})")
+    return f"""aggregate(
+      zip_with(regexp_extract_all({text}, {gapped}, 2), regexp_extract_all({text}, {gapped}, 1),
+               (found, gap) -> named_struct('text', found, 'gap', gap)),
+      named_struct('start', 0, 'line', 0, 'out', CAST(array() AS {_MATCHES})),
+      (s, p) -> named_struct(
+        'start', s.start + length(p.gap) + length(p.text),
+        'line', s.line + {_newlines("p.gap")} + {_newlines("p.text")},
+        'out', concat(s.out, array(named_struct(
+          'text', p.text, 'start', s.start + length(p.gap), 'line', s.line + {_newlines("p.gap")})))),
+      s -> s.out)"""
+
+
+def _symbol(name: str, kind: str, line: str, signature: str) -> str:
+    return (
+        f"named_struct('name', {name}, 'kind', '{kind}', 'start_line', {line}, 'end_line', {line}, "
+        f"'signature', CAST({signature} AS string))"
+    )
 
 
-def _arrows(matches: Column) -> Column:
-    def one(m: Column) -> Column:
-        name, params = (F.regexp_extract(m["text"], ARROW, g) for g in (1, 2))
-        lead = F.when(_is_async(m["text"]), "async ").otherwise("const ")
-        signature = F.concat(lead, name, F.lit(" = ("), params, F.lit(") =>"))
-        return _symbol(name, "function", m["line"] + 1, signature)
+def _if_async(text: str, then: str, otherwise: str) -> str:
+    return f"IF(contains({text}, 'async'), '{then}', '{otherwise}')"
 
-    return F.transform(matches, one)
 
+def _functions(matches: str) -> str:
+    lead = _if_async("m.text", "async function ", "function ")
+    name, params = (_group("m.text", FUNCTION, g) for g in (1, 2))
+    signature = f"concat({lead}, {name}, '(', {params}, ')')"
+    return f"transform({matches}, m -> {_symbol(name, 'function', 'm.line + 1', signature)})"
 
-def _class_headers(content: Column, matches: Column) -> Column:
-    """Array of (name, base, line, body, body_line); the body is a window from the next brace on."""
 
-    def one(m: Column) -> Column:
-        after = m["start"] + F.length(m["text"]) + 1
-        brace = F.call_function("locate", F.lit("{"), content, after)
-        body = F.when(brace > 0, F.substring(content, brace, F.lit(METHOD_WINDOW_CHARS))).otherwise("")
-        skipped = F.substring(content, after, F.greatest(brace - after, F.lit(0)))
-        return F.struct(
-            F.regexp_extract(m["text"], CLASS, 1).alias("name"),
-            F.regexp_extract(m["text"], CLASS, 2).alias("base"),
-            m["line"].alias("line"),
-            body.alias("body"),
-            (m["line"] + _newlines(m["text"]) + _newlines(skipped)).alias("body_line"),
-        )
-
-    return F.transform(matches, one)
-
-
-def _classes(headers: Column) -> Column:
-    def methods(c: Column) -> Column:
-        def one(m: Column) -> Column:
-            name, params = (F.regexp_extract(m["text"], METHOD, g) for g in (1, 2))
-            lead = F.when(_is_async(m["text"]), "async ").otherwise("")
-            return _symbol(
-                F.concat(c["name"], F.lit("."), name),
-                "method",
-                c["body_line"] + m["line"] + 1,
-                F.concat(lead, name, F.lit("("), params, F.lit(")")),
-            )
-
-        found = F.filter(
-            regex_matches(c["body"], METHOD),
-            lambda m: ~F.regexp_extract(m["text"], METHOD, 1).isin(*NOT_METHODS),
-        )
-        return F.transform(found, one)
-
-    def one(c: Column) -> Column:
-        extends = F.when(c["base"] != "", F.concat(F.lit(" extends "), c["base"])).otherwise("")
-        header = _symbol(c["name"], "class", c["line"] + 1, F.concat(F.lit("class "), c["name"], extends))
-        return F.concat(F.array(header), methods(c))
-
-    return F.flatten(F.transform(headers, one))
-
-
-def _imports(matches: Column, pattern: str, module_group: int, namespace: bool) -> Column:
-    def one(m: Column) -> Column:
-        listed = F.regexp_extract(m["text"], pattern, 1)
-        module = F.regexp_extract(m["text"], pattern, module_group)
-        members = F.filter(
-            F.transform(
-                F.split(listed, ","), lambda n: F.regexp_replace(n, rf"^{_S}+|{_S}+\z", "")
-            ),
-            lambda n: n != "",
-        )
-        plain = F.array(module)
-        if namespace:
-            star = F.regexp_extract(m["text"], pattern, 3) != ""
-            plain = F.when(star, F.array(F.concat(module, F.lit(".*")))).otherwise(plain)
-        dotted = F.transform(members, lambda n: F.concat(module, F.lit("."), n))
-        names = F.when(listed != "", dotted).otherwise(plain)
-        return F.transform(names, lambda n: _symbol(n, "import", m["line"] + 1, F.lit(None)))
-
-    return F.flatten(F.transform(matches, one))
+def _arrows(matches: str) -> str:
+    lead = _if_async("m.text", "async ", "const ")
+    name, params = (_group("m.text", ARROW, g) for g in (1, 2))
+    signature = f"concat({lead}, {name}, ' = (', {params}, ') =>')"
+    return f"transform({matches}, m -> {_symbol(name, 'function', 'm.line + 1', signature)})"
+
+
+def _class_headers(content: str) -> str:
+    """Array of (name, base, line, body, body_line); the body is a window from the next brace on."""
+    after = "m.start + length(m.text) + 1"
+    brace = f"locate('{{', {content}, {after})"
+    skipped = f"substring({content}, {after}, greatest({brace} - ({after}), 0))"
+    return f"""transform({regex_matches(content, CLASS)}, m -> named_struct(
+      'name', {_group("m.text", CLASS, 1)}, 'base', {_group("m.text", CLASS, 2)}, 'line', m.line,
+      'body', IF({brace} > 0, substring({content}, {brace}, {METHOD_WINDOW_CHARS}), ''),
+      'body_line', m.line + {_newlines("m.text")} + {_newlines(skipped)}))"""
+
+
+def _classes(headers: str) -> str:
+    name, params = (_group("m.text", METHOD, g) for g in (1, 2))
+    signature = f"concat({_if_async('m.text', 'async ', '')}, {name}, '(', {params}, ')')"
+    method = _symbol(f"concat(c.name, '.', {name})", "method", "c.body_line + m.line + 1", signature)
+    words = ", ".join(f"'{w}'" for w in NOT_METHODS)
+    found = f"filter({regex_matches('c.body', METHOD)}, m -> {name} NOT IN ({words}))"
+    title = "concat('class ', c.name, IF(c.base <> '', concat(' extends ', c.base), ''))"
+    header = _symbol("c.name", "class", "c.line + 1", title)
+    return f"flatten(transform({headers}, c -> concat(array({header}), transform({found}, m -> {method}))))"
+
+
+def _imports(matches: str, regex: str, module_group: int, namespace_group: int | None) -> str:
+    listed, module = _group("m.text", regex, 1), _group("m.text", regex, module_group)
+    stripped = f"regexp_replace(n, {_raw(rf'^{_S}+|{_S}+\z')}, '')"
+    members = f"filter(transform(split({listed}, ','), n -> {stripped}), n -> n <> '')"
+    dotted = f"transform({members}, n -> concat({module}, '.', n))"
+    plain = f"array({module})"
+    if namespace_group is not None:
+        star = f"{_group('m.text', regex, namespace_group)} <> ''"
+        plain = f"IF({star}, array(concat({module}, '.*')), {plain})"
+    names = f"IF({listed} <> '', {dotted}, {plain})"
+    symbol = _symbol("n", "import", "m.line + 1", "NULL")
+    return f"flatten(transform({matches}, m -> transform({names}, n -> {symbol})))"
 
 
 def parse_javascript(files: DataFrame) -> DataFrame:
     """Symbol rows of the JavaScript and TypeScript files, in one pass without a shuffle."""
-    content = F.col("content")
-    source = files.filter(F.col("language").isin(*LANGUAGES)).select("repo", "path", "language", "content")
-    matched = source.select(
+    source = files.filter(F.col("language").isin(*LANGUAGES))
+    matched = source.selectExpr(
         "repo",
         "path",
         "language",
-        regex_matches(content, FUNCTION).alias("functions"),
-        regex_matches(content, ARROW).alias("arrows"),
-        _class_headers(content, regex_matches(content, CLASS)).alias("classes"),
-        regex_matches(content, IMPORT).alias("imports"),
-        regex_matches(content, REQUIRE).alias("requires"),
+        f"{regex_matches('content', FUNCTION)} AS functions",
+        f"{regex_matches('content', ARROW)} AS arrows",
+        f"{_class_headers('content')} AS classes",
+        f"{regex_matches('content', IMPORT)} AS imports",
+        f"{regex_matches('content', REQUIRE)} AS requires",
     )
-    symbols = F.concat(
-        _functions(F.col("functions")),
-        _arrows(F.col("arrows")),
-        _classes(F.col("classes")),
-        _imports(F.col("imports"), IMPORT, 4, namespace=True),
-        _imports(F.col("requires"), REQUIRE, 3, namespace=False),
+    parts = (
+        _functions("functions"),
+        _arrows("arrows"),
+        _classes("classes"),
+        _imports("imports", IMPORT, 4, namespace_group=3),
+        _imports("requires", REQUIRE, 3, namespace_group=None),
     )
-    return matched.select("repo", "path", "language", F.inline(symbols))
+    return matched.selectExpr("repo", "path", "language", f"inline(concat({', '.join(parts)}))")

@@ -59,17 +59,29 @@ def expand_prefixes(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return rows.filter("NOT prefix").unionByName(expanded.select(*rows.columns).distinct())
 
 
+def match_words(postings: DataFrame, rows: DataFrame) -> DataFrame:
+    """`match_phrases` for single words without a prefix: every posting is a match as it stands."""
+    hits = postings.join(rows, "term")
+    starts = F.when(F.col("initial"), F.array(F.lit(0))).otherwise(F.col("positions"))
+    first = F.get("positions", F.lit(0)) == 0
+    return hits.filter(~F.col("initial") | first).select(
+        *MATCH, F.when(F.col("initial"), 1).otherwise(F.col("tf")).alias("tf"), starts.alias("starts")
+    )
+
+
 def match_phrases(
     postings: DataFrame, rows: DataFrame, vocabulary: DataFrame | None = None
 ) -> DataFrame:
     """Where each phrase occurs. Give a vocabulary if any phrase ends in a prefix.
 
     Positions are shifted back by the word's place in the phrase; a phrase begins wherever all
-    its words agree. The groups are one phrase in one chunk.
+    its words agree. The groups are one phrase in one chunk. Single words need no grouping.
     """
+    single = (F.col("n_words") == 1) & ~F.col("prefix")
+    words, others = rows.filter(single), rows.filter(~single)
     if vocabulary is not None:
-        rows = expand_prefixes(rows, vocabulary)
-    hits = postings.join(rows, "term").select(
+        others = expand_prefixes(others, vocabulary)
+    hits = postings.join(others, "term").select(
         *MATCH,
         "initial",
         F.transform("positions", lambda p: p - F.col("offset")).alias("begins"),
@@ -79,11 +91,12 @@ def match_phrases(
     )
     starts = _agreed_by_all("begins", "n_words")
     kept = F.when(F.col("initial"), F.filter(starts, lambda s: s == 0)).otherwise(starts)
-    return (
+    grouped = (
         gathered.select(*MATCH, kept.alias("starts"))
         .filter(F.size("starts") > 0)
         .select(*MATCH, F.size("starts").alias("tf"), "starts")
     )
+    return match_words(postings, words).unionByName(grouped)
 
 
 def _agreed_by_all(begins: str, n_words: str) -> Column:

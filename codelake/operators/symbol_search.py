@@ -7,9 +7,11 @@ from codelake.functions.scoring import symbol_score
 from codelake.functions.text import ascii_lower, like_substring
 from codelake.operators.queries import side_limit
 from codelake.operators.ranking import top_rows
+from codelake.operators.small import localized
 from codelake.operators.text_search import passes_filters
 
 _GRAM = 3
+FEW_PATTERNS = 100
 
 # Which kinds a filter asks for, in the order they are answered.
 WANTED = (
@@ -61,13 +63,26 @@ def name_grams(name: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), *map(of_size, range(1, _GRAM + 1))))
 
 
+def only_names(symbols: DataFrame, patterns: list[dict]) -> DataFrame:
+    """Test a few patterns where the symbols lie; the join later says which request each is for."""
+    test = F.lit(False)
+    for kind, pattern in sorted({(r["wanted_kind"] or "", r["pattern"]) for r in patterns}):
+        named = like_substring(F.col("name"), F.lit(pattern))
+        test = test | ((F.col("kind") == kind) & named if kind else named)
+    return symbols.filter(test)
+
+
 def match_names(symbols: DataFrame, patterns: DataFrame) -> DataFrame:
     """Symbols whose name holds a pattern (LIKE rules), of the kind, language and path asked for.
 
     Joined by hash on one gram per pattern and then tested in full, instead of testing every
-    pattern on every symbol; a pattern has one gram, so no pair comes twice.
+    pattern on every symbol; a pattern has one gram, so no pair comes twice. A few patterns are
+    also named to the scan, so that only what matches one of them is taken apart into grams.
     """
-    grams = symbols.select("*", F.explode(name_grams(F.col("name"))).alias("gram"))
+    patterns, found = localized(patterns)
+    few = found is not None and len(found) <= FEW_PATTERNS
+    possible = only_names(symbols, found) if few else symbols
+    grams = possible.select("*", F.explode(name_grams(F.col("name"))).alias("gram"))
     kind = F.col("wanted_kind")
     return (
         grams.join(patterns, "gram")

@@ -4,9 +4,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelake.functions.text import like_substring
-from codelake.operators.matching import match_phrases, phrase_rows
+from codelake.operators.matching import match_phrases, match_words, phrase_rows
 from codelake.operators.queries import side_limit, text_phrases
 from codelake.operators.ranking import score_parts, top_rows
+from codelake.operators.small import localized
 from codelake.schemas import CHUNK_KEY
 from codelake.settings import SCORE_DIGITS
 
@@ -15,76 +16,60 @@ def score_chunks(parts: DataFrame, phrases: DataFrame) -> DataFrame:
     """(query_id, chunk key, language, score) of the chunks that satisfy a query's phrases.
 
     An alternative holds if all its required phrases are there and no exclusion is complete; the
-    score sums the required phrases of the alternatives that hold. Both arrays are as long as the
-    query has phrases.
+    score sums the required phrases of the alternatives that hold. All three groupings run on one
+    shuffle by query and chunk.
     """
-    asked = phrases.groupBy("query_id").agg(
-        F.collect_list(F.struct("alternative", "exclusion", "phrase_id")).alias("asked")
+    group = ["query_id", "alternative", "exclusion"]
+    sizes = phrases.groupBy(*group).agg(F.count("*").alias("wanted"))
+    placed = phrases.select(*group, "phrase_id").join(sizes, group)
+    chunk = ["query_id", *CHUNK_KEY, "language"]
+    complete = F.col("n") == F.col("wanted")
+    sums = (
+        parts.repartition("query_id", *CHUNK_KEY)
+        .join(placed, ["query_id", "phrase_id"])
+        .groupBy(*chunk, "alternative", "exclusion", "wanted")
+        .agg(F.sum("part").alias("part"), F.count("*").alias("n"))
     )
-    found = parts.groupBy("query_id", *CHUNK_KEY, "language").agg(
-        F.map_from_entries(F.collect_list(F.struct("phrase_id", "part"))).alias("found")
+    alternatives = sums.groupBy(*chunk, "alternative").agg(
+        F.max(F.when((F.col("exclusion") == 0) & complete, F.col("part"))).alias("part"),
+        F.max((F.col("exclusion") > 0) & complete).alias("excluded"),
     )
+    holding = alternatives.filter(F.col("part").isNotNull() & ~F.col("excluded"))
+    return holding.groupBy(*chunk).agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
 
-    def present(p: Column) -> Column:
-        return F.map_contains_key("found", p["phrase_id"])
-
-    def complete(alternative: Column, exclusion: Column) -> Column:
-        group = F.filter(
-            "asked",
-            lambda p: (p["alternative"] == alternative) & (p["exclusion"] == exclusion),
-        )
-        return (F.size(group) > 0) & F.forall(group, present)
-
-    def holds(p: Column) -> Column:
-        excluded = F.exists(
-            "asked",
-            lambda q: (q["alternative"] == p["alternative"])
-            & (q["exclusion"] > 0)
-            & complete(q["alternative"], q["exclusion"]),
-        )
-        return complete(p["alternative"], F.lit(0)) & ~excluded
-
-    counted = F.filter("asked", lambda p: (p["exclusion"] == 0) & present(p) & holds(p))
-    total = F.aggregate(
-        counted,
-        F.lit(0.0),
-        lambda acc, p: acc + F.try_element_at(F.col("found"), p["phrase_id"]),
-    )
-    scored = found.join(asked, "query_id").withColumn("counted", counted).filter(F.size("counted") > 0)
-    return scored.select(
-        "query_id", *CHUNK_KEY, "language", F.round(total, SCORE_DIGITS).alias("score")
-    )
-
-
-def few_terms(rows: DataFrame, most: int = 1000) -> list | None:
-    """The distinct (term, prefix) of phrase rows, or None if there are more than ``most``."""
-    found = rows.select("term", "prefix").distinct().limit(most + 1).collect()
-    return found if len(found) <= most else None
 
-
-def only_terms(postings: DataFrame, wanted: list) -> DataFrame:
+def only_terms(postings: DataFrame, rows: list[dict]) -> DataFrame:
     """Name a few terms to the scan, which skips row groups by them; the join later decides."""
     term = F.col("term")
-    test = term.isin([r.term for r in wanted if not r.prefix])
-    for r in wanted:
-        if r.prefix:
-            test = test | F.startswith(term, F.lit(r.term))
+    test = term.isin(sorted({r["term"] for r in rows if not r["prefix"]}))
+    for prefix in sorted({r["term"] for r in rows if r["prefix"]}):
+        test = test | F.startswith(term, F.lit(prefix))
     return postings.filter(test)
 
 
+def terms_for(postings: DataFrame, prefixes: list[dict] | None) -> DataFrame | None:
+    """The terms that prefixes may stand for, each once; nothing to look through without any."""
+    if prefixes == []:
+        return None
+    wanted = postings if prefixes is None else only_terms(postings, prefixes)
+    return wanted.select("term").distinct()
+
+
 def score_text(index, parsed: DataFrame) -> DataFrame:
     """Every chunk that answers the text of a request, scored, before filters and limits.
 
-    Requests usually ask for few terms. Then these are named to the postings' scan, and the terms
-    are searched for prefixes only if there are any.
+    Requests usually ask for few terms. Then these are named to the postings' scan, and phrases and
+    prefixes are looked for only if there are any.
     """
-    phrases = text_phrases(parsed)
-    rows = phrase_rows(phrases, index.stem)
-    wanted = few_terms(rows)
+    phrases, _ = localized(text_phrases(parsed))
+    rows, wanted = localized(phrase_rows(phrases, index.stem))
     postings = index.postings if wanted is None else only_terms(index.postings, wanted)
-    some_prefix = wanted is None or any(r.prefix for r in wanted)
-    vocabulary = postings.select("term") if some_prefix else None
-    matches = match_phrases(postings, rows, vocabulary)
+    only_words = wanted is not None and not any(r["prefix"] or r["n_words"] > 1 for r in wanted)
+    if only_words:
+        matches = match_words(postings, rows)
+    else:
+        prefixes = None if wanted is None else [r for r in wanted if r["prefix"]]
+        matches = match_phrases(postings, rows, terms_for(index.postings, prefixes))
     return score_chunks(score_parts(matches, index.stats), phrases)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from codelake.operators.chunks import chunk_files
 from codelake.plans.index import Index, index_from_files
 from codelake.operators.postings import build_postings
+from codelake.operators.small import local_rows
+from codelake.schemas import QUERIES
 
 CHUNK_LINES = 10  # the texts are short; at the usual size nearly every file is one chunk
 
@@ -176,7 +178,7 @@ REQUESTS = (
 
 def requests(spark: SparkSession, texts: tuple[str, ...] = REQUESTS, topk: int = 10, context: int = 0):
     rows = [(i, text, topk, context) for i, text in enumerate(texts)]
-    return spark.createDataFrame(rows, "query_id int, query string, topk int, context int")
+    return local_rows(spark, rows, QUERIES)
 
 
 # Shapes of requests; one is filled in per part, so parsing works on as many rows as there are parts.

@@ -10,6 +10,7 @@ from codelake.operators.chunks import chunk_files
 from codelake.operators.delta import changed_files, keep_untouched, plan_delta, run_counters
 from codelake.operators.enrich import enrich_files
 from codelake.operators.postings import build_postings, corpus_stats, with_lengths
+from codelake.operators.small import local_rows
 from codelake.operators.stats import index_stats, size_on_disk
 from codelake.operators.symbols import extract_symbols, parse_symbols
 from codelake.schemas import FILE_KEY, METADATA
@@ -145,7 +146,7 @@ def apply_delta(store: IndexStore, delta: DataFrame, chunk_lines: int = CHUNK_LI
 def stats(spark: SparkSession, directory: str) -> DataFrame:
     """One row of index statistics."""
     index = open_index(spark, directory)
-    metadata = spark.createDataFrame(list(index.metadata.items()), METADATA)
+    metadata = local_rows(spark, list(index.metadata.items()), METADATA)
     size = size_on_disk(index.files, index.chunks, index.symbols, index.postings)
     return index_stats(index.files, index.symbols, metadata, size)
 

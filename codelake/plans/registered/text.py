@@ -8,6 +8,7 @@ from codelake.operators import matching as M
 from codelake.operators.postings import build_postings, corpus_stats, vocabulary
 from codelake.operators.queries import parse_queries, valid_text
 from codelake.operators.ranking import bm25
+from codelake.operators.small import local_rows
 from codelake.plans import corpora as C
 from codelake.plans.registered.registry import DOCS, bm25_views, chunk_views, query
 
@@ -17,8 +18,8 @@ BASE = f"WITH {DOCS}, {chunk_views()}"
 def phrases(spark, *rows):
     """(query_id, phrase_id, text, prefix, initial) from (query_id, phrase_id, text[, prefix, initial])."""
     full = [(*r, *(False, False)[len(r) - 3:]) if len(r) < 5 else r for r in rows]
-    return spark.createDataFrame(
-        full, "query_id int, phrase_id int, text string, prefix boolean, initial boolean"
+    return local_rows(
+        spark, full, "query_id int, phrase_id int, text string, prefix boolean, initial boolean"
     )
 
 

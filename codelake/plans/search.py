@@ -8,6 +8,7 @@ from codelake.operators.results import merge_sides, symbol_rows, text_rows
 from codelake.operators.results import with_context as add_context
 from codelake.operators.symbol_search import top_symbols
 from codelake.operators.text_search import score_text, top_text
+from codelake.operators.small import localized
 from codelake.plans.index import Index
 from codelake.schemas import CHUNK_KEY, FILE_KEY
 
@@ -17,7 +18,7 @@ def search(index: Index, queries: DataFrame, prelimit: bool = True) -> DataFrame
 
     Text, symbol and mixed requests share one plan: each side answers the requests routed to it.
     """
-    parsed = parse_queries(accepted_requests(queries))
+    parsed, _ = localized(parse_queries(accepted_requests(queries)))
     by_text = parsed.filter(F.col("route").isin("text", "hybrid"))
     by_symbol = parsed.filter(F.col("route").isin("symbol", "hybrid"))
     hits, extra = index.placed(top_text(score_text(index, by_text), by_text))

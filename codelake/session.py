@@ -24,6 +24,8 @@ def local_session(cpus: int | str = 8, app: str = "codelake", **extra: str) -> S
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cpus))
+        # Small shuffles are still worth all cores of one machine.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in {**CONF, **extra}.items():
         builder = builder.config(key, value)

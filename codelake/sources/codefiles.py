@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from codelake.operators.small import schema_of
 from codelake.schemas import RAW_FILES
 from codelake.settings import (
     BINARY_PROBE_BYTES,
@@ -178,4 +179,4 @@ def read_repo(
     raw = with_content(spread, root).withColumn("repo", F.lit(repo))
     # A file that vanished or cannot be read counts as binary, like one with a NUL near its start.
     text = raw.filter(F.col("error").isNull() & ~is_binary(F.col("content"), BINARY_PROBE_BYTES))
-    return text.to(spark.createDataFrame([], RAW_FILES).schema)
+    return text.to(schema_of(RAW_FILES))

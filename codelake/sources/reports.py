@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelake.operators.small import local_rows
 from codelake.schemas import BENCHMARKS
 
 # The table's heading.
@@ -41,9 +42,8 @@ def _line(name: Column, mark: str = "") -> Column:
 def markdown_table(rows: DataFrame) -> DataFrame:
     """(part, place, line): heading, one line per result, and averages if there are several."""
     spark = rows.sparkSession
-    heading = spark.createDataFrame(
-        [("heading", str(i), line) for i, line in enumerate(HEADING)], "part string, place string, line string"
-    )
+    lines = [("heading", str(i), line) for i, line in enumerate(HEADING)]
+    heading = local_rows(spark, lines, "part string, place string, line string")
     body = rows.select(F.lit("row").alias("part"), F.col("repo_name").alias("place"), _line(F.col("repo_name")).alias("line"))
     means = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in NUMBERS]).filter("n > 1")
     total = means.select(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelake import schemas
+from codelake.operators.small import local_rows, schema_of
 
 TABLES = {
     "files": schemas.FILES,
@@ -67,20 +68,20 @@ class IndexStore:
         snapshot = snapshot or self.snapshot()
         path = f"{self.directory}/{name}"
         if not snapshot.versions or not self._exists(path):
-            return self.spark.createDataFrame([], TABLES[name] + ", bucket int")
+            return local_rows(self.spark, [], TABLES[name] + ", bucket int")
         every = self.spark.read.schema(TABLES[name] + ", bucket int, v bigint").parquet(path)
         current = F.create_map(*[F.lit(x) for pair in snapshot.versions.items() for x in pair])
         return every.filter(F.col("v") == F.try_element_at(current, F.col("bucket"))).drop("v")
 
     def write(self, name: str, rows: DataFrame, snapshot: Snapshot, version: int) -> None:
         """Write the new version of every bucket in ``rows``; big buckets are split into several files."""
-        columns = self.spark.createDataFrame([], TABLES[name]).columns
+        columns = schema_of(TABLES[name]).names
         placed = rows.select(
             *columns, bucket_of(snapshot.buckets).alias("bucket"), F.lit(version).alias("v")
         )
         (
             placed.hint("rebalance", F.col("bucket"))
-            .sortWithinPartitions("bucket", *SORTED_BY[name])
+            .sortWithinPartitions("bucket", "v", *SORTED_BY[name])
             .write.mode("append")
             .partitionBy("bucket", "v")
             .parquet(f"{self.directory}/{name}")
@@ -104,8 +105,8 @@ class IndexStore:
             {**previous.versions, **versions},
             {**previous.metadata, **metadata},
         )
-        row = [(following.n, following.buckets, following.versions, following.metadata)]
-        frame = self.spark.createDataFrame(row, _SNAPSHOT).coalesce(1)
+        maps = (list(following.versions.items()), list(following.metadata.items()))
+        frame = local_rows(self.spark, [(following.n, following.buckets, *maps)], _SNAPSHOT)
         frame.write.mode("append").parquet(f"{self.directory}/snapshots")
         return following
 

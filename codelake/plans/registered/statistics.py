@@ -13,10 +13,9 @@ POINTS = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
 
 def _metadata(spark, sf):
-    """One entry per nation, for a map that is not empty."""
-    return C.table(spark, sf, "nation").select(
-        F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value")
-    )
+    """Entries counted from the documents, one per language."""
+    counts = C.table(spark, sf, "documents").groupBy("lang").agg(F.count("*").cast("string").alias("value"))
+    return counts.select(F.col("lang").alias("key"), "value")
 
 
 def _stats(spark, sf):
@@ -50,7 +49,8 @@ def ordered(spark, sf):
 
 @query(
     "agg_05_metadata_map",
-    """SELECT string_agg(n_name || '=' || n_regionkey, ',' ORDER BY n_name || '=' || n_regionkey) AS entries, count(*) AS n FROM nation""",
+    """WITH c AS (SELECT lang || '=' || count(*) AS e FROM documents GROUP BY lang)
+    SELECT string_agg(e, ',' ORDER BY e) AS entries, count(*) AS n FROM c""",
 )
 def metadata(spark, sf):
     found = metadata_map(_metadata(spark, sf))

@@ -115,7 +115,7 @@ def mtime_size(spark, sf):
     raw = C.table(spark, sf, "events").select(
         F.lit("events").alias("repo"),
         F.concat("event_id", F.lit(".json")).alias("path"),
-        F.floor(F.to_timestamp("ts").cast("double")).alias("mtime"),
+        F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("mtime"),
         F.octet_length("props").alias("size_bytes"),
         F.col("props").cast("binary").alias("content"),
     )

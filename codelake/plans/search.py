@@ -13,17 +13,29 @@ from codelake.plans.index import Index
 from codelake.schemas import CHUNK_KEY, FILE_KEY
 
 
+# Up to this many hits, as many as the requests can give, are fetched before their chunks are read.
+MOST_HITS = 10_000
+
+
 def search(index: Index, queries: DataFrame, prelimit: bool = True) -> DataFrame:
     """Ranked results of the requests (query_id, query, topk, context) that are within bounds.
 
     Text, symbol and mixed requests share one plan: each side answers the requests routed to it.
+    If the requests are few, so are the hits: what they can add up to is checked first, then both
+    sides run at once and their hits become local rows, and chunks are read only from the buckets
+    that were hit. Larger request tables stay in one distributed plan.
     """
-    parsed, _ = localized(parse_queries(accepted_requests(queries)))
+    parsed, asked = localized(parse_queries(accepted_requests(queries)))
     by_text = parsed.filter(F.col("route").isin("text", "hybrid"))
     by_symbol = parsed.filter(F.col("route").isin("symbol", "hybrid"))
     hits, extra = index.placed(top_text(score_text(index, by_text), by_text))
-    texts = text_rows(hits, index.chunks, CHUNK_KEY + extra)
     symbols = symbol_rows(top_symbols(index.symbols, by_symbol, prelimit))
+    chunks = index.chunks
+    if asked is not None and sum(r["topk"] for r in asked) <= MOST_HITS:
+        hits, found = localized(hits, MOST_HITS)
+        symbols, _ = localized(symbols, MOST_HITS)
+        chunks = index.only_files(chunks, found)
+    texts = text_rows(hits, chunks, CHUNK_KEY + extra)
     return merge_sides(symbols, texts, parsed)
 
 

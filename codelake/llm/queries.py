@@ -3,7 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm import chat, quality, sharding
+import public_tokenizers
+
+from codelake.llm import chat, packing, quality, records, sharding
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES = {}
 ORACLES = {}
@@ -84,3 +88,15 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chat.digest(chat.expand(rows))
+
+
+@query("op1_best_fit_packing")
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, capacity=1024, end=2)
+
+
+@query("op10_binary_records")
+def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = records.write(table(spark, sf_dir, "documents"), VOCABULARY, end=2)
+    back = records.read(written, records.with_start(written.index))
+    return back.select("doc_id", "start", "n_tokens", "ids_crc32", "part", "offset")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from codelake.llm import chat, packing, quality, records, sharding
+from codelake.llm import chat, decontamination, packing, quality, records, sharding, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -100,3 +100,36 @@ def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = records.write(table(spark, sf_dir, "documents"), VOCABULARY, end=2)
     back = records.read(written, records.with_start(written.index))
     return back.select("doc_id", "start", "n_tokens", "ids_crc32", "part", "offset")
+
+
+@query("op6_warc")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"), least=0)
+    rows = warc.read(archives, with_data=False).filter("last")
+    # A revisit holds no payload; its header has length and digest.
+    full = F.col("record_type") == "response"
+    return rows.select(
+        "page_id",
+        F.when(full, F.col("bytes_so_far")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(full, F.col("digest_so_far")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+@query(
+    "op9_decontamination",
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s
+       FROM d WHERE len(ws) >= 5),
+bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s
+       FROM b WHERE len(ws) >= 5),
+n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, count(*)::INTEGER AS n_shared, any_value(n)::INTEGER AS n_shingles
+FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 10 * count(*) >= 8 * any_value(n)""",
+)
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shared", "n_shingles")

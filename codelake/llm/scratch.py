@@ -3,6 +3,7 @@
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codelake.session import shared_folder
 
@@ -18,3 +19,8 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     schema = frame.schema
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(schema).parquet(path)
+
+
+def small(frame: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table, marked for broadcast if it has at most so many rows; else Spark shuffles."""
+    return F.broadcast(frame) if frame.count() <= rows else frame

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from codelake.llm import chat, decontamination, packing, quality, records, sharding, warc
+from codelake.llm import chat, decontamination, packing, quality, records, secrets, sharding, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -133,3 +133,12 @@ FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_shared", "n_shingles")
+
+
+@query("op4_secret_scans")
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("bigint").alias(f"n_{k}") for k in secrets.BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans")
+    )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from codelake.llm import chat, decontamination, neardup, packing, quality, records, secrets, sharding, warc
+from codelake.llm import brown, chat, decontamination, neardup, packing, quality, records, secrets, sharding, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -149,3 +149,8 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.groups(table(spark, sf_dir, "documents"), words=4, least=0.8)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     return found.select("doc_id", "n_shingles", "component_id", kept)
+
+
+@query("op2_brown_scores")
+def op2_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))

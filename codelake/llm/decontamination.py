@@ -76,7 +76,8 @@ def contained(
         highest = c["top"] if highest is None else max(highest, c["top"])
         top = F.when(F.size("hashes") >= least * 2 ** c["class"], F.lit(highest)).otherwise(top)
     kept = with_hashes(raw, "text").select("row_key", "hashes", top.alias("top"))
-    kept = kept.select("row_key", F.explode(F.filter("hashes", lambda h: h <= F.col("top"))).alias("hash"))
+    # The outer form: else Spark would filter on the size first and compute the hashes twice.
+    kept = kept.select("row_key", F.explode_outer(F.filter("hashes", lambda h: h <= F.col("top"))).alias("hash"))
     candidates = stored(kept.join(small(sketches), "hash").select("row_key", "item").distinct(), "candidates")
 
     found = raw.join(small(candidates), "row_key").join(small(lists.select("item", "item_id", "shingles")), "item")

@@ -94,10 +94,9 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_bullet_lines": "size(filter(_lines, x -> x rlike '^[ \\t]*[-*•]'))",
         "n_cut_lines": "size(filter(_lines, x -> x rlike '(\\\\.\\\\.\\\\.|…)[ \\t\\r]*$'))",
     }
-    return out.select(
-        *docs.columns,
-        F.struct(*[F.expr(e).cast("bigint").alias(n) for n, e in counts.items()]).alias("counts"),
-    )
+    made = F.struct(*[F.expr(e).cast("bigint").alias(n) for n, e in counts.items()])
+    # Given out by a generator, so that a filter on the counts is not pushed below them and counts everything again.
+    return out.select(*docs.columns, F.explode_outer(F.array(made)).alias("counts"))
 
 
 def _sql(chars: str) -> str:

@@ -39,11 +39,11 @@ def jump_shards(key: Column, shards: int) -> tuple[Column, Column]:
 
     start = F.struct(
         unsigned.alias("state"),
-        F.lit(-1).cast("bigint").alias("next"),
+        F.lit(0).cast("bigint").alias("next"),
         F.lit(0).cast("bigint").alias("now"),
         F.lit(0).cast("bigint").alias("grown"),
     )
-    # Every jump goes up by one at least, so shards + 1 steps always suffice.
+    # Every jump goes up by one at least, so so many steps always suffice.
     walk = F.aggregate(F.sequence(F.lit(0), F.lit(shards)), start, step)
     return walk["now"].cast("int"), walk["grown"].cast("int")
 

@@ -4,8 +4,10 @@ p(word | word before) = p(class | class before) * p(word | class). Classes come
 type after another to the class that raises the likelihood of the class bigrams most. Types are the words that make up
 at least 1/LEXICON of the training tokens (so there are at most LEXICON of them, whatever the corpus) and the endings of
 all other words, so that a rare or unseen word has a class too. Word counts, class counts and bigrams cover every
-training document. What grows with the corpus stays distributed: the counts of all words are a table that the words of
-the texts are joined with; only types, classes and their numbers are sent to the tasks.
+training document. Spark gathers them; the exchange itself works on the bigrams of types, a table of at most
+(1 + LEXICON + ENDINGS)^2 cells whatever the corpus. What grows with the corpus stays distributed: the counts of all
+words are a table that the words of the texts are joined with, and only types, classes and their numbers are sent to the
+tasks.
 """
 
 import zlib
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from codelake.llm.scratch import stored
 from codelake.llm.textkernel import blocks, lower_words, mixed, ranges, span_hashes, utf8
 
-LEXICON = 8192
-ENDINGS = 2048
+LEXICON = 4096
+ENDINGS = 512
 CLASSES = 64
 SWEEPS = 12
 PULL = 1.0  # pseudo-counts by which a transition leans on the share of its class
@@ -124,7 +126,7 @@ def best_class(own: int, left: np.ndarray, right: np.ndarray, itself: float, mat
     m[own, :] -= out
     m[:, own] -= into
     m[own, own] -= itself
-    rows, columns = m.sum(axis=1), m.sum(axis=0)
+    rows, columns = m.sum(axis=1) + into, m.sum(axis=0) + out  # the same wherever the type goes
     k = np.arange(len(m))
     gain = (xlogx(m + out) - xlogx(m)).sum(axis=1) + (xlogx(m + into[:, None]) - xlogx(m)).sum(axis=0)
     diagonal = m[k, k]
@@ -136,49 +138,52 @@ def best_class(own: int, left: np.ndarray, right: np.ndarray, itself: float, mat
     return best, float(gain[best] - gain[own])
 
 
-def exchange(bigrams: DataFrame, types: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """The class of each type. Class 0 is the end's; the others start evenly filled and are improved by exchange.
+def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, types: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+    """The class of each type from its bigrams (a, b, n). Class 0 is the end's; the others start evenly filled.
 
-    In a sweep Spark gathers for every type its bigrams by class, and the gain of every move is found in the tasks; a
-    random half of the types moves, so that neighbours rarely move at once. Sweeps end early if next to nothing moves.
+    A sweep visits the types from the most frequent on and moves each to its best class at once; what a move changes in
+    the counts of its neighbours is carried along. Sweeps end early if next to nothing moves.
     """
-    spark = bigrams.sparkSession
-    chance = np.random.Generator(np.random.PCG64(11))
-    cls = np.append(0, 1 + chance.permutation(types - 1) % classes)
+    cls = np.append(0, 1 + np.random.Generator(np.random.PCG64(11)).permutation(types - 1) % classes)
+    left, right = np.zeros((types, classes + 1)), np.zeros((types, classes + 1))
+    np.add.at(left, (b, cls[a]), n)
+    np.add.at(right, (a, cls[b]), n)
+    itself = np.bincount(a[a == b], n[a == b], types).astype(float)
+    matrix = class_bigrams(a, b, n, cls, classes)
+    after, before = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    after_at, before_at = (np.searchsorted(x, np.arange(types + 1)) for x in (a[after], b[before]))
+    weight = left.sum(axis=1)
+    order = [t for t in np.argsort(-weight, kind="stable").tolist() if t and weight[t]]
     for _ in range(sweeps):
-        named = spark.createDataFrame(pd.DataFrame({"t": np.arange(types), "c": cls}), "t int, c int")
-        a, b = (F.broadcast(named.select(F.col("t").alias(x), F.col("c").alias(f"c{x}"))) for x in "ab")
-        both = bigrams.join(a, "a").join(b, "b")
-        matrix = np.zeros((classes + 1, classes + 1))
-        for r in both.groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():  # at most (classes + 1)^2 rows
-            matrix[r["ca"], r["cb"]] = r["n"]
-        seen = both.select(F.col("b").alias("t"), F.lit(0).alias("side"), F.col("ca").alias("c"), "n").union(
-            both.select("a", F.lit(1), "cb", "n")
-        ).union(both.filter("a = b").select("a", F.lit(2), F.lit(0), "n"))
-        seen = seen.groupBy("t", "side", "c").agg(F.sum("n").alias("n"))
-        contexts = seen.groupBy("t").agg(F.collect_list(F.struct("side", "c", "n")).alias("counts"))
-
-        def moves(frames: Iterator[pd.DataFrame], matrix=matrix, cls=cls) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                out = []
-                for t, counts in zip(frame["t"], frame["counts"], strict=True):
-                    side = np.zeros((3, len(matrix)))
-                    for r in counts:
-                        side[r["side"], r["c"]] += r["n"]
-                    if t:
-                        out.append((t, *best_class(int(cls[t]), side[0], side[1], side[2, 0], matrix)))
-                yield pd.DataFrame(out, columns=["t", "c", "gain"])
-
-        found = contexts.mapInPandas(moves, "t int, c int, gain double").filter("gain > 1e-6").collect()  # one row per type
-        half = chance.random(types) < 0.5
-        for r in found:
-            if half[r["t"]]:
-                cls[r["t"]] = r["c"]
-        if len(found) <= types // 100:
+        moved = 0
+        for t in order:
+            own = int(cls[t])
+            best, gain = best_class(own, left[t], right[t], itself[t], matrix)
+            if best == own or gain <= 1e-6:
+                continue
+            into, out = left[t].copy(), right[t].copy()
+            into[own] -= itself[t]
+            out[own] -= itself[t]
+            for c, sign in ((own, -1), (best, 1)):
+                matrix[c, :] += sign * out
+                matrix[:, c] += sign * into
+                matrix[c, c] += sign * itself[t]
+                follow, lead = after[after_at[t] : after_at[t + 1]], before[before_at[t] : before_at[t + 1]]
+                left[b[follow], c] += sign * n[follow]
+                right[a[lead], c] += sign * n[lead]
+            cls[t] = best
+            moved += 1
+        if moved <= len(order) // 100:
             break
     return cls
 
 
+def class_bigrams(a: np.ndarray, b: np.ndarray, n: np.ndarray, cls: np.ndarray, classes: int) -> np.ndarray:
+    out = np.zeros((classes + 1, classes + 1))
+    np.add.at(out, (cls[a], cls[b]), n)
+    return out
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes: int = CLASSES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
@@ -201,18 +206,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes:
     frequent = words.filter((F.col("n") * LEXICON >= n_all) & (F.col("word") != int(END_WORD))).toPandas()  # at most LEXICON rows
     frequent = frequent.sort_values("word")
     types = Types(frequent["word"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64))
-    bigrams = stored(type_bigrams(train, types), "bigrams")
-    cls = exchange(bigrams, len(types), classes)
-
-    spark = docs.sparkSession
-    named = F.broadcast(spark.createDataFrame(pd.DataFrame({"t": np.arange(len(types)), "c": cls}), "t int, c int"))
-    matrix = np.zeros((classes + 1, classes + 1))
-    pairs = bigrams.join(named.selectExpr("t AS a", "c AS ca"), "a").join(named.selectExpr("t AS b", "c AS cb"), "b")
-    for r in pairs.groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
-        matrix[r["ca"], r["cb"]] = r["n"]
+    cells = type_bigrams(train, types).toPandas().sort_values(["a", "b"])  # at most one row for each two types
+    cells = [cells[c].to_numpy(np.int64) for c in "abn"]
+    cls = exchange(*cells, len(types), classes)
+    matrix = class_bigrams(*cells, cls, classes)
     share = (matrix.sum(axis=0) + 1) / (matrix.sum() + classes + 1)
     step = np.log10((matrix + PULL * share) / (matrix.sum(axis=1, keepdims=True) + PULL))
 
+    spark = docs.sparkSession
     # Distinct words per class: of the endings by a join with the small table, of the lexicon from the list itself.
     lexicon = F.broadcast(spark.createDataFrame(pd.DataFrame({"word": types.hashes}), "word bigint"))
     rare = words.filter(F.col("word") != int(END_WORD)).join(lexicon, "word", "left_anti")
@@ -238,8 +239,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes:
                     [
                         *(part.column(c) for c in ("row", "doc_id", "held_out")), pa.array(n + 1),
                         pa.array(np.bincount(of_row[common], minlength=many) + (ends > 0)),
-                        pa.array(np.bincount(of_row[common], known[t[common] - 1], many)),
-                        pa.array(np.bincount(ended, moves, many) - np.bincount(of_row, size[cls[t]], many)),
+                        pa.array(np.bincount(of_row[common], known[t[common] - 1], many).astype(float)),
+                        pa.array((np.bincount(ended, moves, many) - np.bincount(of_row, size[cls[t]], many)).astype(float)),
                     ],
                     names=["row", "doc_id", "held_out", "n_tokens", "n_common", "common", "classes"],
                 )

@@ -34,10 +34,12 @@ def with_hashes(rows: DataFrame, text: str) -> DataFrame:
 
 
 def shingles_of(words: Column) -> Column:
-    starts = F.when(F.size(words) >= SHINGLE, F.sequence(F.lit(1), F.size(words) - SHINGLE + 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))
+    def made(w: Column) -> Column:
+        starts = F.when(F.size(w) >= SHINGLE, F.sequence(F.lit(1), F.size(w) - SHINGLE + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, SHINGLE), " ")))
+
+    # As a lambda's argument the words are computed once, not once for each shingle.
+    return F.transform(F.array(words), made)[0]
 
 
 def contained(
@@ -81,11 +83,13 @@ def contained(
     candidates = stored(kept.join(small(sketches), "hash").select("row_key", "item").distinct(), "candidates")
 
     found = raw.join(small(candidates), "row_key").join(small(lists.select("item", "item_id", "shingles")), "item")
-    found = found.withColumn("_words", words_of(F.col("text")))
-    shared = F.size(F.array_intersect(shingles_of(F.col("_words")), "shingles"))
+    shared = F.size(F.array_intersect(shingles_of(words_of(F.col("text"))), "shingles"))
+    # Given out by a generator, so that the filter is not pushed below it and counts again.
+    counted = found.select(
+        "doc_id", "item_id", "row_key", F.explode_outer(F.array(shared)).alias("n_shared"), F.size("shingles").alias("n_shingles")
+    )
     return (
-        found.select("doc_id", "item_id", "row_key", shared.alias("n_shared"), F.size("shingles").alias("n_shingles"))
-        .withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+        counted.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
         .filter(F.col("n_shared") >= F.ceil(F.lit(least) * F.col("n_shingles") - 1e-9))
         .distinct()
     )

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelake.llm.components import components
-from codelake.llm.scratch import small, stored
+from codelake.llm.scratch import small, stored, whole
 from codelake.llm.textkernel import blocks, lower_words, mixed, ranges, span_hashes, utf8
 
 BANDS, ROWS = 42, 6
@@ -295,5 +295,5 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     Rows are told apart by their position, so `docs` must be a table: the same rows in the same order at each reading.
     """
     keep = stored(groups(docs, words, least).filter("row = first_row").select("row"), "kept")
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(small(keep, 1_000_000), numbered["_row"] == keep["row"], "left_semi").drop("_row")
+    numbered = docs.select(whole(docs).alias("document"), F.monotonically_increasing_id().alias("row"))
+    return numbered.join(small(keep, 1_000_000), "row", "left_semi").select("document.*")

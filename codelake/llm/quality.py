@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelake.llm.scratch import whole
+
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -49,15 +51,14 @@ COUNT = r"\b(n_\w+|word_chars)\b"
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with a struct `counts` beside them; existing columns stay as they are."""
+    """(row, counts): each document whole, as a struct, and what is counted in its text."""
     pair = "transform({0}, (h, i) -> xxhash64(h, get({0}, i + {1})))"
-    body = F.coalesce(F.col(text), F.lit(""))
-    trimmed = F.btrim(body, F.lit(BLANKS))
-    out = docs.withColumns(
+    out = docs.select(whole(docs).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_body"))
+    trimmed = F.btrim("_body", F.lit(BLANKS))
+    out = out.withColumns(
         {
-            "_body": body,
             "_words": F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \t-\r]+")),
-            "_lines": F.filter(F.split(body, "\n"), lambda x: x.rlike("[^ \t-\r]")),
+            "_lines": F.filter(F.split("_body", "\n"), lambda x: x.rlike("[^ \t-\r]")),
         }
     )
     out = out.withColumns({"_h1": F.expr("transform(_words, w -> xxhash64(w))"), "_n": F.size("_words")})
@@ -96,7 +97,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     }
     made = F.struct(*[F.expr(e).cast("bigint").alias(n) for n, e in counts.items()])
     # Given out by a generator, so that a filter on the counts is not pushed below them and counts everything again.
-    return out.select(*docs.columns, F.explode_outer(F.array(made)).alias("counts"))
+    return out.select("row", F.explode_outer(F.array(made)).alias("counts"))
 
 
 def _sql(chars: str) -> str:
@@ -115,10 +116,10 @@ def failed_rules(rules: tuple[Rule, ...] = RULES) -> str:
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows with `counts` and `failed`, the names of the rules each document fails; none failed means kept.
+    """(row, counts, failed): `failed` names the rules a document fails; none failed means kept.
 
     A null or empty text has no words and no lines and fails the rule on words. Rows are judged one by one, so
-    repeated rows get the same verdict. Extra columns are carried along; only names beginning with an underscore,
-    `counts` and `failed` must be free.
+    repeated rows get the same verdict. All columns are carried along inside `row`, whatever their names; an empty
+    table gives no rows.
     """
     return with_counts(docs, text).withColumn("failed", F.expr(failed_rules(rules)))

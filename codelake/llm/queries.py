@@ -63,7 +63,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.arrays_overlap("failed", F.array(*map(F.lit, quality.BASE_RULES)))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged.select(
-        "doc_id", *[F.col(f"counts.{n}") for n in names], base.alias("base_failed"), (F.size("failed") == 0).alias("kept")
+        "row.doc_id", *[F.col(f"counts.{n}") for n in names], base.alias("base_failed"), (F.size("failed") == 0).alias("kept")
     )
 
 

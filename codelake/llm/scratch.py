@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelake.session import shared_folder
@@ -24,3 +24,8 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 def small(frame: DataFrame, rows: int = 200_000) -> DataFrame:
     """A written table, marked for broadcast if it has at most so many rows; else Spark shuffles."""
     return F.broadcast(frame) if frame.count() <= rows else frame
+
+
+def whole(frame: DataFrame) -> Column:
+    """All columns as one struct, so that names added beside it clash with none."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in frame.columns])

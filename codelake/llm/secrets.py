@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelake.llm.scratch import stored
+from codelake.llm.scratch import stored, whole
 
 SCOPE = 200
 KINDS = ("assign", "access", "hex", "ident", "value", "endpoint")
@@ -151,10 +151,10 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     Documents without spans are left as they are. Overlapping spans are replaced together, under the first one's kind.
     """
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text").cast("string"))
-    keyed = docs.withColumn("_key", key)
+    keyed = docs.select(whole(docs).alias("row"), key.alias("key"))
     # Equal rows have equal spans, so one of them stands for all.
-    found = scan(keyed.select("doc_id", "text", "_key"), scope=scope, doc_id="_key").filter(F.size("spans") > 0)
-    found = stored(found.select(F.col("doc_id").alias("_key"), "spans").dropDuplicates(["_key"]), "redactions")
+    found = scan(keyed.select("row.text", "key"), scope=scope, doc_id="key").filter(F.size("spans") > 0)
+    found = stored(found.select(F.col("doc_id").alias("key"), "spans").dropDuplicates(["key"]), "redactions")
 
     @F.pandas_udf("string")
     def replaced(texts, spans):
@@ -168,9 +168,11 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
             done = max(done, s["end"])
         return "".join([*out, text[done:]])
 
-    both = keyed.join(found, "_key", "left")
-    hit, rest = both.filter(F.col("spans").isNotNull()), both.filter(F.col("spans").isNull())
-    hit = hit.withColumn("text", replaced("text", "spans"))
+    both = keyed.join(found, "key", "left").withColumn(
+        "text", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(replaced("row.text", "spans"))
+    )
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rest.select(*docs.columns).unionByName(hit.select(*docs.columns))
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(size)
+    return both.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

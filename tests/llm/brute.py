@@ -115,3 +115,18 @@ def base_spans(text):
     found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
     return sorted(found)
+
+
+def keeps_quality(text, stop_words):
+    t = text or ""
+    ws, lines = words(t), [x for x in t.split("\n") if words(x)]
+    n, many = max(len(ws), 1), max(len(lines), 1)
+    if len(ws) < 20 or 100 * repeated_words(t) > 30 * len(ws):
+        return False
+    if not 2 <= sum(map(len, ws)) / n <= 20 or sum(c in "#*$%&|<>" for c in t) / n > 0.3:
+        return False
+    if sum(any(c.isalpha() for c in w) for w in ws) / n < 0.5 or (len(ws) >= 50 and not any(w.lower() in stop_words for w in ws)):
+        return False
+    cut = sum(bool(re.search(r"(\.\.\.|…)[ \t\r]*$", x)) for x in lines) / many
+    bullets = sum(bool(re.match(r"[ \t]*[-*•]", x)) for x in lines) / many
+    return len(lines) < 4 or (duplicate_lines(t) / many <= 0.5 and cut <= 0.3 and bullets <= 0.9)

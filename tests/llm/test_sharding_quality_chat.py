@@ -43,9 +43,9 @@ def test_quality_counts(spark):
     ]
     docs = spark.createDataFrame([(i, t, 1, "kept") for i, t in enumerate(texts)] + [(4, texts[4], 1, "kept")], DOCS)
     found = quality.judge(docs).collect()
-    assert len(found) == len(texts) + 1 and found[0].n_words == "kept"
+    assert len(found) == len(texts) + 1 and found[0].row.n_words == "kept"
     for r in found:
-        t = texts[r.doc_id] or ""
+        t = texts[r.row.doc_id] or ""
         ws = brute.words(t)
         c = r.counts
         assert c.n_words == len(ws) and c.word_chars == sum(map(len, ws))
@@ -61,12 +61,12 @@ def test_quality_verdicts(spark):
     bad = {"symbols_per_word": " ".join(["###"] * 30 + ["the"] * 5), "stop_words": " ".join(f"word{chr(97 + i % 26)}{i}" for i in range(60)),
            "letter_words": "the " + " ".join(str(i) for i in range(40)), "cut_lines": "\n".join(f"the line number {i} goes on and on ..." for i in range(6))}
     docs = spark.createDataFrame([("good", good), *bad.items()], "name string, text string")
-    found = {r.name: r.failed for r in quality.judge(docs).collect()}
+    found = {r.row.name: r.failed for r in quality.judge(docs).collect()}
     assert found["good"] == []
     assert all(name in found[name] for name in bad)
     assert quality.judge(docs.limit(0)).count() == 0
     only = (quality.Rule("long", "n_words", high=30),)
-    assert {r.name for r in quality.judge(docs, rules=only).collect() if r.failed} == set(bad)
+    assert {r.row.name for r in quality.judge(docs, rules=only).collect() if r.failed} == set(bad)
 
 
 TURNS = "conv_id bigint, turn bigint, role string, text string, example string"

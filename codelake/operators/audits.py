@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelake.functions.lines import wide_lines
+from codelake.operators.python_symbols import parse_undocumented
 
 # What the audits look for.
 AUDIT_PATTERNS = {
@@ -56,30 +56,6 @@ def remaining_imports(symbols: DataFrame, module: str) -> DataFrame:
     )
 
 
-def undocumented(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """Python definitions whose next non-blank line does not open a string.
-
-    The definitions of a file come to its text once, as a list no longer than the file.
-    """
-    definitions = symbols.filter(
-        F.col("kind").isin("class", "function", "method") & (F.col("language") == "python")
-    )
-    keep = ["name", "kind", "start_line", "signature"]
-    per_file = definitions.groupBy("repo", "path").agg(F.collect_list(F.struct(*keep)).alias("found"))
-    texts = files.filter(F.col("language") == "python").select(
-        "repo",
-        "path",
-        F.filter(
-            F.transform(
-                wide_lines(F.col("content")),
-                lambda line, i: F.struct((i + 1).alias("no"), F.trim(line).alias("text")),
-            ),
-            lambda line: line["text"] != "",
-        ).alias("lines"),
-    )
-    joined = per_file.join(texts, ["repo", "path"])
-    each = joined.select("repo", "path", "lines", F.inline("found"))
-    # Non-blank lines up to the definition's own come first; the one after them decides.
-    upto = F.size(F.filter("lines", lambda line: line["no"] <= F.col("start_line")))
-    following = F.coalesce(F.get("lines", upto)["text"], F.lit(""))
-    return each.filter(~following.rlike("^[rRbBuU]{0,2}(\"|')")).select("repo", "path", *keep)
+def undocumented(files: DataFrame) -> DataFrame:
+    """Classes, functions and methods of Python files that have no docstring, as the parser sees it."""
+    return parse_undocumented(files)

@@ -12,7 +12,7 @@ def _bin(value: Column, low: Column, high: Column) -> Column:
 
 
 def percentiles(rows: DataFrame, group: str, value: str, points: dict[str, float]) -> DataFrame:
-    """(group, n, one column per point).
+    """(group, n, one column per point); a group without values has n = 0 and 0.0 everywhere.
 
     No task ever sorts a whole group. Values are first counted, then narrowed down twice: each
     round cuts the range that holds a wanted place into equal bins, counts them (at most `BINS`
@@ -48,9 +48,12 @@ def percentiles(rows: DataFrame, group: str, value: str, points: dict[str, float
     )
     left = values.join(wanted, group).filter(F.col("v").between(F.col("low"), F.col("high")))
     reached = left.withColumn("upto", F.sum("c").over(running)).filter(F.col("upto") > F.col("place"))
-    return reached.groupBy(group, F.col("n")).agg(
+    found = reached.groupBy(group, F.col("n")).agg(
         *[F.min(F.when(F.col("point") == name, F.col("v"))).alias(name) for name in points]
     )
+    empty = rows.groupBy(group).agg(F.count(value).alias("n")).filter("n = 0")
+    zero = F.lit(0).cast(rows.schema[value].dataType)
+    return found.unionByName(empty.select(group, "n", *[zero.alias(name) for name in points]))
 
 
 def _narrow(values: DataFrame, wanted: DataFrame, group: str) -> DataFrame:

@@ -19,6 +19,7 @@ class SymbolVisitor(ast.NodeVisitor):
 
     def __init__(self):
         self.found = []
+        self.undocumented = []
         self.owner = None
 
     def visit_ClassDef(self, node):
@@ -45,6 +46,8 @@ class SymbolVisitor(ast.NodeVisitor):
             self._add_import(".".join(filter(None, (node.module, alias.name))), node)
 
     def _add(self, name, kind, node, signature):
+        if ast.get_docstring(node, clean=False) is None:
+            self.undocumented.append((name, kind, node.lineno, signature))
         self.found.append((name, kind, node.lineno, node.end_lineno, signature))
 
     def _add_import(self, name, node):
@@ -83,15 +86,24 @@ def parameters(args: ast.arguments) -> str:
 
 
 def symbols_in_source(source: str) -> list[tuple]:
+    return _visited(source).found
+
+
+def undocumented_in_source(source: str) -> list[tuple]:
+    """(name, kind, line, signature) of classes, functions and methods without a docstring."""
+    return _visited(source).undocumented
+
+
+def _visited(source: str) -> SymbolVisitor:
+    visitor = SymbolVisitor()
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
             tree = ast.parse(source)
         except SyntaxError:
-            return []
-    visitor = SymbolVisitor()
+            return visitor
     visitor.visit(tree)
-    return visitor.found
+    return visitor
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,3 +123,21 @@ def parse_python(files: DataFrame) -> DataFrame:
     """Symbol rows of the Python files, plus one row with ``error`` per file that broke the parser."""
     python = files.filter(F.col("language") == "python").select("repo", "path", "language", "content")
     return python.mapInPandas(_extract, PYTHON_SYMBOLS)
+
+
+def parse_undocumented(files: DataFrame) -> DataFrame:
+    """(repo, path, name, kind, start_line, signature) of what has no docstring in the Python files."""
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for repo, path, content in batch.itertuples(index=False):
+                try:
+                    rows += [(repo, path, *found) for found in undocumented_in_source(content)]
+                except (ValueError, RecursionError, MemoryError):
+                    continue  # told of by `parse_python`
+            yield pd.DataFrame(rows, columns=["repo", "path", "name", "kind", "start_line", "signature"])
+
+    python = files.filter(F.col("language") == "python").select("repo", "path", "content")
+    schema = "repo string, path string, name string, kind string, start_line int, signature string"
+    return python.mapInPandas(extract, schema)

@@ -21,11 +21,8 @@ def valid_request(topk: Column, context: Column) -> Column:
     )
 
 
-def accepted_requests(queries: DataFrame) -> DataFrame:
-    return queries.filter(valid_request(F.col("topk"), F.col("context")))
-
-
 def rejected_requests(queries: DataFrame) -> DataFrame:
+    """Requests beyond the bounds of a public form; `search` itself answers them."""
     return queries.filter(~valid_request(F.col("topk"), F.col("context")))
 
 

@@ -5,22 +5,23 @@ from pyspark.sql import functions as F
 
 from codelake.functions.scoring import bm25_part, inverse_document_frequency
 from codelake.schemas import CHUNK_KEY
-from codelake.settings import MAX_TOPK, SCORE_DIGITS
+from codelake.settings import SCORE_DIGITS
 
 
 def top_rows(
     rows: DataFrame, partition: list[str], order: list[Column], limit: Column, rank: str = "rank",
-    most: int = MAX_TOPK,
+    most: int | None = None,
 ) -> DataFrame:
     """The first ``limit`` rows of each partition, ranked from 1.
 
-    ``limit`` is a column and never above ``most``. The literal bound lets Spark cut every
-    partition to ``most`` rows before the shuffle, so a query that matches a third of all rows
-    still sends only a handful per task.
+    ``limit`` is a column. Where its largest value is known, ``most`` names it: the literal bound
+    lets Spark cut every partition to ``most`` rows before the shuffle, so a query that matches a
+    third of all rows still sends only a handful per task.
     """
     window = Window.partitionBy(*partition).orderBy(*order)
     ranked = rows.withColumn(rank, F.row_number().over(window))
-    return ranked.filter((F.col(rank) <= most) & (F.col(rank) <= limit))
+    within = F.col(rank) <= limit
+    return ranked.filter(within if most is None else (F.col(rank) <= most) & within)
 
 
 def bm25(matches: DataFrame, stats: DataFrame) -> DataFrame:

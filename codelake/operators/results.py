@@ -47,12 +47,12 @@ def text_rows(hits: DataFrame, chunks: DataFrame, keys: list[str] = CHUNK_KEY) -
     )
 
 
-def merge_sides(symbols: DataFrame, texts: DataFrame, parsed: DataFrame) -> DataFrame:
+def merge_sides(symbols: DataFrame, texts: DataFrame, parsed: DataFrame, most: int | None = None) -> DataFrame:
     """Both sides together, best first, ranked from 1; ties go by place and name."""
     both = symbols.select(*ROW).unionByName(texts.select(*ROW))
     order = [F.desc("score"), *map(F.asc, ("repo", "file_path", "line_number", "symbol_name"))]
     limited = both.join(parsed.select("query_id", "topk"), "query_id")
-    return top_rows(limited, ["query_id"], order, F.col("topk")).select("query_id", "rank", *ROW[1:])
+    return top_rows(limited, ["query_id"], order, F.col("topk"), most=most).select("query_id", "rank", *ROW[1:])
 
 
 def with_context(

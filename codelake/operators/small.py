@@ -1,11 +1,13 @@
-"""Keeping small request tables as local rows in the plan."""
+"""Tables made on the way: a few given rows, and what is derived from requests."""
+
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-FEW = 1000
+from codelake.session import shared_folder
 
 
 def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -19,13 +21,12 @@ def schema_of(schema: str) -> StructType:
     return StructType.fromDDL(schema)
 
 
-def localized(frame: DataFrame, most: int = FEW) -> tuple[DataFrame, list | None]:
-    """The frame with its rows computed, if it has at most ``most``; else as it is, and None.
+def settled(frame: DataFrame, name: str) -> DataFrame:
+    """The frame's rows from a table written in the shared folder.
 
-    Requests are few; what is derived from them is then neither computed again for every use in
-    a plan nor guessed in size: broadcasts of it are known to be small.
+    What is derived from requests is used several times in a plan. Written down, it is computed
+    once, and Spark knows its size when it chooses how to join, however many requests there are.
     """
-    found = frame.limit(most + 1).toArrow()
-    if found.num_rows > most:
-        return frame, None
-    return frame.sparkSession.createDataFrame(found, schema=frame.schema), found.to_pylist()
+    path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -7,11 +7,9 @@ from codelake.functions.scoring import symbol_score
 from codelake.functions.text import ascii_lower, like_substring
 from codelake.operators.queries import side_limit
 from codelake.operators.ranking import top_rows
-from codelake.operators.small import localized
 from codelake.operators.text_search import passes_filters
 
 _GRAM = 3
-FEW_PATTERNS = 100
 
 # Which kinds a filter asks for, in the order they are answered.
 WANTED = (
@@ -63,37 +61,28 @@ def name_grams(name: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), *map(of_size, range(1, _GRAM + 1))))
 
 
-def only_names(symbols: DataFrame, patterns: list[dict]) -> DataFrame:
-    """Test a few patterns where the symbols lie; the join later says which request each is for."""
-    test = F.lit(False)
-    for kind, pattern in sorted({(r["wanted_kind"] or "", r["pattern"]) for r in patterns}):
-        named = like_substring(F.col("name"), F.lit(pattern))
-        test = test | ((F.col("kind") == kind) & named if kind else named)
-    return symbols.filter(test)
-
-
 def match_names(symbols: DataFrame, patterns: DataFrame) -> DataFrame:
     """Symbols whose name holds a pattern (LIKE rules), of the kind, language and path asked for.
 
     Joined by hash on one gram per pattern and then tested in full, instead of testing every
-    pattern on every symbol; a pattern has one gram, so no pair comes twice. A few patterns are
-    also named to the scan, so that only what matches one of them is taken apart into grams.
+    pattern on every symbol; a pattern has one gram, so no pair comes twice. Grams are made of
+    distinct names, and only names that are found meet their symbols.
     """
-    patterns, found = localized(patterns)
-    few = found is not None and len(found) <= FEW_PATTERNS
-    possible = only_names(symbols, found) if few else symbols
-    grams = possible.select("*", F.explode(name_grams(F.col("name"))).alias("gram"))
+    names = symbols.select("name").distinct()
+    grams = names.select("name", F.explode(name_grams(F.col("name"))).alias("gram"))
+    found = grams.join(patterns, "gram").filter(like_substring(F.col("name"), F.col("pattern"))).drop("gram")
     kind = F.col("wanted_kind")
     return (
-        grams.join(patterns, "gram")
-        .filter(like_substring(F.col("name"), F.col("pattern")))
+        symbols.join(found, "name")
         .filter(kind.isNull() | (F.col("kind") == kind))
         .filter(passes_filters(F.col("language"), F.col("path")))
-        .drop("gram", "wanted_kind", "lang_filter", "path_filter")
+        .drop("wanted_kind", "lang_filter", "path_filter")
     )
 
 
-def top_symbols(symbols: DataFrame, parsed: DataFrame, prelimit: bool = True) -> DataFrame:
+def top_symbols(
+    symbols: DataFrame, parsed: DataFrame, prelimit: bool = True, most: int | None = None
+) -> DataFrame:
     """The best symbols of each request.
 
     With ``prelimit`` each kind asked for gives only its first rows by name before any is scored,
@@ -102,9 +91,9 @@ def top_symbols(symbols: DataFrame, parsed: DataFrame, prelimit: bool = True) ->
     found = match_names(symbols, name_patterns(parsed))
     if prelimit:
         by_name = [F.asc("name"), F.asc("repo"), F.asc("path"), F.asc("start_line")]
-        found = top_rows(found, ["query_id", "tuple_no"], by_name, F.col("side"))
+        found = top_rows(found, ["query_id", "tuple_no"], by_name, F.col("side"), most=most)
     scored = found.withColumn(
         "score", symbol_score(F.col("name"), F.col("kind"), F.col("signature"), F.col("pattern"))
     )
     order = [F.desc("score"), F.asc("repo"), F.asc("path"), F.asc("start_line"), F.asc("name")]
-    return top_rows(scored, ["query_id"], order, F.col("side")).drop("rank")
+    return top_rows(scored, ["query_id"], order, F.col("side"), most=most).drop("rank")

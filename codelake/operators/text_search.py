@@ -4,10 +4,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelake.functions.text import like_substring
-from codelake.operators.matching import match_phrases, match_words, phrase_rows
+from codelake.operators.matching import expand_prefixes, match_phrases, phrase_rows
 from codelake.operators.queries import side_limit, text_phrases
 from codelake.operators.ranking import score_parts, top_rows
-from codelake.operators.small import localized
+from codelake.operators.small import settled
 from codelake.schemas import CHUNK_KEY
 from codelake.settings import SCORE_DIGITS
 
@@ -38,39 +38,13 @@ def score_chunks(parts: DataFrame, phrases: DataFrame) -> DataFrame:
     return holding.groupBy(*chunk).agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
 
 
-def only_terms(postings: DataFrame, rows: list[dict]) -> DataFrame:
-    """Name a few terms to the scan, which skips row groups by them; the join later decides."""
-    term = F.col("term")
-    test = term.isin(sorted({r["term"] for r in rows if not r["prefix"]}))
-    for prefix in sorted({r["term"] for r in rows if r["prefix"]}):
-        test = test | F.startswith(term, F.lit(prefix))
-    return postings.filter(test)
-
-
-def terms_for(postings: DataFrame, prefixes: list[dict] | None) -> DataFrame | None:
-    """The terms that prefixes may stand for, each once; nothing to look through without any."""
-    if prefixes == []:
-        return None
-    wanted = postings if prefixes is None else only_terms(postings, prefixes)
-    return wanted.select("term").distinct()
-
-
 def score_text(index, parsed: DataFrame) -> DataFrame:
-    """Every chunk that answers the text of a request, scored, before filters and limits.
-
-    Requests usually ask for few terms. Then these are named to the postings' scan, and phrases and
-    prefixes are looked for only if there are any.
-    """
-    phrases, _ = localized(text_phrases(parsed))
-    rows, wanted = localized(phrase_rows(phrases, index.stem))
-    postings = index.postings if wanted is None else only_terms(index.postings, wanted)
-    only_words = wanted is not None and not any(r["prefix"] or r["n_words"] > 1 for r in wanted)
-    if only_words:
-        matches = match_words(postings, rows)
-    else:
-        prefixes = None if wanted is None else [r for r in wanted if r["prefix"]]
-        matches = match_phrases(postings, rows, terms_for(index.postings, prefixes))
-    return score_chunks(score_parts(matches, index.stats), phrases)
+    """Every chunk that answers the text of a request, scored, before filters and limits."""
+    phrases = settled(text_phrases(parsed), "phrases")
+    rows = phrase_rows(phrases, index.stem)
+    # Prefixes stand for terms of the index; the few rows of this table are read once more to expand them.
+    words = settled(expand_prefixes(rows, index.postings.select("term").distinct()), "words")
+    return score_chunks(score_parts(match_phrases(index.postings, words), index.stats), phrases)
 
 
 def passes_filters(language: Column, path: Column) -> Column:
@@ -80,9 +54,9 @@ def passes_filters(language: Column, path: Column) -> Column:
     )
 
 
-def top_text(scored: DataFrame, parsed: DataFrame) -> DataFrame:
+def top_text(scored: DataFrame, parsed: DataFrame, most: int | None = None) -> DataFrame:
     """The best chunks of each request after its language and path filters."""
     wanted = parsed.select("query_id", "lang_filter", "path_filter", side_limit().alias("side"))
     kept = scored.join(wanted, "query_id").filter(passes_filters(F.col("language"), F.col("path")))
     order = [F.desc("score"), F.asc("repo"), F.asc("path"), F.asc("chunk_id")]
-    return top_rows(kept, ["query_id"], order, F.col("side")).drop("rank", "lang_filter", "path_filter")
+    return top_rows(kept, ["query_id"], order, F.col("side"), most=most).drop("rank", "lang_filter", "path_filter")

@@ -47,13 +47,6 @@ class Index:
         bucket = F.pmod(F.xxhash64("repo", path), F.lit(self.buckets)).cast("int")
         return rows.withColumn("bucket", bucket), ["bucket"]
 
-    def only_files(self, rows: DataFrame, keys: list[dict]) -> DataFrame:
-        """Of a stored table, only the buckets and paths of a few known files."""
-        if not self.stored:
-            return rows
-        buckets, paths = ({k[c] for k in keys} for c in ("bucket", "path"))
-        return rows.filter(F.col("bucket").isin(sorted(buckets)) & F.col("path").isin(sorted(paths)))
-
 
 def index_from_files(files: DataFrame, chunk_lines: int = CHUNK_LINES, stem: bool = True) -> Index:
     """An index over files (repo, path, language, ..., content) that lives only in query plans."""

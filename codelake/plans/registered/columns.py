@@ -179,14 +179,13 @@ def snippet(spark, sf):
 @query(
     "chk_05_formatted_snippet",
     CHUNKS
-    + f""", {AT} SELECT path, coalesce(array_to_string(list_transform(ls[1:5], lambda l, i:
+    + f""", {AT} SELECT path, coalesce(array_to_string(list_transform(ls, lambda l, i:
            printf('%s %4d | %s', CASE WHEN spot - 1 + i = spot + 1 THEN '>' ELSE ' ' END, spot - 1 + i, l)), chr(10)), '') AS formatted
        FROM hash_line""",
 )
 def formatted_snippet(spark, sf):
-    head = F.array_join(F.slice(L.wide_lines(F.col("content")), 1, 5), "\n")
-    first = C.document_files(spark, sf).select("path", head.alias("head"), _at().alias("at"))
-    return first.select("path", L.format_snippet(F.col("head"), F.col("at"), F.col("at") + 1).alias("formatted"))
+    whole = C.document_files(spark, sf).select("path", "content", _at().alias("at"))
+    return whole.select("path", L.format_snippet(F.col("content"), F.col("at"), F.col("at") + 1).alias("formatted"))
 
 
 @query(
@@ -256,14 +255,14 @@ def whitespace(spark, sf):
 
 @query(
     "scl_06_lower_contains",
-    f"WITH {DOCS} SELECT path, contains(lower(content), 'and') AS found, lower(left(content, 20)) AS low FROM docs",
+    f"WITH {DOCS} SELECT path, contains(lower(content), 'and') AS found, lower(content) AS low FROM docs",
 )
 def lower_contains(spark, sf):
     content = F.col("content")
     return C.document_files(spark, sf).select(
         "path",
         F.contains(F.lower(content), F.lit("and")).alias("found"),
-        F.lower(F.substring(content, 1, 20)).alias("low"),
+        F.lower(content).alias("low"),
     )
 
 

@@ -57,14 +57,24 @@ def remaining(spark, sf):
 
 @query(
     "job_04_undocumented",
-    "SELECT 'm_' || p_partkey || '.py' AS path, 'd_' || p_partkey AS name FROM part WHERE p_partkey % 3 = 0",
+    """SELECT 'm_' || p_partkey || '.py' AS path, u.name FROM part, LATERAL (SELECT unnest(CASE p_partkey % 6
+      WHEN 0 THEN ['d_' || p_partkey] WHEN 2 THEN ['C', 'C.m'] WHEN 4 THEN ['d_' || p_partkey] ELSE [] END) AS name) u""",
 )
 def undocumented(spark, sf):
     k = F.col("p_partkey")
-    body = F.when(k % 3 == 0, "\n    return 1\n").when(k % 3 == 1, '    """What it does."""\n').otherwise("\n    r'x'\n")
+    name = F.concat(F.lit("d_"), k)
+    # Plain, after a form feed and with a wide signature, an undocumented class, a raw string, in one line, decorated.
+    source = (
+        F.when(k % 6 == 0, F.concat(F.lit("def "), name, F.lit("():\n\n    return 1\n")))
+        .when(k % 6 == 1, F.concat(F.lit("\f\ndef "), name, F.lit('(\n    a,\n    b,\n):\n    """What it does."""\n')))
+        .when(k % 6 == 2, F.lit('class C:\n    x = """no docstring"""\n\n    def m(self):\n        return "x"\n'))
+        .when(k % 6 == 3, F.concat(F.lit("async def "), name, F.lit("():\n\n    # why\n    r'x'\n")))
+        .when(k % 6 == 4, F.concat(F.lit("def "), name, F.lit("(): return 'x'\n")))
+        .otherwise(F.concat(F.lit("@cached\ndef "), name, F.lit('(): "What it does."\n')))
+    )
     files = C.table(spark, sf, "part").select(
         F.lit("doc").alias("repo"), F.concat(F.lit("m_"), k, F.lit(".py")).alias("path"),
         F.lit("python").alias("language"),
-        F.concat(F.lit("import os\n\ndef d_"), k, F.lit("():\n"), body).alias("content"),
+        F.concat(F.lit("import os\n\n"), source).alias("content"),
     )
-    return A.undocumented(extract_symbols(files), files).select("path", "name")
+    return A.undocumented(files).select("path", "name")

@@ -7,7 +7,7 @@ from codelake.operators.stats import averages, count_by, index_stats, is_code, l
 from codelake.operators.symbols import extract_symbols
 from codelake.plans import corpora as C
 from codelake.plans.registered.registry import DOCS, GENERATED, NAMED, PATHS, SYMBOLS, query
-from codelake.sources.reports import markdown_table
+from codelake.sources.reports import HEADING, markdown_table
 
 POINTS = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
@@ -168,7 +168,13 @@ def ratios(spark, sf):
     f"""WITH {BENCH} SELECT '| ' || repo_name || ' | ' || format('{{:,}}', repo_size_loc) || ' | ' || format('{{:,}}', file_count)
       || ' | ' || format('{{:,}}', symbol_count) || ' | ' || printf('%.2f', index_time_seconds) || 's | '
       || printf('%.2f', index_size_mb) || ' MB | ' || printf('%.2f', p50) || ' ms | ' || printf('%.2f', p95) || ' ms |' AS line
-    FROM bench""",
+    FROM bench UNION ALL
+    SELECT '| **AVERAGE** | ' || concat_ws(' | ', '**' || format('{{:,}}', round_even(avg(repo_size_loc), 0)::BIGINT) || '**',
+      '**' || format('{{:,}}', round_even(avg(file_count), 0)::BIGINT) || '**', '**' || format('{{:,}}', round_even(avg(symbol_count), 0)::BIGINT) || '**',
+      '**' || printf('%.2f', avg(index_time_seconds)) || 's**', '**' || printf('%.2f', avg(index_size_mb)) || ' MB**',
+      '**' || printf('%.2f', avg(p50)) || ' ms**', '**' || printf('%.2f', avg(p95)) || ' ms**') || ' |' FROM bench
+    UNION ALL SELECT unnest([{", ".join("'" + line.strip(chr(10)) + "'" for line in HEADING)}])""",
 )
 def markdown(spark, sf):
-    return markdown_table(benchmark_rows(spark, sf)).filter("part = 'row'").select("line")
+    lines = markdown_table(benchmark_rows(spark, sf))
+    return lines.select(F.rtrim("line", F.lit("\n")).alias("line"))

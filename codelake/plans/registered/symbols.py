@@ -175,11 +175,12 @@ _filter("flt_08_any_kind", "symbol:m_1", "name ILIKE '%m_1%'")
       + CASE WHEN lower(name) = lower(pattern) THEN 10.0 WHEN contains(lower(name), lower(pattern)) THEN 5.0 ELSE 0.0 END
       + CASE WHEN signature IS NOT NULL THEN 2.0 ELSE 0.0 END
       + CASE kind WHEN 'class' THEN 2.0 WHEN 'import' THEN 1.0 ELSE 1.5 END AS score
-    FROM syms, pats""",
+    FROM syms JOIN pats ON name ILIKE '%' || pattern || '%'""",
 )
 def scores(spark, sf):
-    patterns = F.array(*map(F.lit, ("C_1", "mod_", "g_1", "J_1.run_1", "zz")))
-    each = gen_symbols(spark, sf).withColumn("pattern", F.explode(patterns))
+    texts = ("C_1", "mod_", "g_1", "J_1.run_1", "zz")
+    asked = C.requests(spark, tuple(f"symbol:{p}" for p in texts))
+    each = match_names(gen_symbols(spark, sf), name_patterns(parse_queries(asked)))
     score = symbol_score(F.col("name"), F.col("kind"), F.col("signature"), F.col("pattern"))
     return each.select("path", "name", "pattern", score.alias("score"))
 

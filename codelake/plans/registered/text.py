@@ -107,11 +107,11 @@ def without(spark, sf):
     "fts_08_phrase",
     BASE
     + """, pairs(query_id, a, b) AS (VALUES (0, 'of', 'the'), (1, 'the', 'the'), (2, 'en', 'la')),
-  hit AS (SELECT query_id, p.path, p.chunk_id,
-            len(list_filter(p.positions, lambda x: list_contains(q.positions, x + 1))) AS tf
-          FROM pairs JOIN post p ON p.term = a JOIN post q
-            ON q.term = b AND q.path = p.path AND q.chunk_id = p.chunk_id)
-  SELECT * FROM hit WHERE tf > 0""",
+  said AS MATERIALIZED (SELECT path, chunk_id, term, pos FROM tok WHERE term IN ('of', 'the', 'en', 'la'))
+  SELECT query_id, p.path, p.chunk_id, count(*)::INTEGER AS tf
+  FROM pairs JOIN said p ON p.term = a JOIN said q
+    ON q.term = b AND q.path = p.path AND q.chunk_id = p.chunk_id AND q.pos = p.pos + 1
+  GROUP BY ALL""",
 )
 def phrase(spark, sf):
     words = M.phrase_rows(phrases(spark, (0, 0, "of the"), (1, 0, "The_the"), (2, 0, "en-la")), stem=False)

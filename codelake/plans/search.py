@@ -3,40 +3,31 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelake.operators.queries import accepted_requests, parse_queries
+from codelake.operators.queries import parse_queries
 from codelake.operators.results import merge_sides, symbol_rows, text_rows
 from codelake.operators.results import with_context as add_context
 from codelake.operators.symbol_search import top_symbols
 from codelake.operators.text_search import score_text, top_text
-from codelake.operators.small import localized
+from codelake.operators.small import settled
 from codelake.plans.index import Index
 from codelake.schemas import CHUNK_KEY, FILE_KEY
 
 
-# Up to this many hits, as many as the requests can give, are fetched before their chunks are read.
-MOST_HITS = 10_000
-
-
 def search(index: Index, queries: DataFrame, prelimit: bool = True) -> DataFrame:
-    """Ranked results of the requests (query_id, query, topk, context) that are within bounds.
+    """Ranked results of the requests (query_id, query, topk, context).
 
-    Text, symbol and mixed requests share one plan: each side answers the requests routed to it.
-    If the requests are few, so are the hits: what they can add up to is checked first, then both
-    sides run at once and their hits become local rows, and chunks are read only from the buckets
-    that were hit. Larger request tables stay in one distributed plan.
+    Text, symbol and mixed requests share one plan, whatever their number: each side answers the
+    requests routed to it, and chunks are read for the hits alone, by a join on their keys. Only
+    the parsed requests are computed at once, and the largest top-k among them is asked for.
     """
-    parsed, asked = localized(parse_queries(accepted_requests(queries)))
+    parsed = settled(parse_queries(queries), "requests")
+    most = parsed.agg(F.max("topk")).first()[0] or 0
     by_text = parsed.filter(F.col("route").isin("text", "hybrid"))
     by_symbol = parsed.filter(F.col("route").isin("symbol", "hybrid"))
-    hits, extra = index.placed(top_text(score_text(index, by_text), by_text))
-    symbols = symbol_rows(top_symbols(index.symbols, by_symbol, prelimit))
-    chunks = index.chunks
-    if asked is not None and sum(r["topk"] for r in asked) <= MOST_HITS:
-        hits, found = localized(hits, MOST_HITS)
-        symbols, _ = localized(symbols, MOST_HITS)
-        chunks = index.only_files(chunks, found)
-    texts = text_rows(hits, chunks, CHUNK_KEY + extra)
-    return merge_sides(symbols, texts, parsed)
+    hits, extra = index.placed(top_text(score_text(index, by_text), by_text, most))
+    symbols = symbol_rows(top_symbols(index.symbols, by_symbol, prelimit, most))
+    texts = text_rows(hits, index.chunks, CHUNK_KEY + extra)
+    return merge_sides(symbols, texts, parsed, most)
 
 
 def with_context(index: Index, results: DataFrame, queries: DataFrame) -> DataFrame:

@@ -208,14 +208,14 @@ def test_context_lines(spark, files_of):
     assert list(rows[0].context_lines) == ["   4 | class User:", "   5 |     def name(self):", "   6 |         return 1"]
 
 
-def test_requests_out_of_bounds_are_set_apart(spark, files_of):
+def test_requests_out_of_bounds_are_told_and_answered(spark, files_of):
     queries = spark.createDataFrame(
         [(0, "user", 0, 0), (1, "user", 101, 0), (2, "user", 100, 11), (3, "user", 100, 10)],
         "query_id int, query string, topk int, context int",
     )
     assert {r.query_id for r in rejected_requests(queries).collect()} == {0, 1, 2}
     index = index_from_files(files_of(CODE))
-    assert {r.query_id for r in search(index, queries).collect()} == {3}
+    assert {r.query_id for r in search(index, queries).collect()} == {1, 2, 3}
 
 
 def test_parsing(spark):

@@ -9,9 +9,9 @@ that grows with their similarity. The steps:
 2. Bands of registers are buckets. In each bucket every member is compared with one pivot, so a bucket of any size gives
    one pair per member. Pairs are estimated by the likelihood of their register comparisons, given the known sizes, and
    those that may be similar are verified by intersecting the full sets. Links merge classes into components.
-3. Members that are not in their pivot's component are compared with the other members of the bucket, in blocks of
-   bounded size, across components only, the likeliest partners first. This repeats until no pair is left untested, so
-   nothing that shares a bucket goes unseen, while groups of copies are never expanded into all their pairs.
+3. Members outside the largest component of their bucket are compared with the other members, in blocks of bounded
+   size, across components only, the likeliest partners first. This repeats until no pair is left untested, so nothing
+   that shares a bucket goes unseen, while groups of copies are never expanded into all their pairs.
 """
 
 from collections.abc import Iterator
@@ -214,6 +214,8 @@ def across(members: DataFrame, least: float, partners: int) -> DataFrame:
                     y = others[(label[others] != label[i]) & (np.minimum(n[others], n[i]) >= least * np.maximum(n[others], n[i]) - 1e-9)]
                     if not len(y):
                         continue
+                    # Registers agree at least as often as the sets are similar: most pairs end here.
+                    y = y[(regs[y] == regs[i]).sum(axis=1) >= floor_of(least) * REGISTERS]
                     x = np.broadcast_to(regs[i], (len(y), REGISTERS))
                     j = likeliest(x, regs[y], np.full(len(y), n[i]), n[y])
                     y, j = y[j >= floor_of(least)], j[j >= floor_of(least)]
@@ -257,22 +259,28 @@ def groups(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str = "d
     links = verified(docs, tested, classes, words, least)
     labels = components(links)
 
-    partners, wide = 16, inside.filter("size > 2")
+    partners, wide = 64, inside.filter("size > 2").select("bucket", "class")
     while True:
         known = wide.join(labels.withColumnRenamed("v", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        at_pivot = labels.select(F.col("v").alias("pivot"), F.col("label").alias("top"))
-        known = known.join(at_pivot, "pivot", "left").withColumn("left", F.col("label") != F.coalesce("top", "pivot"))
-        known = stored(known.select("bucket", "size", "class", "label", "left"), "labelled")
-        open_buckets = stored(known.filter("left").groupBy("bucket").agg(F.count("*").alias("lefts")), "open")
-        members = known.join(open_buckets, "bucket").join(classes.select("class", "n", "sketch"), "class")
+        known = stored(known, "labelled")
+        # Members outside their bucket's largest component ask; a bucket of one component is done.
+        by_label = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        shape = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"))
+        open_buckets = shape.filter(F.col("size") > F.col("most.n")).select(
+            "bucket", "size", (F.col("size") - F.col("most.n")).alias("lefts"), F.col("most.label").alias("main")
+        )
+        members = known.join(stored(open_buckets, "open"), "bucket").withColumn("left", F.col("label") != F.col("main"))
+        members = stored(members.join(classes.select("class", "n", "sketch"), "class"), "askers")
         found = stored(across(members, least, partners), "across")
         fresh = stored(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not fresh.isEmpty():
             more = verified(docs, fresh, classes, words, least)
+            if not more.isEmpty():
+                links = stored(links.union(more), "links")
+                labels = components(links)
             tested = stored(tested.union(fresh), "tested")
-            links = stored(links.union(more), "links")
-            labels = components(links)
-        elif found.filter("cut").isEmpty():
+        # Without a cut every pair of different components that shares a bucket has been tested.
+        if found.filter("cut").isEmpty():
             break
         partners *= 8
 

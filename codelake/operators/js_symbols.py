@@ -38,6 +38,8 @@ NOT_METHODS = ("constructor", "if", "for", "while", "switch", "catch")
 LANGUAGES = ("javascript", "typescript")
 
 _MATCHES = "array<struct<text:string,start:int,line:int>>"
+_PLACES = "array<struct<start:int,line:int>>"
+_BLOCK = 256
 
 
 def _raw(regex: str) -> str:
@@ -53,19 +55,31 @@ def _group(text: str, regex: str, group: int) -> str:
 
 
 def regex_matches(text: str, regex: str) -> str:
-    """SQL for an array of (text, start, line): each match, its 0-based offset, newlines before it."""
+    """SQL for an array of (text, start, line): each match, its 0-based offset, newlines before it.
+
+    A fold that appends copies its list every time, so matches are folded in short blocks, and the
+    blocks are shifted by what stands before them.
+    """
     # \G: every match begins, with the gap before it, where the last one ended.
     gapped = _raw(rf"(?md)\G((?s:.*?))({regex})")
-    return f"""aggregate(
-      zip_with(regexp_extract_all({text}, {gapped}, 2), regexp_extract_all({text}, {gapped}, 1),
-               (found, gap) -> named_struct('text', found, 'gap', gap)),
-      named_struct('start', 0, 'line', 0, 'out', CAST(array() AS {_MATCHES})),
-      (s, p) -> named_struct(
-        'start', s.start + length(p.gap) + length(p.text),
-        'line', s.line + {_newlines("p.gap")} + {_newlines("p.text")},
-        'out', concat(s.out, array(named_struct(
-          'text', p.text, 'start', s.start + length(p.gap), 'line', s.line + {_newlines("p.gap")})))),
-      s -> s.out)"""
+    block = f"""aggregate(slice(pairs, b * {_BLOCK} + 1, {_BLOCK}),
+        named_struct('start', 0, 'line', 0, 'out', CAST(array() AS {_MATCHES})),
+        (s, p) -> named_struct(
+          'start', s.start + length(p.gap) + length(p.text),
+          'line', s.line + {_newlines("p.gap")} + {_newlines("p.text")},
+          'out', concat(s.out, array(named_struct(
+            'text', p.text, 'start', s.start + length(p.gap), 'line', s.line + {_newlines("p.gap")})))))"""
+    before = f"""aggregate(blocks, named_struct('start', 0, 'line', 0, 'out', CAST(array() AS {_PLACES})),
+        (s, k) -> named_struct('start', s.start + k.start, 'line', s.line + k.line,
+          'out', concat(s.out, array(named_struct('start', s.start, 'line', s.line)))), s -> s.out)"""
+    shifted = "named_struct('text', m.text, 'start', m.start + o.start, 'line', m.line + o.line)"
+    numbers = f"sequence(0, CAST(greatest(size(pairs) - 1, 0) DIV {_BLOCK} AS int))"
+    # A lambda over an array of one computes what it names once.
+    return f"""transform(array(
+        zip_with(regexp_extract_all({text}, {gapped}, 2), regexp_extract_all({text}, {gapped}, 1),
+                 (found, gap) -> named_struct('text', found, 'gap', gap))),
+      pairs -> transform(array(transform({numbers}, b -> {block})),
+        blocks -> flatten(zip_with(blocks, {before}, (k, o) -> transform(k.out, m -> {shifted}))))[0])[0]"""
 
 
 def _symbol(name: str, kind: str, line: str, signature: str) -> str:

@@ -9,9 +9,10 @@ that grows with their similarity. The steps:
 2. Bands of registers are buckets. In each bucket every member is compared with one pivot, so a bucket of any size gives
    one pair per member. Pairs are estimated by the likelihood of their register comparisons, given the known sizes, and
    those that may be similar are verified by intersecting the full sets. Links merge classes into components.
-3. Members outside the largest component of their bucket are compared with the other members, in blocks of bounded
-   size, across components only, the likeliest partners first. This repeats until no pair is left untested, so nothing
-   that shares a bucket goes unseen, while groups of copies are never expanded into all their pairs.
+3. Members outside the largest component of their bucket are compared with the other members on their full sets, in
+   blocks of bounded size, across components only, the likeliest partners first. Nothing that shares a bucket goes
+   unseen, while groups of copies are never expanded into all their pairs: a block gives only the links that join
+   components.
 """
 
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ BANDS, ROWS = 42, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.1, 20.0, 255  # spacing of the scale, rate of the variates, largest register value
 SLACK = 4.75  # standard errors by which an estimate may fall short and still be verified
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -183,49 +184,72 @@ def with_estimates(pairs: DataFrame, classes: DataFrame, least: float) -> DataFr
     return both.filter(fits).filter(estimate("ra", "rb", "na", "nb") >= floor_of(least)).select("a", "b")
 
 
-def across(members: DataFrame, least: float, partners: int) -> DataFrame:
-    """Pairs (a, b, cut) of bucket members of different labels that may be similar.
+def across(members: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between members of a bucket that have different labels.
 
-    `members` has bucket, size, class, label, n, sketch, left, lefts: left rows are compared with every row of their
-    bucket; lefts counts them. For each left row and other label, the `partners` likeliest; `cut` tells that there
-    were more.
+    `members` has bucket, size, lefts, left, class, label, n, sketch, shingles: left rows are compared with every row of
+    their bucket, likeliest partners first, on the full sets; lefts counts them. Rows that a link joins in a task are
+    not compared there again, so a task gives at most one link for each left row and label.
     """
-    block = F.ceil(F.col("size") / BLOCK_ROWS)
-    chunk = F.ceil(F.col("lefts") / BLOCK_ROWS)
-    own_block, own_chunk = (F.pmod(F.xxhash64("class", F.lit(s)), n) for s, n in ((1, block), (2, chunk)))
-    shape = ["class", "label", "n", "sketch"]
-    as_row = members.select("bucket", own_block.alias("block"), F.explode(F.sequence(F.lit(0), chunk - 1)).alias("chunk"), *shape, F.lit(False).alias("asks"))
-    as_left = members.filter("left").select(
-        "bucket", F.explode(F.sequence(F.lit(0), block - 1)).alias("block"), own_chunk.alias("chunk"), *shape, F.lit(True).alias("asks")
+    blocks_of, chunks_of = (F.ceil(F.col(c) / BLOCK_ROWS).cast("int") for c in ("size", "lefts"))
+    own = [F.pmod(F.xxhash64("class", F.lit(s)), n).cast("int") for s, n in ((1, blocks_of), (2, chunks_of))]
+    # A row stands in its block for all chunks of left rows, and a left row asks in its chunk in all blocks.
+    placed = members.withColumns({"own_block": own[0], "own_chunk": own[1], "blocks": blocks_of, "chunks": chunks_of})
+    stands = "transform(sequence(0, chunks - 1), c -> named_struct('block', own_block, 'chunk', c))"
+    asks = "transform(sequence(0, blocks - 1), b -> named_struct('block', b, 'chunk', own_chunk))"
+    places = F.expr(f"IF(left, array_distinct(concat({stands}, {asks})), {stands})")
+    rows = placed.select("*", F.inline(places)).select(
+        "bucket", "block", "chunk", "class", "label", "n", "sketch", "shingles",
+        (F.col("block") == F.col("own_block")).alias("stands"),
+        (F.col("left") & (F.col("chunk") == F.col("own_chunk"))).alias("asks"),
+    )
+    shape = F.struct("class", "label", "n", "stands", "asks", "sketch", "shingles")
+    tasks = rows.groupBy("bucket", "block", "chunk").agg(F.collect_list(shape).alias("rows"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for k in range(batch.num_rows):
+                found += links_in(batch.column("rows")[k].values, least)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"]
+            )
+
+    return tasks.select("rows").mapInArrow(compare, "a bigint, b bigint")
+
+
+def links_in(rows: pa.StructArray, least: float) -> list[tuple[int, int]]:
+    """Links among the rows of one block."""
+    ids, root, n, stands, asks = (
+        rows.field(c).to_numpy(zero_copy_only=False).copy() for c in ("class", "label", "n", "stands", "asks")
     )
-    tasks = as_row.union(as_left).groupBy("bucket", "block", "chunk").agg(F.collect_list(F.struct(*shape, "asks")).alias("rows"))
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found: list[tuple[int, int, bool]] = []
-            for rows in frame["rows"]:
-                ids = np.array([r["class"] for r in rows], np.int64)
-                label = np.array([r["label"] for r in rows], np.int64)
-                n = np.array([r["n"] for r in rows], float)
-                asks = np.array([r["asks"] for r in rows], bool)
-                regs = np.frombuffer(b"".join(bytes(r["sketch"]) for r in rows), np.uint8).reshape(-1, REGISTERS)
-                others = np.flatnonzero(~asks)
-                for i in np.flatnonzero(asks):
-                    y = others[(label[others] != label[i]) & (np.minimum(n[others], n[i]) >= least * np.maximum(n[others], n[i]) - 1e-9)]
-                    if not len(y):
-                        continue
-                    # Registers agree at least as often as the sets are similar: most pairs end here.
-                    y = y[(regs[y] == regs[i]).sum(axis=1) >= floor_of(least) * REGISTERS]
-                    x = np.broadcast_to(regs[i], (len(y), REGISTERS))
-                    j = likeliest(x, regs[y], np.full(len(y), n[i]), n[y])
-                    y, j = y[j >= floor_of(least)], j[j >= floor_of(least)]
-                    best = pd.DataFrame({"y": ids[y], "label": label[y], "j": j}).sort_values(["j", "y"], ascending=[False, True])
-                    nth = best.groupby("label").cumcount()
-                    cut = bool((nth >= partners).any())
-                    found += [(min(ids[i], k), max(ids[i], k), cut) for k in best["y"][nth < partners].tolist()]
-            yield pd.DataFrame(found, columns=["a", "b", "cut"])
-
-    return tasks.select("rows").mapInPandas(compare, "a bigint, b bigint, cut boolean")
+    regs = np.frombuffer(b"".join(x.as_py() for x in rows.field("sketch")), np.uint8).reshape(-1, REGISTERS)
+    shingles = rows.field("shingles")
+    sets: dict[int, np.ndarray] = {}
+
+    def of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = np.sort(shingles[i].values.to_numpy())
+        return sets[i]
+
+    def linked(i: int, j: int) -> bool:
+        a, b = sorted((of(i), of(j)), key=len)
+        shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        return shared >= least * (len(a) + len(b) - shared) - 1e-9
+
+    out = []
+    for i in np.flatnonzero(asks).tolist():
+        y = np.flatnonzero(stands & (root != root[i]) & (np.minimum(n, n[i]) >= least * np.maximum(n, n[i]) - 1e-9))
+        # Registers agree at least as often as the sets are similar: most pairs end here.
+        y = y[(regs[y] == regs[i]).sum(axis=1) >= floor_of(least) * REGISTERS]
+        if not len(y):
+            continue
+        j = likeliest(np.broadcast_to(regs[i], (len(y), REGISTERS)), regs[y], np.full(len(y), float(n[i])), n[y].astype(float))
+        for k in y[np.argsort(-j, kind="stable")][: int((j >= floor_of(least)).sum())].tolist():
+            if root[k] != root[i] and linked(i, k):
+                out.append((int(ids[i]), int(ids[k])))
+                root[root == root[k]] = root[i]
+    return out
 
 
 def groups(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,34 +279,25 @@ def groups(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str = "d
     )
     inside = stored(spread.join(pivots, "bucket"), "members")  # buckets of one are gone
     star = inside.filter("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    tested = stored(with_estimates(star, classes, least), "pairs")
-    links = verified(docs, tested, classes, words, least)
+    links = verified(docs, stored(with_estimates(star, classes, least), "pairs"), classes, words, least)
     labels = components(links)
 
-    partners, wide = 64, inside.filter("size > 2").select("bucket", "class")
-    while True:
-        known = wide.join(labels.withColumnRenamed("v", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        known = stored(known, "labelled")
-        # Members outside their bucket's largest component ask; a bucket of one component is done.
-        by_label = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        shape = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"))
-        open_buckets = shape.filter(F.col("size") > F.col("most.n")).select(
-            "bucket", "size", (F.col("size") - F.col("most.n")).alias("lefts"), F.col("most.label").alias("main")
-        )
-        members = known.join(stored(open_buckets, "open"), "bucket").withColumn("left", F.col("label") != F.col("main"))
-        members = stored(members.join(classes.select("class", "n", "sketch"), "class"), "askers")
-        found = stored(across(members, least, partners), "across")
-        fresh = stored(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            more = verified(docs, fresh, classes, words, least)
-            if not more.isEmpty():
-                links = stored(links.union(more), "links")
-                labels = components(links)
-            tested = stored(tested.union(fresh), "tested")
-        # Without a cut every pair of different components that shares a bucket has been tested.
-        if found.filter("cut").isEmpty():
-            break
-        partners *= 8
+    known = inside.filter("size > 2").select("bucket", "class").join(labels.withColumnRenamed("v", "class"), "class", "left")
+    known = stored(known.withColumn("label", F.coalesce("label", "class")), "labelled")
+    # Members outside their bucket's largest component ask; a bucket of one component is done.
+    by_label = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    shape = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"))
+    open_buckets = shape.filter(F.col("size") > F.col("most.n")).select(
+        "bucket", "size", (F.col("size") - F.col("most.n")).alias("lefts"), F.col("most.label").alias("main")
+    )
+    members = known.join(stored(open_buckets, "open"), "bucket").withColumn("left", F.col("label") != F.col("main"))
+    members = stored(members.drop("main"), "askers")
+    asked = classes.join(members.select("class").distinct(), "class")
+    sets = full_sets(docs, asked.select("class", "text_hash", "n", "f1", "f2"), words)
+    members = members.join(asked.select("class", "n", "sketch"), "class").join(sets, "class")
+    more = stored(across(members, least).distinct(), "links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
 
     merged = classes.join(labels.withColumnRenamed("v", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     tops = merged.groupBy("label").agg(F.min("top").alias("first"))

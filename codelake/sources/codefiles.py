@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from codelake.operators.small import schema_of
+from codelake.operators.small import schema_of, settled
 from codelake.schemas import RAW_FILES
 from codelake.settings import (
     BINARY_PROBE_BYTES,
@@ -25,6 +25,8 @@ from codelake.settings import (
 )
 
 LISTING = "path string, size_bytes bigint, mtime bigint"
+BATCH_BYTES = 16 << 20  # of file contents in a batch
+TASK_BYTES = 128 << 20  # of listed files for a reading task
 
 
 class Subtrees(InputPartition):
@@ -107,8 +109,11 @@ def list_files(
     )
 
 
-def with_content(listing: DataFrame, root: str) -> DataFrame:
-    """Add the raw bytes of each listed file, or the reason it could not be read."""
+def with_content(listing: DataFrame, root: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Add the raw bytes of each listed file, or the reason it could not be read.
+
+    A worker holds at most ``batch_bytes`` and one more file at a time.
+    """
     schema = pa.schema(
         [
             ("path", pa.string()),
@@ -121,23 +126,22 @@ def with_content(listing: DataFrame, root: str) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            contents, errors = [], []
-            for path in batch.column("path").to_pylist():
+            rows = zip(*(batch.column(c).to_pylist() for c in ("path", "size_bytes", "mtime")))
+            held, weight = [], 0
+            for path, size, mtime in rows:
+                content, error = None, None
                 try:
                     with open(os.path.join(root, path), "rb") as f:
-                        contents.append(f.read())
-                    errors.append(None)
+                        content = f.read()
                 except OSError as e:
-                    contents.append(None)
-                    errors.append(type(e).__name__)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in ("path", "size_bytes", "mtime")),
-                    pa.array(contents, pa.binary()),
-                    pa.array(errors, pa.string()),
-                ],
-                schema=schema,
-            )
+                    error = type(e).__name__
+                held.append((path, size, mtime, content, error))
+                weight += len(content or b"")
+                if weight >= batch_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+                    held, weight = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
     return listing.select("path", "size_bytes", "mtime").mapInArrow(
         read, LISTING + ", content binary, error string"
@@ -174,8 +178,11 @@ def read_repo(
             names += ignored_names(f.read())
     listing = list_files(spark, root, names, partitions)
     wanted = select_by_name_and_size(listing, names, exclude_files, max_bytes)
-    # Deal files out evenly before the reading: subtrees differ in size.
-    spread = wanted.repartition(partitions)
+    # Deal files out evenly before the reading: subtrees differ in size. The listing is settled first,
+    # so that it is not made twice and its bytes tell how many tasks should share the reading.
+    wanted = settled(wanted, "listing")
+    listed = wanted.agg(F.sum("size_bytes")).first()[0] or 0
+    spread = wanted.repartition(max(partitions, -(-listed // TASK_BYTES)))
     raw = with_content(spread, root).withColumn("repo", F.lit(repo))
     # A file that vanished or cannot be read counts as binary, like one with a NUL near its start.
     text = raw.filter(F.col("error").isNull() & ~is_binary(F.col("content"), BINARY_PROBE_BYTES))

@@ -11,7 +11,7 @@ from codelake.plans import corpora as C
 from codelake.plans.index import build_index, index_from_files, open_index, purge, refresh, stats
 from codelake.plans.search import search, with_context
 from codelake.schemas import RAW_FILES
-from codelake.sources.codefiles import list_files, read_repo
+from codelake.sources.codefiles import list_files, read_repo, with_content
 from codelake.sources.reports import markdown_table, read_benchmarks
 from codelake.sources.store import IndexStore
 
@@ -215,3 +215,10 @@ def test_benchmark_reports(spark, tmp_path):
     lines = {(r.part, r.place): r.line for r in markdown_table(read_benchmarks(spark, str(path))).collect()}
     assert lines["row", "a"] == "| a | 12,345 | 3 | 1,000 | 0.50s | 1.25 MB | 0.10 ms | 2.00 ms |"
     assert lines["average", ""].startswith("| **AVERAGE** | **6,175** | **3** | **1,000** | **0.50s** |")
+
+
+def test_contents_come_in_batches_of_bounded_bytes(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"f{i:02}.py").write_bytes(b"#" * 100_000)
+    rows = with_content(list_files(spark, str(tmp_path), (), 1), str(tmp_path), batch_bytes=250_000).collect()
+    assert len(rows) == 60 and all(len(r.content) == r.size_bytes and r.error is None for r in rows)

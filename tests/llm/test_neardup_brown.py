@@ -36,20 +36,19 @@ def variants(seed, n, length, changes):
     return out
 
 
-@pytest.mark.parametrize("block", [neardup.BLOCK_ROWS, 7])
-def test_groups_are_those_of_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "words"), [(neardup.BLOCK_ROWS, 5), (7, 4)])
+def test_groups_are_those_of_brute_force(spark, monkeypatch, block, words):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
     texts = variants(1, 60, 120, 5) + variants(2, 40, 60, 4) + variants(3, 30, 200, 14) + variants(4, 20, 9, 1)
     texts += [t.upper() + " \n" for t in texts[:20]] + ["a b", "A  b", "a b c", "", None, " \n", "one two three four", "x " * 500, "x x x x x"]
     random.Random(9).shuffle(texts)
     rows = [(i * 7 % 1009, t, 1, "x") for i, t in enumerate(texts)]
-    for words in (4, 5):
-        found = {r.doc_id: r for r in neardup.groups(spark.createDataFrame(rows, DOCS), words=words).collect()}
-        expected = brute.near_groups([x[:2] for x in rows], words)
-        assert len(found) == len(rows)
-        for (k, t, *_), top in zip(rows, expected, strict=True):
-            assert found[k].n_shingles == len(brute.shingles(t, words)), (k, t)
-            assert found[k].component_id == top, (k, t)
+    found = {r.doc_id: r for r in neardup.groups(spark.createDataFrame(rows, DOCS), words=words).collect()}
+    expected = brute.near_groups([x[:2] for x in rows], words)
+    assert len(found) == len(rows)
+    for (k, t, *_), top in zip(rows, expected, strict=True):
+        assert found[k].n_shingles == len(brute.shingles(t, words)), (k, t)
+        assert found[k].component_id == top, (k, t)
 
 
 def test_rows_without_names_repeats_and_nothing(spark):

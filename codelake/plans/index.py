@@ -88,6 +88,7 @@ def refresh(
     force: bool = False,
     buckets: int = 64,
     chunk_lines: int = CHUNK_LINES,
+    stem: bool = True,
 ) -> dict:
     """Bring the index of one repository in line with ``raw_files`` rows, all of it scanned."""
     store = IndexStore(spark, directory, buckets)
@@ -99,17 +100,22 @@ def refresh(
     # An unchanged file needs no text any more; a skipped one is only counted.
     content = F.when(F.col("status").isin("new", "updated"), F.col("content"))
     return apply_delta(
-        store, delta.unionByName(skipped).withColumn("content", content), chunk_lines
+        store, delta.unionByName(skipped).withColumn("content", content), chunk_lines, stem
     )
 
 
-def apply_delta(store: IndexStore, delta: DataFrame, chunk_lines: int = CHUNK_LINES) -> dict:
+def apply_delta(
+    store: IndexStore, delta: DataFrame, chunk_lines: int = CHUNK_LINES, stem: bool = True
+) -> dict:
     """Carry a delta (file columns, content, status) into the store; returns the counters.
 
+    Whether terms are stemmed is decided when the index is made; later runs keep to it.
     The delta is written once and read back, so reading, hashing and decoding are not repeated for
     each table. Only buckets with a changed or deleted file are rewritten.
     """
     snapshot = store.snapshot()
+    if "stem" in snapshot.metadata:
+        stem = snapshot.metadata["stem"] == "true"
     version = store.new_version()
     staged = store.stage(delta, version, "delta")
     counters = run_counters(staged).first().asDict()
@@ -130,12 +136,12 @@ def apply_delta(store: IndexStore, delta: DataFrame, chunk_lines: int = CHUNK_LI
 
     if touched:
         # Four independent jobs: one's last tasks leave room for the next one's first.
-        tables = {"postings": build_postings(chunks), "chunks": chunks, "symbols": symbols, "files": fresh}
+        tables = {"postings": build_postings(chunks, stem), "chunks": chunks, "symbols": symbols, "files": fresh}
         with ThreadPoolExecutor(len(tables)) as pool:
             list(pool.map(write, tables, tables.values()))
     if touched or snapshot.n == 0:
         created = snapshot.metadata.get("created_at", str(int(time.time())))
-        metadata = {"schema_version": SCHEMA_VERSION, "created_at": created, "stem": "true"}
+        metadata = {"schema_version": SCHEMA_VERSION, "created_at": created, "stem": str(stem).lower()}
         snapshot = store.publish(snapshot, {b: version for b in touched}, metadata)
     counters["files_failed"] += parsed.filter(F.col("error").isNotNull()).count()
     counters["symbols_extracted"] = symbols.count()

@@ -67,6 +67,7 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, repo, file_path, line_number, symbol_name) AS rank
   FROM (SELECT * FROM texts UNION ALL SELECT * FROM symbols)),
 results AS (SELECT * FROM ranked WHERE rank <= 10) """
+INDEXED = f"WITH {DOCS}, {GENERATED}, {MIXED}"  # what the results are found in
 ROW = "query_id, rank, repo, file_path, line_number, snippet, score, match_type, language, symbol_name, symbol_kind"
 
 
@@ -214,7 +215,13 @@ def text_syntax(spark, sf):
     return scored.select("query_id", "path", "chunk_id")
 
 
-@query("chk_08_results_with_context")
+@query(
+    "chk_08_results_with_context",
+    RESULTS
+    + f"""SELECT {ROW}, array_to_string(list_transform(ls[greatest(1, line_number - 2):least(len(ls), line_number + 2)],
+           lambda l, i: printf('%4d | %s', greatest(1, line_number - 2) + i - 1, rtrim(l))), chr(10)) AS context_lines
+         FROM results JOIN (SELECT repo AS in_repo, path AS in_path, ls FROM lines) ON in_repo = repo AND in_path = file_path""",
+)
 def results_with_context(spark, sf):
     index = C.mixed_index(spark, sf)
     asked = C.requests(spark, context=2)

@@ -41,9 +41,9 @@ def score_chunks(parts: DataFrame, phrases: DataFrame) -> DataFrame:
 def score_text(index, parsed: DataFrame) -> DataFrame:
     """Every chunk that answers the text of a request, scored, before filters and limits."""
     phrases = settled(text_phrases(parsed), "phrases")
-    rows = phrase_rows(phrases, index.stem)
-    # Prefixes stand for terms of the index; the few rows of this table are read once more to expand them.
-    words = settled(expand_prefixes(rows, index.postings.select("term").distinct()), "words")
+    words = settled(phrase_rows(phrases, index.stem), "words")
+    if not words.filter("prefix").isEmpty():  # prefixes stand for terms of the index
+        words = settled(expand_prefixes(words, index.postings.select("term").distinct()), "words")
     return score_chunks(score_parts(match_phrases(index.postings, words), index.stats), phrases)
 
 

@@ -145,8 +145,9 @@ def apply_delta(
         snapshot = store.publish(snapshot, {b: version for b in touched}, metadata)
     counters["files_failed"] += parsed.filter(F.col("error").isNotNull()).count()
     counters["symbols_extracted"] = symbols.count()
-    written = store.table("chunks", snapshot).select(*FILE_KEY)
-    counters["chunks_created"] = written.join(fresh.select(*FILE_KEY), FILE_KEY, "left_semi").count()
+    written = store.table("chunks", snapshot).filter(F.col("bucket").isin(touched)).select(*FILE_KEY)
+    created = written.join(fresh.select(*FILE_KEY), FILE_KEY, "left_semi").count() if touched else 0
+    counters["chunks_created"] = created
     store.drop_stage(version)
     return counters
 

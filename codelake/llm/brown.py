@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelake.llm.scratch import stored
-from codelake.llm.textkernel import blocks, lower_words, mixed, ranges, span_hashes, utf8
+from codelake.llm.textkernel import BLOCK, blocks, lower_words, mixed, parts, ranges, span_hashes, utf8
 
 LEXICON = 4096
 ENDINGS = 512
@@ -30,6 +30,7 @@ SWEEPS = 12
 PULL = 1.0  # pseudo-counts by which a transition leans on the share of its class
 END_WORD = np.int64(zlib.crc32(b"end of a text"))  # stands for the end among the hashes of words
 FOLDS, HELD_OUT = 5, 1
+COUNTED = 4 * BLOCK  # bytes of text counted together before Spark adds up
 MARK = np.isin(np.arange(256), list(b"!\"'(),-.:;?")).astype(np.int64)
 
 
@@ -74,11 +75,11 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(word, ending, n) of all words and of the end."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [(with_ends(w, f, END_WORD), with_ends(e, f, 0)) for _, w, e, f in hashed(batch)]
-            if not parts:
+        for batch in parts(batches, COUNTED):
+            found = [(with_ends(w, f, END_WORD), with_ends(e, f, 0)) for _, w, e, f in hashed(batch)]
+            if not found:
                 continue
-            words, endings = (np.concatenate(x) for x in zip(*parts, strict=True))
+            words, endings = (np.concatenate(x) for x in zip(*found, strict=True))
             code, keys = pd.factorize(words)
             of = np.zeros(len(keys), np.int64)
             of[code] = endings
@@ -95,7 +96,7 @@ def type_bigrams(train: DataFrame, types: Types) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(types)
-        for batch in batches:
+        for batch in parts(batches, COUNTED):
             pairs = []
             for _, words, endings, first in hashed(batch):
                 seq = with_ends(types.of(words, endings), first, 0)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelake.llm.scratch import stored
+from codelake.llm.textkernel import parts
 from codelake.llm.tokenids import encoder, with_end
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
@@ -38,7 +39,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end: int, with_ids: bool
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             ids, sizes = with_end(*encoder(tokenizer).encode(batch.column("text")), end)
             if not len(sizes):
                 continue

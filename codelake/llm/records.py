@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from codelake.llm.checksums import crc32c, masked
 from codelake.llm.scratch import new_folder
+from codelake.llm.textkernel import parts
 from codelake.llm.tokenids import encoder, with_end
 
 HEAD, TAIL = 12, 4
@@ -71,19 +72,19 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int =
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "records")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.monotonically_increasing_id().alias("at"),
     )
-    order = rows.repartitionByRange(parts, "doc_id", "at").sortWithinPartitions("doc_id", "at")
+    order = rows.repartitionByRange(files, "doc_id", "at").sortWithinPartitions("doc_id", "at")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = opened(f"{folder}/data")
         task = TaskContext.get()
         part, offset, before, stream = task.partitionId(), 0, 0, None
         temporary = f"{path}/.{part}-{task.taskAttemptId()}"
-        for batch in batches:
+        for batch in parts(batches):
             ids, sizes = with_end(*encoder(tokenizer).encode(batch.column("text")), end)
             if not len(sizes):
                 continue

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 4 << 20  # bytes of text looked at together, so that the 8-byte arrays beside it stay small
+BLOCK = 2 << 20  # bytes of text looked at together, so that the 8-byte arrays beside it stay small
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -38,6 +38,13 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]
         lo = hi
 
 
+def parts(batches: Iterator[pa.RecordBatch], limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about `limit` bytes of column `text`, so that what is made of one stays small."""
+    for batch in batches:
+        for lo, hi in blocks(utf8(batch.column("text"))[1], limit):
+            yield batch.slice(lo, hi - lo)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every bit of the input reaches every bit of the output."""
     x = x ^ (x >> np.uint64(30))
@@ -54,7 +61,7 @@ def _raised(base: int, n: int) -> np.ndarray:
         known = np.full(size, base, np.uint64)
         known[0] = 1
         np.multiply.accumulate(known, out=known)
-        if size <= 2 * BLOCK:
+        if size <= BLOCK + 1:
             _powers[base] = known
     return known[:n]
 

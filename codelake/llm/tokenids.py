@@ -24,7 +24,7 @@ ASCII_MARK = np.isin(np.arange(256), [b for b in b"!\"#$%&()*+,-./:;<=>?@[]^_`{|
 _encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
-def encoder(path: str, remembered: int = 1_000_000) -> "Encoder":
+def encoder(path: str, remembered: int = 300_000) -> "Encoder":
     """One encoder per Python worker; it remembers at most so many distinct pieces and then starts over."""
     key = (path, remembered)
     if key not in _encoders:

@@ -44,9 +44,17 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="codelake-")
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
+    """Send this package to the Python workers, once per application.
+
+    Batches sent to workers are bounded by bytes as well, unless the session already says how.
+    """
     context = spark.sparkContext
+    if spark.conf.get(ARROW_BYTES, "64m") in ("64m", "67108864", "67108864b"):
+        spark.conf.set(ARROW_BYTES, "16m")
     if any(f.endswith("/codelake.zip") for f in context.listFiles):
         return
     package = Path(__file__).parent

@@ -95,8 +95,11 @@ def floor_of(least: float) -> float:
     return least - SLACK * (least * (1 - least) / REGISTERS) ** 0.5
 
 
-def sketch(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, doc_id, text_hash, n, f1, f2, sketch) per document; an empty set has n = 0 and no sketch."""
+def sketch(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(row, doc_id, text_hash, n, f1, f2, sketch) per document; an empty set has n = 0 and no sketch.
+
+    `row` names a column of distinct numbers; without it rows are numbered here, for this reading only.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +125,7 @@ def sketch(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "tex
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"),
         F.xxhash64(body).alias("text_hash"), body.alias("text"),
     )
     return rows.mapInArrow(find, "row bigint, doc_id bigint, text_hash bigint, n bigint, f1 bigint, f2 bigint, sketch binary")
@@ -252,7 +255,9 @@ def links_in(rows: pa.StructArray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def groups(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(
+    docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text", row: str | None = None
+) -> DataFrame:
     """One row (row, doc_id, n_shingles, component_id, first_row) per document.
 
     Two documents are linked if the Jaccard similarity of their shingle sets is at least `least`; `component_id` is the
@@ -260,9 +265,9 @@ def groups(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str = "d
     texts, and texts without words, have empty sets and are linked with nothing, not even with each other. A null
     doc_id sorts last: it is a component's id only if the component has no other. Repeated rows fall into one component.
     Other columns are ignored; an empty table gives no rows. The table is read again to verify, so `docs` must give the
-    same texts each time.
+    same texts each time. `row` names a column of distinct numbers that tell the rows apart, if there is one.
     """
-    sketched = stored(sketch(docs, words, doc_id, text), "sketches")
+    sketched = stored(sketch(docs, words, doc_id, text, row), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
     classes = stored(
         sketched.filter("n > 0").groupBy("n", "f1", "f2")
@@ -315,8 +320,10 @@ def groups(docs: DataFrame, words: int = 5, least: float = 0.8, doc_id: str = "d
 def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The documents, one of each group of near-duplicates, with all their columns.
 
-    Rows are told apart by their position, so `docs` must be a table: the same rows in the same order at each reading.
+    Rows are numbered once and written with their numbers: a later reading may split files differently and would number
+    them differently.
     """
-    keep = stored(groups(docs, words, least).filter("row = first_row").select("row"), "kept")
-    numbered = docs.select(whole(docs).alias("document"), F.monotonically_increasing_id().alias("row"))
-    return numbered.join(small(keep, 1_000_000), "row", "left_semi").select("document.*")
+    placed = stored(docs.select(F.monotonically_increasing_id().alias("row"), whole(docs).alias("document")), "placed")
+    found = groups(placed.select("row", "document.doc_id", "document.text"), words, least, row="row")
+    keep = stored(found.filter("row = first_row").select("row"), "kept")
+    return placed.join(small(keep, 1_000_000), "row", "left_semi").select("document.*")

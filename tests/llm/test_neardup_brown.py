@@ -70,6 +70,28 @@ def test_one_of_each(spark, tmp_path):
     assert sorted((r.doc_id or 0, r["class"]) for r in kept.collect()) == [(0, "n"), (1, "z"), (3, "y")]
 
 
+def test_one_of_each_when_files_are_split_differently_at_the_end(spark, tmp_path, monkeypatch):
+    rows = [(100 - i, f"a clean text of its own number {i}", 1, "x") for i in range(40)] + [(i + 200, f"copied {i % 3} " * 9, 1, "y") for i in range(9)]
+    spark.createDataFrame(rows, DOCS).repartition(7).write.parquet(str(tmp_path / "d"))
+    grouped, conf = neardup.groups, "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(conf)
+
+    def groups(*args, **kwargs):
+        found = neardup.stored(grouped(*args, **kwargs), "found")
+        spark.conf.set(conf, "128m")  # one file a task from now on, as after a change of executors
+        return found
+
+    monkeypatch.setattr(neardup, "groups", groups)
+    try:
+        spark.conf.set(conf, "1")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        kept = sorted(r.doc_id for r in neardup.one_of_each(spark.read.parquet(str(tmp_path / "d"))).collect())
+    finally:
+        spark.conf.set(conf, before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert kept == sorted([100 - i for i in range(40)] + [200, 201, 202])
+
+
 def test_likelihood_finds_the_similarity():
     r = np.random.default_rng(3)
     for size, shared in ((400, 360), (400, 200), (50, 48), (1000, 0)):

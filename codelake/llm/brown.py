@@ -1,13 +1,14 @@
 """Scores of documents under a Brown class-based bigram model.
 
-p(word | word before) = p(class | class before) * p(word | class). Classes come from exchange clustering, which moves one
-type after another to the class that raises the likelihood of the class bigrams most. Types are the words that make up
-at least 1/LEXICON of the training tokens (so there are at most LEXICON of them, whatever the corpus) and the endings of
-all other words, so that a rare or unseen word has a class too. Word counts, class counts and bigrams cover every
-training document. Spark gathers them; the exchange itself works on the bigrams of types, a table of at most
-(1 + LEXICON + ENDINGS)^2 cells whatever the corpus. What grows with the corpus stays distributed: the counts of all
-words are a table that the words of the texts are joined with, and only types, classes and their numbers are sent to the
-tasks.
+p(word | word before) = p(class | class before) * p(word | class). Classes come from exchange clustering, which moves
+types to the class that raises the likelihood of the class bigrams most. Types are all words that occur at least LEAST
+times in the training texts and the endings of the other words, so that a rare or unseen word has a class too. Words of
+at least 1/LEXICON of the training tokens (at most LEXICON, whatever the corpus) and endings are clustered first, one
+after another, by the driver; every other type starts in the class of its ending. Then Spark moves all types, a part of
+them in each round: the tokens, written once as numbers of types, give each type's counts with the classes beside it,
+and each type goes to its best class. A round that does not raise the likelihood is taken back; smaller parts follow.
+The list of types with their counts and classes is sent to the tasks; it grows with the number of words that occur LEAST
+times. Counts of rarer words are a table that the words of the texts are joined with.
 """
 
 import zlib
@@ -27,19 +28,27 @@ LEXICON = 4096
 ENDINGS = 512
 CLASSES = 64
 SWEEPS = 12
+LEAST = 10  # a word that occurs so often in the training texts is a type
+ROUNDS = 12  # in which a part of the types moves together
+MOST_PARTS = 16  # types are dealt into two parts; into twice as many whenever moving them together does harm
+STILL = 0.005  # rise of the likelihood a token with which the rounds end
+SPREAD = 20_000  # counts that are tried in all classes together
 PULL = 1.0  # pseudo-counts by which a transition leans on the share of its class
 END_WORD = np.int64(zlib.crc32(b"end of a text"))  # stands for the end among the hashes of words
 FOLDS, HELD_OUT = 5, 1
 COUNTED = 4 * BLOCK  # bytes of text counted together before Spark adds up
+GATHERED = 1 << 21  # tokens counted together
 MARK = np.isin(np.arange(256), list(b"!\"'(),-.:;?")).astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Types:
-    """Frequent words by ascending hash with their counts. Type 0 is the end, then come the words, then the endings."""
+    """Words by ascending hash with counts and endings. Type 0 is the end, then come the words, then the endings."""
 
     hashes: np.ndarray
     counts: np.ndarray
+    endings: np.ndarray
+    tokens: int  # of all words, and ends
 
     def __len__(self) -> int:
         return 1 + len(self.hashes) + ENDINGS
@@ -91,24 +100,134 @@ def word_counts(train: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
 
 
-def type_bigrams(train: DataFrame, types: Types) -> DataFrame:
-    """(a, b, n): how often type b follows type a; texts begin after an end and close with one."""
+def numbered(train: DataFrame, types: Types) -> DataFrame:
+    """(tokens): the types of each text's words and its end."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, words, endings, first in hashed(batch):
+                tokens = with_ends(types.of(words, endings), first, 0).astype(np.int32)
+                at = (first + np.arange(len(first))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at), pa.array(tokens))], names=["tokens"])
+
+    return train.select("text").mapInArrow(number, "tokens array<int>")
+
+
+def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The tokens of some texts, one text after the other."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch.column("tokens").flatten().to_numpy())
+        n += len(held[-1])
+        if n >= GATHERED:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
+def bigrams(tokens: DataFrame, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n): how often group b follows group a, at most one row for each two; `of` gives the group of each type."""
+    size = int(of.max()) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(types)
-        for batch in parts(batches, COUNTED):
-            pairs = []
-            for _, words, endings, first in hashed(batch):
-                seq = with_ends(types.of(words, endings), first, 0)
-                pairs.append(np.append(0, seq[:-1]) * size + seq)
-            if pairs:
-                code, keys = pd.factorize(np.concatenate(pairs))
+        for seq in sequences(batches):
+            seq = of[seq].astype(np.int64)
+            code, keys = pd.factorize(np.append(0, seq[:-1]) * size + seq)  # texts begin after an end
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(code))], names=["pair", "n"])
+
+    found = tokens.mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    found = found.toPandas().sort_values("pair")
+    pair, n = (found[c].to_numpy(np.int64) for c in ("pair", "n"))
+    return pair // size, pair % size, n
+
+
+def beside(tokens: DataFrame, cls: np.ndarray, part: int, parts: int, classes: int) -> DataFrame:
+    """(type, code, n), as lists, for one part of the types: code c counts class c before it, classes + 1 + c class c after it,
+    and 2 * (classes + 1) the type itself after it, which the others leave out."""
+    span = classes + 1
+    codes = 2 * span + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seq in sequences(batches):
+            b = seq.astype(np.int64)
+            a = np.append(0, b[:-1])
+            same, asks = a == b, (b > 0) & (b % parts == part)
+            before = (b * codes + np.where(same, 2 * span, cls[a]))[asks]
+            asks = (a > 0) & (a % parts == part) & ~same
+            keys, n = np.unique(np.concatenate([before, (a * codes + span + cls[b])[asks]]), return_counts=True)
+            of = keys // codes
+            at = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(of)).astype(np.int32)), pa.array(keys % codes + codes * n))
+            yield pa.RecordBatch.from_arrays([pa.array(of[at].astype(np.int32)), lists], names=["type", "counts"])
+
+    # Packed as lists for the shuffle; all that follows is done where a type's rows are.
+    found = tokens.mapInArrow(count, "type int, counts array<bigint>").repartition("type")
+    found = found.select("type", F.explode("counts").alias("x"))
+    found = found.groupBy("type", (F.col("x") % codes).cast("int").alias("code")).agg(F.sum(F.expr(f"x div {codes}")).alias("n"))
+    return found.groupBy("type").agg(F.collect_list(F.struct("code", "n")).alias("counts"))
+
+
+def moves(counts: DataFrame, cls: np.ndarray, matrix: np.ndarray) -> DataFrame:
+    """(type, best) for the types of `beside` whose best class is another than now."""
+    span = len(matrix)
+    codes = 2 * span + 1
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("counts")
+            at = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())))
+            flat = lists.flatten()
+            code, n = (flat.field(c).to_numpy().astype(np.int64) for c in ("code", "n"))
+            types = batch.column("type").to_numpy()
+            for lo, hi in blocks(at, SPREAD):
+                row = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
+                part = slice(at[lo], at[hi])
+                order = np.argsort(row * codes + code[part], kind="stable")  # sums are the same whatever the order
+                own = cls[types[lo:hi]].astype(np.int64)
+                best, gain = best_classes(types[lo:hi], own, row[order], code[part][order], n[part][order].astype(float), matrix)
+                goes = (best != own) & (gain > 1e-6)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((keys // size).astype(np.int32)), pa.array((keys % size).astype(np.int32)), pa.array(np.bincount(code))],
-                    names=["a", "b", "n"],
+                    [pa.array(types[lo:hi][goes]), pa.array(best[goes].astype(np.int32))], names=["type", "best"]
                 )
 
-    return train.select("text").mapInArrow(count, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return counts.mapInArrow(move, "type int, best int")
+
+
+def likelihood(matrix: np.ndarray) -> float:
+    return float(xlogx(matrix).sum() - xlogx(matrix.sum(axis=0)).sum() - xlogx(matrix.sum(axis=1)).sum())
+
+
+def class_matrix(tokens: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray:
+    out = np.zeros((classes + 1, classes + 1))
+    a, b, n = bigrams(tokens, cls)
+    out[a, b] = n
+    return out
+
+
+def clustered(tokens: DataFrame, types: Types, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each type and the bigrams of classes."""
+    n_words = len(types.hashes)
+    heads = np.flatnonzero(types.counts * LEXICON >= types.tokens)
+    of = np.concatenate([[0], 1 + len(heads) + types.endings, 1 + len(heads) + np.arange(ENDINGS)]).astype(np.int32)
+    of[1 + heads] = 1 + np.arange(len(heads))
+    a, b, n = bigrams(tokens, of)
+    cls = exchange(a, b, n, 1 + len(heads) + ENDINGS, classes)[of].astype(np.int16)
+    matrix = class_matrix(tokens, cls, classes)
+    held, parts = likelihood(matrix), 2
+    for k in range(ROUNDS if n_words else 0):
+        found = moves(beside(tokens, cls, k % parts, parts, classes), cls, matrix).toPandas()  # at most one row a type
+        after = cls.copy()
+        after[found["type"].to_numpy(np.int64)] = found["best"].to_numpy(np.int16)
+        made = class_matrix(tokens, after, classes)
+        rise = likelihood(made) - held
+        if rise > 0:
+            cls, matrix, held = after, made, held + rise
+        else:
+            parts *= 2
+        if 0 < rise < STILL * matrix.sum() or parts > MOST_PARTS:
+            break
+    return cls, matrix
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -139,6 +258,49 @@ def best_class(own: int, left: np.ndarray, right: np.ndarray, itself: float, mat
     return best, float(gain[best] - gain[own])
 
 
+def best_classes(
+    types: np.ndarray, own: np.ndarray, row: np.ndarray, code: np.ndarray, n: np.ndarray, matrix: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """What best_class gives for many types, each on its own; `row` ascends and tells whose count (code, n) is.
+
+    Classes that are equally good, as empty ones are, are shared out, so that types moved together don't all take one.
+    """
+    span, many = len(matrix), len(own)
+    each = np.arange(many)
+    into, out, itself = np.zeros((many, span)), np.zeros((many, span)), np.zeros(many)
+    lead, follow, same = code < span, (code >= span) & (code < 2 * span), code == 2 * span
+    into[row[lead], code[lead]] = n[lead]
+    out[row[follow], code[follow] - span] = n[follow]
+    itself[row[same]] = n[same]
+
+    gain = np.zeros((many, span))
+    for of, c, x, m, other in (
+        (row[follow], code[follow] - span, n[follow], matrix.T, into),
+        (row[lead], code[lead], n[lead], matrix, out),
+    ):
+        if not len(of):
+            continue
+        cells = m[c]  # for each count, its cell in every class the type may go to, without what the type has there now
+        mine = c == own[of]
+        cells[mine] -= other[of[mine]]
+        cells[np.arange(len(of)), own[of]] -= x + np.where(mine, itself[of], 0)
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        gain[of[starts]] += np.add.reduceat(xlogx(cells + x[:, None]) - xlogx(cells), starts, axis=0)
+    diagonal = np.repeat(np.diag(matrix)[None, :], many, axis=0)
+    diagonal[each, own] -= into[each, own] + out[each, own] + itself
+    gain += xlogx(diagonal + out + into + itself[:, None]) - xlogx(diagonal + out) - xlogx(diagonal + into) + xlogx(diagonal)
+    for sums, more in ((matrix.sum(axis=1), out), (matrix.sum(axis=0), into)):
+        whole = more.sum(axis=1) + itself
+        rest = np.repeat(sums[None, :], many, axis=0)
+        rest[each, own] -= whole
+        gain -= xlogx(rest + whole[:, None]) - xlogx(rest)
+    gain[:, 0] = -np.inf
+    tied = gain >= gain.max(axis=1, keepdims=True) - 1e-7
+    pick = mixed(types.astype(np.uint64)) % tied.sum(axis=1).astype(np.uint64)
+    best = (tied.cumsum(axis=1) > pick.astype(np.int64)[:, None]).argmax(axis=1)
+    return best, gain[each, best] - gain[each, own]
+
+
 def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, types: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """The class of each type from its bigrams (a, b, n). Class 0 is the end's; the others start evenly filled.
 
@@ -204,20 +366,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes:
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, n_words = total["n"], total["v"]
 
-    frequent = words.filter((F.col("n") * LEXICON >= n_all) & (F.col("word") != int(END_WORD))).toPandas()  # at most LEXICON rows
-    frequent = frequent.sort_values("word")
-    types = Types(frequent["word"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64))
-    cells = type_bigrams(train, types).toPandas().sort_values(["a", "b"])  # at most one row for each two types
-    cells = [cells[c].to_numpy(np.int64) for c in "abn"]
-    cls = exchange(*cells, len(types), classes)
-    matrix = class_bigrams(*cells, cls, classes)
+    frequent = words.filter((F.col("n") >= LEAST) & (F.col("word") != int(END_WORD))).toPandas().sort_values("word")
+    types = Types(frequent["word"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64), frequent["ending"].to_numpy(np.int64), n_all)
+    cls, matrix = clustered(stored(numbered(train, types), "numbered"), types, classes)
     share = (matrix.sum(axis=0) + 1) / (matrix.sum() + classes + 1)
     step = np.log10((matrix + PULL * share) / (matrix.sum(axis=1, keepdims=True) + PULL))
 
-    spark = docs.sparkSession
-    # Distinct words per class: of the endings by a join with the small table, of the lexicon from the list itself.
-    lexicon = F.broadcast(spark.createDataFrame(pd.DataFrame({"word": types.hashes}), "word bigint"))
-    rare = words.filter(F.col("word") != int(END_WORD)).join(lexicon, "word", "left_anti")
+    # Distinct words per class: of the endings by a count of the rarer words, of the others from the list itself.
+    rare = words.filter((F.col("n") < LEAST) & (F.col("word") != int(END_WORD)))
     room = np.zeros((classes + 1, 2))
     np.add.at(room, cls[1 : 1 + len(types.hashes)], np.stack([types.counts, np.ones(len(types.hashes))], axis=1))
     for r in rare.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # at most ENDINGS rows
@@ -264,7 +420,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes:
     judged = rows.mapInArrow(
         judge, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_common bigint, common double, classes double"
     )
-    # The lexicon holds all words that repeat everywhere, so no word here gathers many rows.
+    # The types hold all words that the training texts repeat, so no word here gathers many of their rows.
     asked = rows.select("row", "text").mapInArrow(ask, "row bigint, word bigint, times int")
     met = asked.join(rare.select("word", "n"), "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare"),

@@ -128,6 +128,39 @@ def test_gain_of_a_move_is_the_change_of_the_objective():
         assert math.isclose(gain, max(moved) - moved[cls[t] - 1], abs_tol=1e-6)
 
 
+def test_many_types_find_the_classes_they_find_alone():
+    r = np.random.default_rng(5)
+    types, classes = 40, 6
+    n = r.integers(0, 9, (types, types)) * (r.random((types, types)) < 0.3)
+    cls = np.append(0, r.integers(1, classes, types - 1))
+    matrix = np.zeros((classes, classes))
+    np.add.at(matrix, (cls[:, None].repeat(types, 1), cls[None, :].repeat(types, 0)), n)
+    rows, alone = [], []
+    for t in range(1, types):
+        left, right = (np.bincount(cls, x, classes).astype(float) for x in (n[:, t], n[t]))
+        alone.append(brown.best_class(int(cls[t]), left, right, float(n[t, t]), matrix))
+        left[cls[t]] -= n[t, t]
+        right[cls[t]] -= n[t, t]
+        counts = [*left, *right, n[t, t]]
+        rows += [(t - 1, c, x) for c, x in enumerate(counts) if x]
+    row, code, x = (np.array(v) for v in zip(*rows, strict=True))
+    best, gain = brown.best_classes(np.arange(1, types), cls[1:], row, code, x.astype(float), matrix)
+    assert best.tolist() == [b for b, _ in alone] and np.allclose(gain, [g for _, g in alone])
+
+
+def test_words_below_the_lexicon_have_classes_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(brown, "LEXICON", 20)
+    r = random.Random(6)
+    rows = []
+    for k in range(400):  # words of three kinds, all with one ending, each after the marks of its kind
+        kind = k % 3
+        rows.append((k, " ".join(f"start{'abc'[kind]} mark{'def'[kind]} w{kind}{r.randrange(40)}zz" for _ in range(20)), 1, "x"))
+    held = [x for x in brown.score(spark.createDataFrame(rows, DOCS), classes=12).collect() if x.held_out]
+    # With one class for all words no token says which kind comes next: a third for the word and for the start after it.
+    one_class = (math.log10(1 / 120) + math.log10(1 / 3)) * 20 / 61
+    assert sum(x.score for x in held) / sum(x.n_tokens for x in held) > one_class + 0.1
+
+
 def corpus():
     r = random.Random(4)
     kinds = [[f"{p}{c}{i}" for i in range(30)] for p, c in (("ab", "x"), ("cd", "y"), ("ef", "z"))]

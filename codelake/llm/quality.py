@@ -5,7 +5,7 @@ text by Spark's own functions, so the projection pipelines with the scan and shu
 """
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +46,7 @@ RULES = (
     Rule("bullet_lines", "n_bullet_lines / greatest(n_lines, 1)", high=0.9, when="n_lines >= 4"),
     Rule("cut_lines", "n_cut_lines / greatest(n_lines, 1)", high=0.3, when="n_lines >= 4"),
 )
+LISTED = ("en", "fr", "es", "de")  # the languages of STOP_WORDS
 BASE_RULES = ("words", "repeated_words")
 COUNT = r"\b(n_\w+|word_chars)\b"
 
@@ -115,6 +116,13 @@ def failed_rules(rules: tuple[Rule, ...] = RULES) -> str:
     return "array_compact(array(" + ", ".join(map(fails, rules)) + "))"
 
 
+def rules_where_listed(lang: str = "lang") -> tuple[Rule, ...]:
+    """RULES for documents with a column of language codes: stop words are asked only of languages that have a list."""
+    code = f"lower(split(row.`{lang.replace('`', '``')}`, '[-_]')[0])"
+    listed = f"coalesce({code} IN ({', '.join(f"'{x}'" for x in LISTED)}), false)"
+    return tuple(replace(r, when=f"{r.when} AND {listed}") if r.name == "stop_words" else r for r in RULES)
+
+
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(row, counts, failed): `failed` names the rules a document fails; none failed means kept.
 

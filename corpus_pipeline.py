@@ -25,7 +25,7 @@ VOCABULARY, CAPACITY, END = public_tokenizers.path("byte_bpe_50k.json"), 1024, 2
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break no quality rule."""
     ship_package(spark)
-    return quality.judge(docs).filter(F.size("failed") == 0).select("row.*")
+    return quality.judge(docs, rules=quality.rules_where_listed()).filter(F.size("failed") == 0).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,14 @@ def test_every_stage_and_the_whole(spark, folder):
     assert len({r.sequence_id for r in found}) <= brute.best_fit_decreasing([r.length for r in found], 1024)
 
 
+def test_languages_without_a_list_need_no_stop_words(spark):
+    text = " ".join(f"слово{i} другое{i}" for i in range(40))
+    langs = ["ru", None, "en", "de-AT", "ko"]
+    rows = [(i, text, x, "s", len(text), "x", 1) for i, x in enumerate(langs)]
+    kept = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 4]
+
+
 def test_nothing_in_nothing_out(spark, folder, tmp_path):
     path, *_ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)

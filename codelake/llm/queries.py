@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from codelake.llm import brown, chat, decontamination, neardup, packing, quality, records, secrets, sharding, warc
+from codelake.llm import (
+    brown, chat, decontamination, neardup, negatives, packing, quality, records, runs, secrets, sharding, vecdup, warc,
+)
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -154,3 +156,78 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_brown_scores")
 def op2_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
+
+
+# Components only exist where there are links, which keeps the recursion short.
+@query(
+    "op12_embedding_near_dedup",
+    r"""
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+r AS (SELECT DISTINCT a AS v, a AS u FROM l UNION SELECT r.v, l.b FROM r JOIN l ON r.u = l.a),
+c AS (SELECT v, min(u) AS component_id FROM r GROUP BY v),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.component_id, vec_id) AS component_id,
+       vec_id = coalesce(c.component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN c ON c.v = vec_id LEFT JOIN n ON n.a = vec_id""",
+)
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdup.groups(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+@query(
+    "op11_hard_negatives",
+    r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM s JOIN p USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10""",
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seventh = F.col("vec_id") % 7 == 0
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.when(seventh, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    )
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
+# crc32 bit by bit over the digits of doc_id, then the lags at which words stand again, their unbroken stretches, and of
+# equal stretches the smallest lag.
+@query(
+    "op13_periodic_runs",
+    r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws, doc_id::VARCHAR AS s FROM documents),
+h AS (SELECT doc_id, ws, len(ws)::BIGINT AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+        range(1, len(s) + 1), lambda i: list_prepend(ascii(s[i])::BIGINT, list_transform(range(8), lambda x: -1::BIGINT))))),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) AS h FROM t),
+g AS (SELECT doc_id, ws, n, h % 10 = 0 AND n > 0 AS loops, CASE WHEN n > 0 THEN (h // 10) % n ELSE 0 END AS a, (h // 10) % 8 AS m FROM h),
+f AS (SELECT doc_id, CASE WHEN NOT loops THEN ws ELSE list_transform(range(n), lambda i:
+        ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + m)) END]) END AS ws, n FROM g),
+w AS (SELECT doc_id, n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM f),
+p AS (SELECT x.doc_id, y.i - x.i AS q, y.i AS i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w
+        AND y.i > x.i AND 4 * (y.i - x.i) <= y.n),
+k AS (SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS z, i FROM p),
+v AS (SELECT doc_id, q, min(i) - q AS s, max(i) + 1 - (min(i) - q) AS len FROM k GROUP BY doc_id, q, z
+      HAVING max(i) + 1 - (min(i) - q) >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, s, len, min(q) AS q FROM v GROUP BY doc_id, s, len),
+d AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM r),
+c AS (SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.i) AS text FROM w ANTI JOIN d USING (doc_id, i) GROUP BY w.doc_id),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, s, q) = 1),
+o AS (SELECT doc_id, count(*) AS n, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id)
+SELECT t.doc_id, coalesce(o.n, 0) AS n_runs, b.s AS start, b.len AS length, b.q AS period, 1000 * b.len // b.q AS exponent_milli,
+       sha256(coalesce(o.lines, '')) AS runs_sha256, sha256(coalesce(c.text, '')) AS collapsed_sha256
+FROM t LEFT JOIN o USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)""",
+)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find_runs(runs.looped(table(spark, sf_dir, "documents"))))

@@ -29,3 +29,16 @@ def small(frame: DataFrame, rows: int = 200_000) -> DataFrame:
 def whole(frame: DataFrame) -> Column:
     """All columns as one struct, so that names added beside it clash with none."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in frame.columns])
+
+
+def joined(rows: DataFrame, named: DataFrame, key: str, how: str = "inner", salts: int = 32) -> DataFrame:
+    """`rows` with the columns of `named`, which has one row per key, while any share of `rows` may have one key.
+
+    `named` is broadcast if it was counted to be small; else every row of it is given `salts` times, and the rows of a
+    key are dealt over so many tasks.
+    """
+    if named.count() <= 200_000:
+        return rows.join(F.broadcast(named), key, how)
+    salted = rows.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
+    copies = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")

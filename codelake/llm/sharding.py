@@ -13,6 +13,7 @@ from codelake.llm.scratch import stored
 # The generator of the published jump hash, and the modulus of 64-bit unsigned arithmetic.
 MULTIPLIER = "2862933555777941757BD"
 MODULUS = "18446744073709551616BD"
+HIGH = "8589934592BD"  # the upper 31 bits of the state count
 
 
 def jump_shards(key: Column, shards: int) -> tuple[Column, Column]:
@@ -27,7 +28,9 @@ def jump_shards(key: Column, shards: int) -> tuple[Column, Column]:
 
     def step(s: Column, _: Column) -> Column:
         state = ((s["state"] * F.expr(MULTIPLIER) + 1) % F.expr(MODULUS)).cast("decimal(38,0)")
-        draw = F.floor(state / F.expr("8589934592BD")).cast("double") + 1
+        # Division of a multiple is exact; of other numbers Spark would round the quotient at six places.
+        high = (state - state % F.expr(HIGH)) / F.expr(HIGH)
+        draw = high.cast("double") + 1
         there = F.floor((s["next"] + 1).cast("double") * (F.lit(2147483648.0) / draw)).cast("bigint")
         moved = F.struct(
             state.alias("state"),

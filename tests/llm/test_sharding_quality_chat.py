@@ -10,7 +10,7 @@ DOCS = "doc_id bigint, text string, shard int, n_words string"
 
 
 def test_jump_hash_and_slots(spark):
-    rows = [(k, "é" * (k % 5), 9, "x") for k in [*range(-3, 400), 2**62, -(2**63)]] + [(7, "é" * 2, 9, "x")] * 50 + [(None, None, 9, "x")]
+    rows = [(k, "é" * (k % 5), 9, "x") for k in [*range(-3, 400), 2**62, -(2**63), -9208964101768337578, -4597278083340949674]] + [(7, "é" * 2, 9, "x")] * 50 + [(None, None, 9, "x")]
     found = sharding.shard(spark.createDataFrame(rows, DOCS), shards=16, cell_rows=3).collect()
     assert len(found) == len(rows)
     for r in found:
@@ -20,6 +20,9 @@ def test_jump_hash_and_slots(spark):
     for s in range(16):
         assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
     assert next(r.size for r in found if r.doc_id is None) == 1
+    places = {r.doc_id: (r.shard, r.grown_shard) for r in found}
+    # Keys whose walk meets a quotient that six decimal places would round up.
+    assert (places[-9208964101768337578], places[-4597278083340949674]) == ((4, 4), (8, 8))
     assert {r.size for r in found if r.doc_id == 7} == {5}
 
 

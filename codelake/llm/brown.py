@@ -1,13 +1,13 @@
 """Scores of documents under a Brown class-based bigram model.
 
 p(word | word before) = p(class | class before) * p(word | class). Classes come from exchange clustering, which moves
-types to the class that raises the likelihood of the class bigrams most. Types are all words that occur at least LEAST
+types to the class that raises the likelihood of the class bigrams most. Types are all words that occur at least `least`
 times in the training texts and the endings of the other words, so that a rare or unseen word has a class too. Words of
-at least 1/LEXICON of the training tokens (at most LEXICON, whatever the corpus) and endings are clustered first, one
+at least 1/`lexicon` of the training tokens (at most `lexicon`, whatever the corpus) and endings are clustered first, one
 after another, by the driver; every other type starts in the class of its ending. Then Spark moves all types, a part of
 them in each round: the tokens, written once as numbers of types, give each type's counts with the classes beside it,
 and each type goes to its best class. A round that does not raise the likelihood is taken back; smaller parts follow.
-The list of types with their counts and classes is sent to the tasks; it grows with the number of words that occur LEAST
+The list of types with their counts and classes is sent to the tasks; it grows with the number of words that occur `least`
 times. Counts of rarer words are a table that the words of the texts are joined with.
 """
 
@@ -24,14 +24,9 @@ from pyspark.sql import functions as F
 from codelake.llm.scratch import stored
 from codelake.llm.textkernel import BLOCK, blocks, lower_words, mixed, parts, ranges, span_hashes, utf8
 
-LEXICON = 4096
 ENDINGS = 512
 CLASSES = 64
 SWEEPS = 12
-LEAST = 10  # a word that occurs so often in the training texts is a type
-ROUNDS = 12  # in which a part of the types moves together
-MOST_PARTS = 16  # types are dealt into two parts; into twice as many whenever moving them together does harm
-STILL = 0.005  # rise of the likelihood a token with which the rounds end
 SPREAD = 20_000  # counts that are tried in all classes together
 PULL = 1.0  # pseudo-counts by which a transition leans on the share of its class
 END_WORD = np.int64(zlib.crc32(b"end of a text"))  # stands for the end among the hashes of words
@@ -205,17 +200,19 @@ def class_matrix(tokens: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray
     return out
 
 
-def clustered(tokens: DataFrame, types: Types, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each type and the bigrams of classes."""
+def clustered(
+    tokens: DataFrame, types: Types, classes: int, lexicon: int, rounds: int, most_parts: int, still: float
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """The class of each type, the bigrams of classes, and by how much a token the last round raised the likelihood."""
     n_words = len(types.hashes)
-    heads = np.flatnonzero(types.counts * LEXICON >= types.tokens)
+    heads = np.flatnonzero(types.counts * lexicon >= types.tokens)
     of = np.concatenate([[0], 1 + len(heads) + types.endings, 1 + len(heads) + np.arange(ENDINGS)]).astype(np.int32)
     of[1 + heads] = 1 + np.arange(len(heads))
     a, b, n = bigrams(tokens, of)
     cls = exchange(a, b, n, 1 + len(heads) + ENDINGS, classes)[of].astype(np.int16)
     matrix = class_matrix(tokens, cls, classes)
-    held, parts = likelihood(matrix), 2
-    for k in range(ROUNDS if n_words else 0):
+    held, parts, rise = likelihood(matrix), 2, 0.0
+    for k in range(rounds if n_words else 0):
         found = moves(beside(tokens, cls, k % parts, parts, classes), cls, matrix).toPandas()  # at most one row a type
         after = cls.copy()
         after[found["type"].to_numpy(np.int64)] = found["best"].to_numpy(np.int16)
@@ -225,9 +222,9 @@ def clustered(tokens: DataFrame, types: Types, classes: int) -> tuple[np.ndarray
             cls, matrix, held = after, made, held + rise
         else:
             parts *= 2
-        if 0 < rise < STILL * matrix.sum() or parts > MOST_PARTS:
+        if 0 < rise < still * matrix.sum() or parts > most_parts:
             break
-    return cls, matrix
+    return cls, matrix, rise / max(matrix.sum(), 1.0)
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -347,8 +344,19 @@ def class_bigrams(a: np.ndarray, b: np.ndarray, n: np.ndarray, cls: np.ndarray,
     return out
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes: int = CLASSES) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+def score(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes: int = CLASSES, lexicon: int = 4096,
+    least: int = 10, rounds: int = 12, most_parts: int = 16, still: float = 0.005,
+) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity, last_rise.
+
+    What the clustering takes its time for is stated by parameters: words of at least 1/`lexicon` of the training tokens
+    are clustered one after another before the others (more of them: slower, and the driver holds their bigrams); words
+    of at least `least` training occurrences have a class of their own, rarer ones that of their ending (fewer: a longer
+    list of types); the exchange ends with a round that raises the likelihood by less than `still` a token, after
+    `rounds` rounds, or once the types are dealt into more than `most_parts` parts. `last_rise` is what the last round
+    raised the likelihood by a token (natural logarithm; not above 0 if it was taken back): a run that `rounds` has cut
+    short shows a value above `still`.
 
     Tokens are the words, lower-cased from A to Z, and one end. A document is held out of the training if the CRC-32 of
     its id as text leaves 1 modulo 5; a null id counts as 0 and is trained on. `base_score` is the add-a-half unigram
@@ -366,14 +374,15 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes:
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, n_words = total["n"], total["v"]
 
-    frequent = words.filter((F.col("n") >= LEAST) & (F.col("word") != int(END_WORD))).toPandas().sort_values("word")
+    frequent = words.filter((F.col("n") >= least) & (F.col("word") != int(END_WORD))).toPandas().sort_values("word")
     types = Types(frequent["word"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64), frequent["ending"].to_numpy(np.int64), n_all)
-    cls, matrix = clustered(stored(numbered(train, types), "numbered"), types, classes)
+    numbers = stored(numbered(train, types), "numbered")
+    cls, matrix, rise = clustered(numbers, types, classes, lexicon, rounds, most_parts, still)
     share = (matrix.sum(axis=0) + 1) / (matrix.sum() + classes + 1)
     step = np.log10((matrix + PULL * share) / (matrix.sum(axis=1, keepdims=True) + PULL))
 
     # Distinct words per class: of the endings by a count of the rarer words, of the others from the list itself.
-    rare = words.filter((F.col("n") < LEAST) & (F.col("word") != int(END_WORD)))
+    rare = words.filter((F.col("n") < least) & (F.col("word") != int(END_WORD)))
     room = np.zeros((classes + 1, 2))
     np.add.at(room, cls[1 : 1 + len(types.hashes)], np.stack([types.counts, np.ones(len(types.hashes))], axis=1))
     for r in rare.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # at most ENDINGS rows
@@ -433,6 +442,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes:
         "doc_id", "held_out", "n_tokens", (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("bigint").alias("train_tokens"),
         (counts - F.col("n_tokens") * log_all).alias("base_score"),
-        (counts - log_end + F.col("classes")).alias("score"),
+        (counts - log_end + F.col("classes")).alias("score"), F.lit(rise).alias("last_rise"),
     )
-    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return out.withColumn("perplexity", perplexity)

@@ -148,14 +148,13 @@ def test_many_types_find_the_classes_they_find_alone():
     assert best.tolist() == [b for b, _ in alone] and np.allclose(gain, [g for _, g in alone])
 
 
-def test_words_below_the_lexicon_have_classes_of_their_own(spark, monkeypatch):
-    monkeypatch.setattr(brown, "LEXICON", 20)
+def test_words_below_the_lexicon_have_classes_of_their_own(spark):
     r = random.Random(6)
     rows = []
     for k in range(400):  # words of three kinds, all with one ending, each after the marks of its kind
         kind = k % 3
         rows.append((k, " ".join(f"start{'abc'[kind]} mark{'def'[kind]} w{kind}{r.randrange(40)}zz" for _ in range(20)), 1, "x"))
-    held = [x for x in brown.score(spark.createDataFrame(rows, DOCS), classes=12).collect() if x.held_out]
+    held = [x for x in brown.score(spark.createDataFrame(rows, DOCS), classes=12, lexicon=20).collect() if x.held_out]
     # With one class for all words no token says which kind comes next: a third for the word and for the start after it.
     one_class = (math.log10(1 / 120) + math.log10(1 / 3)) * 20 / 61
     assert sum(x.score for x in held) / sum(x.n_tokens for x in held) > one_class + 0.1
@@ -172,10 +171,9 @@ def corpus():
     return rows + [(900, None, 1, "x"), (901, "", 1, "x"), (902, "never Seen before", 1, "x"), (5, texts[5], 1, "x"), (None, "no name", 1, "x")]
 
 
-def test_scores(spark, monkeypatch):
-    monkeypatch.setattr(brown, "LEXICON", 60)
+def test_scores(spark):
     rows = corpus()
-    found = brown.score(spark.createDataFrame(rows, DOCS), classes=6).collect()
+    found = brown.score(spark.createDataFrame(rows, DOCS), classes=6, lexicon=60).collect()
     assert len(found) == len(rows)
     tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(brute.LOWER)), "\n"]
     held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 5 == 1

@@ -31,7 +31,7 @@ RUNS = "length bigint, first bigint, count bigint, sequence bigint, each bigint,
 BROADCAST_RUNS = 200_000  # rows of 48 bytes
 
 
-def cut(docs: DataFrame, tokenizer: str, capacity: int, end: int, with_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, capacity: int, end: int, with_ids: bool = False, ordinary: bool = False) -> DataFrame:
     """Pieces of at most `capacity` ids; only the first piece of a document may be shorter than that.
 
     `nth` counts the earlier pieces of the same length in the same task, `part`.
@@ -40,7 +40,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end: int, with_ids: bool
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in parts(batches):
-            ids, sizes = with_end(*encoder(tokenizer).encode(batch.column("text")), end)
+            ids, sizes = with_end(*encoder(tokenizer, ordinary=ordinary).encode(batch.column("text")), end)
             if not len(sizes):
                 continue
             count = -(-sizes // capacity)
@@ -114,15 +114,18 @@ def supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, in
     return runs
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, with_ids: bool = False, ordinary: bool = False
+) -> DataFrame:
     """Pieces with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids if asked for).
 
     A null or empty text is the end id alone. Rows with a null or repeated doc_id are packed as documents of their
     own. Columns other than doc_id and text are ignored; an empty table gives no rows. Equal lengths are ranked by
-    task and position, so ties are placed in the order in which they were read.
+    task and position, so ties are placed in the order in which they were read. With `ordinary` the string of a special
+    token inside a text is encoded as ordinary text. A very long text is encoded whole, in one task.
     """
     spark = docs.sparkSession
-    pieces = stored(cut(docs, tokenizer, capacity, end, with_ids), "pieces")
+    pieces = stored(cut(docs, tokenizer, capacity, end, with_ids, ordinary), "pieces")
     cells = stored(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
     runs = spark.createDataFrame(supersteps(counts, capacity), RUNS)

@@ -24,6 +24,7 @@ from codelake.llm.tokenids import encoder, with_end
 HEAD, TAIL = 12, 4
 READ = 8 << 20  # bytes fetched at a time
 
+FILE_BYTES = 256 << 20  # of text in one file
 INDEX = "doc_id bigint, part int, offset bigint, n_tokens bigint, before bigint"
 
 
@@ -63,16 +64,21 @@ def framed(ids: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray,
     return out, begin * width
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int = 2, width: int = 2) -> Records:
+def write(
+    docs: DataFrame, tokenizer: str, folder: str | None = None, end: int = 2, width: int = 2, ordinary: bool = False
+) -> Records:
     """Encode the documents and write them in ascending doc_id order, one file per range of doc_ids.
 
     A null or empty text is a record of the end id alone. Null doc_ids come first; rows equal in doc_id are all kept,
     in the order they were read. Only doc_id and text are used; an empty table gives no files. A file is written under
-    a name of the attempt and then renamed, so a task that runs again replaces its own file with the same bytes.
+    a name of the attempt and then renamed, so a task that runs again replaces its own file with the same bytes. There
+    are as many files as shuffle partitions, or more where a file would hold over FILE_BYTES of text; a very long text is
+    a single record. With `ordinary` the string of a special token inside a text is encoded as ordinary text.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "records")
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string")).cast("bigint")), F.lit(0)).alias("n"))
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.first()["n"] // FILE_BYTES))
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.monotonically_increasing_id().alias("at"),
@@ -85,7 +91,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int =
         part, offset, before, stream = task.partitionId(), 0, 0, None
         temporary = f"{path}/.{part}-{task.taskAttemptId()}"
         for batch in parts(batches):
-            ids, sizes = with_end(*encoder(tokenizer).encode(batch.column("text")), end)
+            ids, sizes = with_end(*encoder(tokenizer, ordinary=ordinary).encode(batch.column("text")), end)
             if not len(sizes):
                 continue
             if width == 2 and int(ids.max()) > 0xFFFF:

@@ -2,15 +2,18 @@
 
 Byte-level vocabularies split a text before every blank that follows a non-blank, and between a letter and a mark,
 whatever stands around them. So a batch is cut there, each distinct piece is encoded once, and the ids are gathered. Other vocabularies are encoded
-text by text. Special tokens' strings inside a text are ordinary text.
+text by text, and so are texts that spell an added token, such as `<|endoftext|>`, which a plain call gives as that
+token's id. With `ordinary` they are read as any other text: a document cannot write an end into a sequence then.
 """
 
 import json
 import os
+import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from codelake.llm.textkernel import blocks, ranges, span_hashes, utf8
 
@@ -21,26 +24,28 @@ ASCII_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 LATIN_LETTER = np.isin(np.arange(256), [b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)])  # after a byte 0xC3
 ASCII_MARK = np.isin(np.arange(256), [b for b in b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"])  # not the apostrophe
 
-_encoders: dict[tuple[str, int], "Encoder"] = {}
+_encoders: dict[tuple[str, int, bool], "Encoder"] = {}
 
 
-def encoder(path: str, remembered: int = 300_000) -> "Encoder":
+def encoder(path: str, remembered: int = 300_000, ordinary: bool = False) -> "Encoder":
     """One encoder per Python worker; it remembers at most so many distinct pieces and then starts over."""
-    key = (path, remembered)
+    key = (path, remembered, ordinary)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, remembered)
+        _encoders[key] = Encoder(path, remembered, ordinary)
     return _encoders[key]
 
 
 class Encoder:
-    def __init__(self, path: str, remembered: int):
+    def __init__(self, path: str, remembered: int, ordinary: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = ordinary
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [t for t in spec.get("added_tokens") or [] if t["content"] and not (ordinary and t.get("special"))]
+        self.added = "|".join(sorted(re.escape(t["content"]) for t in added))
         pre = spec.get("pre_tokenizer") or {}
         self.split = (
             pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
@@ -126,6 +131,8 @@ class Encoder:
             found = [self.tokenizer.encode(t or "", add_special_tokens=False).ids for t in column.to_pylist()]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes
+        if self.added and (spelled := np.flatnonzero(pc.match_substring_regex(column, self.added).fill_null(False).to_numpy(False))).size:
+            return self._mixed(column, spelled)
         data, offsets = utf8(column)
         done = [
             self._block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in blocks(offsets)
@@ -134,6 +141,21 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
 
+    def _mixed(self, column: pa.Array, spelled: np.ndarray) -> "tuple[np.ndarray, np.ndarray]":
+        """As `encode`, where the rows `spelled` hold an added token: those are encoded by one call each."""
+        whole = np.zeros(len(column), bool)
+        whole[spelled] = True
+        ids, sizes = self.encode(pc.if_else(pa.array(whole), pa.scalar("", column.type), column))
+        own = [self.tokenizer.encode(column[i].as_py(), add_special_tokens=False).ids for i in spelled.tolist()]
+        size = sizes.copy()
+        size[spelled] = [len(x) for x in own]
+        out = np.zeros(int(size.sum()), np.uint32)
+        at = np.cumsum(size) - size
+        out[ranges(at[~whole], size[~whole])] = ids
+        for i, x in zip(spelled.tolist(), own, strict=True):
+            out[at[i] : at[i] + len(x)] = x
+        return out, size
+
 
 def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with the end id after every row."""

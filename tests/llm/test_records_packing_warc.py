@@ -15,7 +15,7 @@ from codelake.llm import checksums, packing, records, warc
 from codelake.llm.tokenids import Encoder, encoder
 
 DOCS = "doc_id bigint, text string, part int, length string"
-TEXTS = ["", None, " ", "\n\n", "a  b", "don't we'll\tgo", "é à\u0085 q  ", "日本 語。", "trail  ", "x" * 3000 + " y", "<|endoftext|>",
+TEXTS = ["", None, " ", "\n\n", "a  b", "don't we'll\tgo", "é à\u0085 q  ", "日本 語。", "trail  ", "x" * 3000 + " y", "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n", "<|endoftext", "a b <|endoftext|>",
          "a\x1cb \x1c c", "one, two. three! four? " * 200, "naïve façade—“quoted” ×÷"]
 
 
@@ -32,6 +32,14 @@ def test_ids_are_the_tokenizers(texts):
     assert sizes.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
 
 
+def test_special_tokens_by_choice():
+    texts = pa.array(["a <|endoftext|> b", None, "", "plain", "<|endoftext|>"])
+    ids, sizes = encoder(brute.VOCABULARY).encode(texts)
+    assert ids.tolist()[:4] == [64, 220, 50256, 275] and sizes.tolist()[-1] == 1
+    ids, sizes = encoder(brute.VOCABULARY, ordinary=True).encode(texts)
+    assert 50256 not in ids.tolist() and sizes.tolist()[1:3] == [0, 0]
+
+
 def test_forgetting_changes_no_id():
     texts = [f"word{i} other{i % 7}" for i in range(200)]
     small = Encoder(brute.VOCABULARY, remembered=20)

@@ -124,13 +124,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s
-       FROM d WHERE len(ws) >= 5),
-bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s
-       FROM b WHERE len(ws) >= 5),
+bs AS (SELECT DISTINCT item_id, least(len(ws), 5) AS k,
+              unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s
+       FROM b WHERE len(ws) > 0),
+ds AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS s
+       FROM d, (SELECT DISTINCT k FROM bs)),
 n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, count(*)::INTEGER AS n_shared, any_value(n)::INTEGER AS n_shingles
-FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 10 * count(*) >= 8 * any_value(n)""",
+FROM ds JOIN bs USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 10 * count(*) >= 8 * any_value(n)""",
 )
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -207,7 +208,8 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op13_periodic_runs",
     r"""
-WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws, doc_id::VARCHAR AS s FROM documents),
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws, doc_id::VARCHAR AS s FROM documents),
 h AS (SELECT doc_id, ws, len(ws)::BIGINT AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
         range(1, len(s) + 1), lambda i: list_prepend(ascii(s[i])::BIGINT, list_transform(range(8), lambda x: -1::BIGINT))))),
         lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) AS h FROM t),

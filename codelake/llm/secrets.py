@@ -148,13 +148,15 @@ def joined(spans):
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; n_chars, where there is one, follows.
 
-    Documents without spans are left as they are. Overlapping spans are replaced together, under the first one's kind.
+    Documents without spans, null and empty texts among them, are left as they are. Overlapping spans are replaced
+    together, under the first one's kind; of spans that start together, that of the kind listed first. Rows are numbered
+    once and written with their numbers, so repeated rows and null ids are each cut by their own spans. A very long text
+    is cut whole, in one task. An empty table gives no rows.
     """
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text").cast("string"))
-    keyed = docs.select(whole(docs).alias("row"), key.alias("key"))
-    # Equal rows have equal spans, so one of them stands for all.
+    placed = docs.select(whole(docs).alias("row"), F.monotonically_increasing_id().alias("key"))
+    keyed = stored(placed, "placed")
     found = scan(keyed.select("row.text", "key"), scope=scope, doc_id="key").filter(F.size("spans") > 0)
-    found = stored(found.select(F.col("doc_id").alias("key"), "spans").dropDuplicates(["key"]), "redactions")
+    found = stored(found.select(F.col("doc_id").alias("key"), "spans"), "redactions")
 
     @F.pandas_udf("string")
     def replaced(texts, spans):

@@ -39,7 +39,6 @@ def duplicate_lines(text):
 
 def ids_of(texts, end=2):
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     return [tokenizer.encode(t or "", add_special_tokens=False).ids + [end] for t in texts]
 
 
@@ -94,15 +93,16 @@ def item_words(text):
 
 
 def contained_pairs(docs, items, size=5, least=0.8):
-    def grams(text):
-        ws = item_words(text)
-        return {tuple(ws[i : i + size]) for i in range(len(ws) - size + 1)}
+    def grams(ws, n):
+        return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)}
 
     out = set()
-    held = [(k, grams(t)) for k, t in docs]
+    held = [(k, item_words(t)) for k, t in docs]
     for item, text in items:
-        wanted = grams(text)
-        out |= {(k, item) for k, g in held if wanted and len(g & wanted) >= least * len(wanted) - 1e-9}
+        ws = item_words(text)
+        n = min(len(ws), size)
+        wanted = grams(ws, n) if n else set()
+        out |= {(k, item) for k, d in held if wanted and len(grams(d, n) & wanted) >= least * len(wanted) - 1e-9}
     return out
 
 

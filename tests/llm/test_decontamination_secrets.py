@@ -28,11 +28,15 @@ def test_containment_is_that_of_brute_force(spark):
                 passage[r.randrange(len(passage))] = "changed"
             words[r.randrange(len(words) + 1) : 0] = passage[r.randrange(2) :]
         docs.append((k, r.choice([" ", "  \n", ", "]).join(words).upper(), "x", 1))
+    items += [(30, "What is 7+5?", "x"), (31, "日本語の文章", "x"), (32, "WHAT is", "x"), (33, "5 extra", "x"), (34, "7 5", "x")]
+    docs += [(300, "so, what is 7 + 5 then", "x", 1), (301, "what is 75", "x", 1), (302, "是 日本語の文章。", "x", 1), (303, "日本語の文章", "x", 1)]
+    docs += [(304, "is what 7", "x", 1), (305, "what", "x", 1), (306, "w " * 300_000 + "what  IS", "x", 1), (None, "7 5", "x", 1)]
     docs += [(200, None, "x", 1), (201, "", "x", 1), (202, items[9][1], "x", 1), (203, items[6][1], "x", 1), (203, items[6][1], "x", 1)]
     found = decontamination.contained(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
     pairs = [(x.doc_id, x.item_id) for x in found]
     assert len(pairs) == len(set(pairs)) and len(pairs) > 100
     assert set(pairs) == brute.contained_pairs([d[:2] for d in docs], [i[:2] for i in items])
+    assert {(300, 30), (302, 31), (None, 34), (306, 32)} <= set(pairs)
 
 
 def test_clean_keeps_columns_and_judges_rows(spark):

@@ -82,7 +82,7 @@ def test_nothing_in_nothing_out(spark, folder, tmp_path):
 
 
 def test_every_number_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "near_duplicates", "benchmark_decontamination", "secret_scans", "best_fit_packing",
     ]

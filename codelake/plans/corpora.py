@@ -16,10 +16,9 @@ WIDE = ("documents", "pages", "part")  # tables whose rows become texts to be pa
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table. With fewer files than cores its rows are dealt out: one file is one task."""
+    """A driver table. Rows that become texts are dealt out by bytes: a row group is read by one task, however long."""
     rows = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if name in WIDE and len(rows.inputFiles()) < cores else rows
+    return rows.hint("rebalance") if name in WIDE else rows
 
 
 def document_files(spark: SparkSession, sf: str) -> DataFrame:

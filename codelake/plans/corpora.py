@@ -16,9 +16,9 @@ WIDE = ("documents", "pages", "part")  # tables whose rows become texts to be pa
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table. Rows that become texts are dealt out by bytes: a row group is read by one task, however long."""
+    """A driver table. Rows that become texts are dealt out first: a row group would be one task, however long it takes."""
     rows = spark.read.parquet(f"{sf}/{name}.parquet")
-    return rows.hint("rebalance") if name in WIDE else rows
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if name in WIDE else rows
 
 
 def document_files(spark: SparkSession, sf: str) -> DataFrame:

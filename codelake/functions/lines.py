@@ -102,12 +102,13 @@ def head_snippet(content: Column) -> Column:
     return F.array_join(F.slice(wide_lines(content), 1, 4), "\n")
 
 
-def context_window(content: Column, line: Column, context: Column) -> Column:
-    """Numbered lines within ``context`` of ``line``, right-stripped, as an array."""
+def context_window(content: Column, line: Column, context: Column, before: Column | int = 0) -> Column:
+    """Numbered lines within ``context`` of ``line``, right-stripped, as an array; ``before`` lines precede the content."""
+    before = before if isinstance(before, Column) else F.lit(before)
     lines = lf_lines(content)
     first = F.greatest(F.lit(1), line - context)
     last = F.least(F.size(lines), line + context)
     window = F.slice(lines, first, F.greatest(last - first + 1, F.lit(0)))
     return F.transform(
-        window, lambda text, i: F.format_string("%4d | %s", first + i, strip_end(text))
+        window, lambda text, i: F.format_string("%4d | %s", before + first + i, strip_end(text))
     )

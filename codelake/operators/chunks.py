@@ -8,14 +8,19 @@ from codelake.settings import CHUNK_LINES
 
 
 def chunk_files(files: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """``chunks`` rows without ``n_tokens``; line ends are kept, so a file's chunks add up to its text."""
+    """``chunks`` rows without ``n_tokens``; line ends are kept, so a file's chunks add up to its text.
+
+    ``odd`` marks the chunks of files with line ends other than LF, where chunks don't begin at every n-th LF line.
+    """
     owner = ["repo", "path", "language"]
     split = files.select(*owner, joinable_lines(F.col("content")).alias("s"))
     pieces = split.select(
-        *owner, F.posexplode(chunks_of(*map(F.col, ("s.lines", "s.between", "s.tail")), chunk_lines))
+        *owner,
+        (F.col("s.between") == "").alias("odd"),
+        F.posexplode(chunks_of(*map(F.col, ("s.lines", "s.between", "s.tail")), chunk_lines)),
     )
     return pieces.select(
-        *owner, F.col("pos").alias("chunk_id"), "col.content", "col.start_line", "col.end_line"
+        *owner, F.col("pos").alias("chunk_id"), "col.content", "col.start_line", "col.end_line", "odd"
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from codelake.schemas import FILE_KEY
 
 CHANGED = ("new", "updated")
+COUNTERS = tuple(f"files_{c}" for c in ("scanned", "new", "updated", "unchanged", "deleted", "skipped", "failed", "indexed"))
 
 
 def plan_delta(scan: DataFrame, old_files: DataFrame, force: bool = False) -> DataFrame:
@@ -47,13 +48,13 @@ def next_table(table: DataFrame, delta: DataFrame, fresh: DataFrame) -> DataFram
     return keep_untouched(table, delta).unionByName(fresh)
 
 
-def run_counters(statuses: DataFrame) -> DataFrame:
-    """One row of counters over (status) rows, one per file seen."""
+def counter_columns() -> list[Column]:
+    """The counters of a run, over one row per file seen with its status."""
 
     def count(*values: str) -> Column:
         return F.count_if(F.col("status").isin(*values))
 
-    return statuses.agg(
+    return [
         F.count_if(F.col("status") != "deleted").alias("files_scanned"),
         count("new").alias("files_new"),
         count("updated").alias("files_updated"),
@@ -62,7 +63,12 @@ def run_counters(statuses: DataFrame) -> DataFrame:
         count("skipped").alias("files_skipped"),
         count("failed").alias("files_failed"),
         count(*CHANGED).alias("files_indexed"),
-    )
+    ]
+
+
+def run_counters(statuses: DataFrame) -> DataFrame:
+    """One row of counters over (status) rows, one per file seen."""
+    return statuses.agg(*counter_columns())
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:

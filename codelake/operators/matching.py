@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 from codelake.functions.stemming import stem as stem_of
 from codelake.functions.tokens import tokens
+from codelake.operators.small import HELD, NAMED, settled
 from codelake.schemas import CHUNK_KEY
 
 CHUNK = [*CHUNK_KEY, "language", "dl"]  # the last two follow from the key
 MATCH = ["query_id", "phrase_id", *CHUNK, "n_words"]
-_PREFIX_KEY_CHARS = 3
-
 
 def phrase_rows(phrases: DataFrame, stem: bool = True) -> DataFrame:
     """Phrase texts (query_id, phrase_id, text[, prefix, initial]) to one row per word."""
@@ -39,23 +38,25 @@ def phrase_rows(phrases: DataFrame, stem: bool = True) -> DataFrame:
 def expand_prefixes(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Replace each prefix word by the terms of the vocabulary it begins.
 
-    Joined by hash on the first characters, then compared in full. The vocabulary (term, ...) may
-    repeat terms, such as a bare scan of the postings; without any prefix to expand it is not read.
+    A vocabulary that is sorted by term is read in the prefixes' ranges only, as long as the prefixes are few. Terms are
+    joined by their beginnings of just the lengths that are asked for. The vocabulary (term, ...) may repeat terms, such as
+    a bare scan of the postings.
     """
     word = F.col("term")
-    prefixes = rows.filter("prefix").withColumn("head", F.substring(word, 1, _PREFIX_KEY_CHARS))
-    heads = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(_PREFIX_KEY_CHARS)),
-            lambda n: F.substring(word, F.lit(1), n),
-        )
-    )
-    keyed = vocabulary.select(word.alias("candidate"), F.explode(heads).alias("head"))
-    expanded = (
-        prefixes.join(keyed, "head")
-        .filter(F.startswith(F.col("candidate"), word))
-        .withColumn("term", F.col("candidate"))
-    )
+    prefixes = settled(rows.filter("prefix"), "prefixes")
+    asked = {r[0] for r in prefixes.select("term").limit(HELD + 1).collect()}
+    if 0 < len(asked) <= NAMED:
+        in_range = F.lit(False)
+        for p in sorted(asked):
+            in_range |= F.startswith(word, F.lit(p))
+        vocabulary = vocabulary.filter(in_range)
+        sizes = F.lit(sorted({len(p) for p in asked}))
+    else:
+        sizes = prefixes.agg(F.array_sort(F.collect_set(F.length("term"))).alias("sizes")).scalar()
+    long_enough = F.filter(sizes, lambda n: n <= F.length("term"))
+    heads = F.transform(long_enough, lambda n: F.substring(word, F.lit(1), n))
+    keyed = vocabulary.select(word.alias("candidate"), F.explode(heads).alias("term"))
+    expanded = prefixes.join(keyed, "term").withColumn("term", F.col("candidate"))
     return rows.filter("NOT prefix").unionByName(expanded.select(*rows.columns).distinct())
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codelake.functions.stemming import stem_each
 from codelake.functions.tokens import tokens
 from codelake.schemas import CHUNK_KEY
+from codelake.settings import BM25_B, BM25_K1
 
 CHUNK = [*CHUNK_KEY, "language"]
 
@@ -89,3 +90,44 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     n_tokens = F.coalesce(F.sum(F.col("n_tokens").cast("bigint")), F.lit(0))
     totals = counted.agg(F.count("*").alias("n_chunks"), n_tokens.alias("n_tokens"))
     return totals.withColumn("avgdl", F.try_divide(F.col("n_tokens"), F.col("n_chunks")))
+
+
+LEVELS = 16
+USUAL_TOKENS = 256.0  # of a chunk; only says where levels part
+
+
+def level_of(tf: Column, dl: Column) -> Column:
+    """0 for postings that give the best scores, up to LEVELS - 1 for those that give the least.
+
+    What a posting adds to a score grows with tf / (tf + norm), and norm with dl; how the mean length moves later changes
+    what a level is worth, not which postings it holds.
+    """
+    norm = BM25_K1 * ((1 - BM25_B) + BM25_B * dl / USUAL_TOKENS)
+    return F.greatest(F.lit(0), F.floor((1 - tf / (tf + norm)) * LEVELS)).cast("int")
+
+
+def with_levels(postings: DataFrame) -> DataFrame:
+    return postings.withColumn("level", level_of(F.col("tf"), F.col("dl")))
+
+
+def term_counts(postings: DataFrame) -> DataFrame:
+    """``terms`` rows of postings: their number per term, language and level, and what bounds a score among them."""
+    ratio = F.col("dl") / F.col("tf")
+    return postings.groupBy("term", "language", "level").agg(
+        F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min(ratio).alias("min_ratio")
+    )
+
+
+def taken_away(terms: DataFrame) -> DataFrame:
+    """The same counts with the sign turned, and nothing to say about scores."""
+    nothing = [F.lit(0).alias("max_tf"), F.lit(float("inf")).alias("min_ratio")]
+    return terms.select("term", "language", "level", (-F.col("n")).alias("n"), *nothing)
+
+
+def summed_terms(terms: DataFrame) -> DataFrame:
+    """Signed counts added up, one row per term, language and level that still occurs."""
+    return (
+        terms.groupBy("term", "language", "level")
+        .agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_ratio").alias("min_ratio"))
+        .filter("n <> 0")
+    )

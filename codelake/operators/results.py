@@ -7,6 +7,7 @@ from codelake.functions.lines import context_window, head_snippet
 from codelake.functions.scoring import match_type, symbol_snippet
 from codelake.operators.chunks import file_text
 from codelake.operators.ranking import top_rows
+from codelake.operators.small import only, settled
 from codelake.schemas import CHUNK_KEY, FILE_KEY
 
 ROW = [
@@ -56,26 +57,41 @@ def merge_sides(symbols: DataFrame, texts: DataFrame, parsed: DataFrame, most: i
 
 
 def with_context(
-    results: DataFrame, queries: DataFrame, chunks: DataFrame, keys: list[str] = FILE_KEY
+    results: DataFrame, queries: DataFrame, chunks: DataFrame, chunk_lines: int, placed=lambda rows: (rows, [])
 ) -> DataFrame:
     """Add ``context_lines``: numbered lines around each hit, from the stored text.
 
-    Only the files that were hit are put together from their chunks.
+    The ids of the chunks that hold the lines follow from the line's number, so a hit reads the chunks it touches by their
+    keys, and none without context. In files with odd line ends chunks begin elsewhere: their hits, where there are any,
+    get the whole file put together. ``placed`` adds to rows with repo and path where their file lies.
     """
-    asked = results.join(queries.select("query_id", "context"), "query_id")
-    extra = [k for k in keys if k not in FILE_KEY]
-    wanted = asked.filter("context > 0").select("repo", F.col("file_path").alias("path"), *extra)
-    texts = file_text(chunks.join(wanted.distinct(), keys, "left_semi"))
-    texts = texts.withColumnRenamed("path", "file_path")
-    lines = context_window(F.col("content"), F.col("line_number"), F.col("context"))
+    none = F.array().cast("array<string>")
+    asked = settled(results.join(queries.select("query_id", "context"), "query_id"), "asked")
+    hit = ["query_id", "rank", "repo", F.col("file_path").alias("path"), "line_number", "context"]
+    wanted = asked.filter("context > 0").select(*hit)
+    line, size = F.col("line_number") - 1, F.lit(chunk_lines)
+    ids = F.sequence(
+        F.floor(F.greatest(line - F.col("context"), F.lit(0)) / size).cast("int"), F.floor((line + F.col("context")) / size).cast("int")
+    )
+    near, extra = placed(wanted.withColumn("chunk_id", F.explode(ids)))
+    parts = only(chunks, "path", wanted).select(*CHUNK_KEY, *extra, "content", "start_line", "odd").join(near, CHUNK_KEY + extra)
+    # A handful of chunks a hit.
+    held = F.array_sort(F.collect_list(F.struct("chunk_id", "start_line", "content")))
+    one = parts.groupBy("query_id", "rank", "line_number", "context").agg(held.alias("held"), F.max("odd").alias("odd"))
+    text = F.array_join(F.transform("held", lambda c: c["content"]), "")
+    before = F.get("held", F.lit(0))["start_line"] - 1
+    lines = context_window(text, F.col("line_number") - before, F.col("context"), before)
+    found = settled(one.select("query_id", "rank", "odd", F.when(~F.col("odd"), lines).alias("lines")), "contexts")
+    if not found.filter("odd").isEmpty():
+        odd, extra = placed(wanted.join(found.filter("odd").select("query_id", "rank"), ["query_id", "rank"]))
+        keys = FILE_KEY + extra
+        texts = file_text(chunks.join(odd.select(*keys).distinct(), keys, "left_semi"))
+        whole = context_window(F.col("content"), F.col("line_number"), F.col("context"))
+        more = odd.join(texts, FILE_KEY).select("query_id", "rank", F.lit(False).alias("odd"), whole.alias("lines"))
+        found = found.filter("NOT odd").unionByName(more)
     return (
-        asked.join(texts, ["repo", "file_path"], "left")
-        .withColumn(
-            "context_lines",
-            F.when(F.col("context") > 0, F.coalesce(lines, F.array().cast("array<string>"))).otherwise(
-                F.array().cast("array<string>")
-            ),
-        )
+        asked.join(found.select("query_id", "rank", "lines"), ["query_id", "rank"], "left")
+        .withColumn("context_lines", F.coalesce("lines", none))
         .select("query_id", "rank", *ROW[1:], "context_lines")
     )
 

@@ -3,7 +3,8 @@
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -21,12 +22,36 @@ def schema_of(schema: str) -> StructType:
     return StructType.fromDDL(schema)
 
 
+HELD = 5_000  # rows that live in a plan
+
+
 def settled(frame: DataFrame, name: str) -> DataFrame:
-    """The frame's rows from a table written in the shared folder.
+    """The frame's rows, computed now: within the plan if they are few, else from a table in the shared folder.
 
-    What is derived from requests is used several times in a plan. Written down, it is computed
-    once, and Spark knows its size when it chooses how to join, however many requests there are.
+    What is derived from requests is used several times in a plan. This way it is computed once, and Spark
+    knows its size when it chooses how to join, however many requests there are.
     """
+    few = frame.limit(HELD + 1).toArrow()
+    if few.num_rows <= HELD:
+        return frame.sparkSession.createDataFrame(few, schema=frame.schema)
     path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+NAMED = 500  # values that are named to a scan
+
+
+def only(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose value of ``column`` is among those of ``wanted``, if these are few; else all rows.
+
+    Named as literals the values reach the scan, and a sorted table skips what lies between them. The join that follows
+    is needed all the same. ``wanted`` is settled, so asking it costs no job while it is small.
+    """
+    values = {r[0] for r in wanted.select(column).limit(HELD + 1).collect()}
+    return rows if len(values) > NAMED else rows.filter(F.col(column).isin(sorted(v for v in values if v is not None)))
+
+
+def measured(watch: Observation, *names: str) -> dict[str, int]:
+    """The observed values; zeros where Spark saw that no row can come and left the observed part out of the job."""
+    return dict(watch.get) if watch._jo.getRow().size() else dict.fromkeys(names, 0)

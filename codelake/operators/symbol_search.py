@@ -7,6 +7,7 @@ from codelake.functions.scoring import symbol_score
 from codelake.functions.text import ascii_lower, like_substring
 from codelake.operators.queries import side_limit
 from codelake.operators.ranking import top_rows
+from codelake.operators.small import only, settled
 from codelake.operators.text_search import passes_filters
 
 _GRAM = 3
@@ -38,20 +39,24 @@ def name_patterns(parsed: DataFrame) -> DataFrame:
             "query_id", "lang_filter", "path_filter", side_limit().alias("side"), F.inline(wanted)
         )
         .filter(F.col("pattern").isNotNull())
-        .withColumn("gram", pattern_gram(F.col("pattern")))
     )
 
 
-def pattern_gram(pattern: Column) -> Column:
-    """The first characters of the longest part of the pattern without a wildcard."""
+def pattern_grams(pattern: Column) -> Column:
+    """The grams of the longest part of the pattern without a wildcard; a shorter part is the only one."""
     parts = F.transform(
         F.split(ascii_lower(pattern), "[%_]"), lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"))
     )
-    return F.substring(F.element_at(F.array_sort(parts), 1)["p"], 1, _GRAM)
+
+    def made(part: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(part) - (_GRAM - 1), F.lit(1)))
+        return F.array_distinct(F.transform(places, lambda i: F.substring(part, i, F.lit(_GRAM))))
+
+    return F.transform(F.slice(F.array_sort(parts), 1, 1), lambda p: made(p["p"]))[0]
 
 
 def name_grams(name: Column) -> Column:
-    """Everything `pattern_gram` may ask a matching name for: its parts of up to three characters."""
+    """Everything `pattern_grams` may ask a matching name for: its parts of up to three characters, and the empty one."""
     folded = ascii_lower(name)
     places = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
 
@@ -61,16 +66,33 @@ def name_grams(name: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), *map(of_size, range(1, _GRAM + 1))))
 
 
-def match_names(symbols: DataFrame, patterns: DataFrame) -> DataFrame:
+def gram_rows(symbols: DataFrame) -> DataFrame:
+    """(gram, name) of the distinct names; an index writes this table once and sorts it by gram."""
+    return symbols.select("name").distinct().select(F.explode(name_grams(F.col("name"))).alias("gram"), "name")
+
+
+def rarest_grams(patterns: DataFrame, grams: DataFrame) -> DataFrame:
+    """The patterns with the one of their grams that the fewest names hold; without any name there is no row."""
+    asked = patterns.withColumn("gram", F.explode(pattern_grams(F.col("pattern"))))
+    wanted = settled(asked.select("query_id", "tuple_no", "gram"), "grams")
+    counts = only(grams, "gram", wanted).groupBy("gram").agg(F.countDistinct("name").alias("n"))
+    counted = wanted.join(counts, "gram", "left").groupBy("query_id", "tuple_no")
+    rarest = counted.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    return patterns.join(rarest.filter("least.n > 0"), ["query_id", "tuple_no"]).withColumn("gram", F.col("least.gram")).drop("least")
+
+
+def match_names(symbols: DataFrame, patterns: DataFrame, grams: DataFrame | None = None) -> DataFrame:
     """Symbols whose name holds a pattern (LIKE rules), of the kind, language and path asked for.
 
-    Joined by hash on one gram per pattern and then tested in full, instead of testing every
-    pattern on every symbol; a pattern has one gram, so no pair comes twice. Grams are made of
-    distinct names, and only names that are found meet their symbols.
+    Joined by hash on one gram per pattern, its rarest, and then tested in full, instead of testing every pattern on
+    every symbol; a pattern has one gram, so no pair comes twice. ``grams`` is the table of `gram_rows`, which may
+    hold names that are gone and rows twice; without it, it is made of the symbols. Only names that are found meet their
+    symbols.
     """
-    names = symbols.select("name").distinct()
-    grams = names.select("name", F.explode(name_grams(F.col("name"))).alias("gram"))
-    found = grams.join(patterns, "gram").filter(like_substring(F.col("name"), F.col("pattern"))).drop("gram")
+    grams = gram_rows(symbols) if grams is None else grams
+    keyed = settled(rarest_grams(patterns, grams), "patterns")
+    found = only(grams, "gram", keyed).join(keyed, "gram")
+    found = found.filter(like_substring(F.col("name"), F.col("pattern"))).drop("gram").distinct()
     kind = F.col("wanted_kind")
     return (
         symbols.join(found, "name")
@@ -81,14 +103,15 @@ def match_names(symbols: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def top_symbols(
-    symbols: DataFrame, parsed: DataFrame, prelimit: bool = True, most: int | None = None
+    symbols: DataFrame, parsed: DataFrame, prelimit: bool = True, most: int | None = None,
+    grams: DataFrame | None = None,
 ) -> DataFrame:
     """The best symbols of each request.
 
     With ``prelimit`` each kind asked for gives only its first rows by name before any is scored,
     which may leave out a better one further on; without it all are scored.
     """
-    found = match_names(symbols, name_patterns(parsed))
+    found = match_names(symbols, name_patterns(parsed), grams)
     if prelimit:
         by_name = [F.asc("name"), F.asc("repo"), F.asc("path"), F.asc("start_line")]
         found = top_rows(found, ["query_id", "tuple_no"], by_name, F.col("side"), most=most)

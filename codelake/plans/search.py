@@ -1,5 +1,7 @@
 """Answering a table of search requests in one job."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -7,29 +9,37 @@ from codelake.operators.queries import parse_queries
 from codelake.operators.results import merge_sides, symbol_rows, text_rows
 from codelake.operators.results import with_context as add_context
 from codelake.operators.symbol_search import top_symbols
-from codelake.operators.text_search import score_text, top_text
-from codelake.operators.small import settled
+from codelake.operators.text_search import best_text
+from codelake.operators.small import only, settled
 from codelake.plans.index import Index
-from codelake.schemas import CHUNK_KEY, FILE_KEY
+from codelake.schemas import CHUNK_KEY
 
 
 def search(index: Index, queries: DataFrame, prelimit: bool = True) -> DataFrame:
     """Ranked results of the requests (query_id, query, topk, context).
 
     Text, symbol and mixed requests share one plan, whatever their number: each side answers the
-    requests routed to it, and chunks are read for the hits alone, by a join on their keys. Only
-    the parsed requests are computed at once, and the largest top-k among them is asked for.
+    requests routed to it, and chunks are read for the hits alone, by a join on their keys. What is
+    made of the requests alone, and the best chunks, are computed on the way.
     """
     parsed = settled(parse_queries(queries), "requests")
     most = parsed.agg(F.max("topk")).first()[0] or 0
-    by_text = parsed.filter(F.col("route").isin("text", "hybrid"))
-    by_symbol = parsed.filter(F.col("route").isin("symbol", "hybrid"))
-    hits, extra = index.placed(top_text(score_text(index, by_text), by_text, most))
-    symbols = symbol_rows(top_symbols(index.symbols, by_symbol, prelimit, most))
-    texts = text_rows(hits, index.chunks, CHUNK_KEY + extra)
-    return merge_sides(symbols, texts, parsed, most)
+    by_text = settled(parsed.filter(F.col("route").isin("text", "hybrid")), "requests")
+    by_symbol = settled(parsed.filter(F.col("route").isin("symbol", "hybrid")), "requests")
+
+    def texts() -> DataFrame:
+        found, extra = index.placed(best_text(index, by_text, most))
+        hits = settled(found, "hits")
+        return text_rows(hits, only(index.chunks, "path", hits), CHUNK_KEY + extra)
+
+    def symbols() -> DataFrame:
+        return symbol_rows(top_symbols(index.symbols, by_symbol, prelimit, most, index.grams))
+
+    # Both sides ask small questions first; neither waits for the other's.
+    with ThreadPoolExecutor(2) as pool:
+        sides = [pool.submit(side) for side in (symbols, texts)]
+        return merge_sides(*(s.result() for s in sides), parsed, most)
 
 
 def with_context(index: Index, results: DataFrame, queries: DataFrame) -> DataFrame:
-    placed, extra = index.placed(results, "file_path")
-    return add_context(placed, queries, index.chunks, FILE_KEY + extra)
+    return add_context(results, queries, index.chunks, index.chunk_lines, index.placed)

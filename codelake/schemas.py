@@ -5,16 +5,19 @@ FILES = "repo string, path string, language string, mtime bigint, size_bytes big
 # The language rides along on chunks, symbols and postings, so that searches need no join for it.
 CHUNKS = (
     "repo string, path string, language string, chunk_id int, content string, "
-    "start_line int, end_line int, n_tokens int"
+    "start_line int, end_line int, odd boolean, n_tokens int"
 )
 SYMBOLS = (
     "repo string, path string, language string, name string, kind string, start_line int, "
     "end_line int, signature string"
 )
 POSTINGS = (
-    "term string, repo string, path string, language string, chunk_id int, dl int, tf int, "
+    "term string, level int, repo string, path string, language string, chunk_id int, dl int, tf int, "
     "positions array<int>"
 )
+# Signed counts: in how many chunks of a level a term occurs, and what bounds its score there.
+TERMS = "term string, language string, level int, n bigint, max_tf int, min_ratio double"
+GRAMS = "gram string, name string"
 QUERIES = "query_id int, query string, topk int, context int"
 METADATA = "key string, value string"
 BENCHMARKS = (

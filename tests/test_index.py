@@ -13,7 +13,7 @@ from codelake.plans.search import search, with_context
 from codelake.schemas import RAW_FILES
 from codelake.sources.codefiles import list_files, read_repo, with_content
 from codelake.sources.reports import markdown_table, read_benchmarks
-from codelake.sources.store import IndexStore
+from codelake.sources.store import IndexStore, Segment
 
 TREE = {
     "src/main.py": b"def main():\n    return 1\n",
@@ -133,7 +133,7 @@ def everything(index):
     shown = {}
     for name in ("files", "chunks", "symbols", "postings"):
         frame = getattr(index, name)
-        columns = [c for c in frame.columns if c not in ("bucket", "mtime", "content_hash", "n_tokens")]
+        columns = [c for c in frame.columns if c not in ("segment", "bucket", "mtime", "content_hash", "n_tokens", "level")]
         shown[name] = sorted(map(str, frame.select(*columns).collect()))
     return shown
 
@@ -165,8 +165,8 @@ def test_a_run_that_dies_counts_for_nothing(spark, tmp_path):
     refresh(spark, raw(spark, {"a.py": "def a(): pass\n"}), where, "r", buckets=2)
     before = everything(open_index(spark, where))
     store = IndexStore(spark, where)
-    half = open_index(spark, where).files.drop("bucket").withColumn("path", F.lit("ghost.py"))
-    store.write("files", half, store.snapshot(), store.new_version())
+    half = open_index(spark, where).files.withColumn("path", F.lit("ghost.py"))
+    store.write("files", half, Segment(store.new_version(), 2, 1))
     assert everything(open_index(spark, where)) == before
 
 

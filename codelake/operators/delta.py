@@ -72,8 +72,12 @@ def run_counters(statuses: DataFrame) -> DataFrame:
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
-    """Of several versions of a path, the one with the latest mtime; aggregated before the shuffle."""
+    """Of several versions of a path, the one with the latest mtime; aggregated before the shuffle.
+
+    Where two share it, one that is ``gone`` counts more than one that is not, then the greater hash: an order of all
+    versions, so it does not matter how they arrive.
+    """
     payload = [c for c in versions.columns if c not in FILE_KEY]
-    order = F.struct("mtime", *[c for c in ("content_hash",) if c in payload])
+    order = F.struct("mtime", *[c for c in ("gone", "content_hash") if c in payload])
     best = versions.groupBy(*FILE_KEY).agg(F.max_by(F.struct(*payload), order).alias("v"))
     return best.select(*FILE_KEY, "v.*")

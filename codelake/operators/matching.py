@@ -88,7 +88,7 @@ def match_phrases(
         F.transform("positions", lambda p: p - F.col("offset")).alias("begins"),
     )
     gathered = hits.groupBy(*MATCH, "initial").agg(
-        F.array_sort(F.flatten(F.collect_list("begins"))).alias("begins")
+        F.sort_array(F.flatten(F.collect_list("begins"))).alias("begins")
     )
     starts = _agreed_by_all("begins", "n_words")
     kept = F.when(F.col("initial"), F.filter(starts, lambda s: s == 0)).otherwise(starts)

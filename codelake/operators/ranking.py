@@ -39,14 +39,10 @@ def bm25(matches: DataFrame, stats: DataFrame) -> DataFrame:
 def score_parts(matches: DataFrame, stats: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """What each phrase adds to the score of each chunk that holds it, as column ``part``.
 
-    A phrase's document frequency is counted over its own matches, unless ``known`` (query_id, phrase_id, holding) has
-    it; only matches of other phrases are evaluated for the count.
+    A phrase's document frequency is counted over its own matches, unless ``known`` (query_id, phrase_id, holding) gives
+    it for all phrases.
     """
-    phrase = ["query_id", "phrase_id"]
-    counted = matches if known is None else matches.join(known, phrase, "left_anti")
-    holding = counted.groupBy(*phrase).agg(F.count("*").alias("holding"))
-    if known is not None:
-        holding = holding.unionByName(known.select(*phrase, "holding"))
+    holding = matches.groupBy("query_id", "phrase_id").agg(F.count("*").alias("holding")) if known is None else known
     # One subquery for both values; asked for twice, it runs once.
     corpus = stats.select(F.struct("n_chunks", "avgdl")).scalar()
     idf = inverse_document_frequency(corpus["n_chunks"], F.col("holding"))

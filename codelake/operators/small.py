@@ -25,15 +25,16 @@ def schema_of(schema: str) -> StructType:
 HELD = 5_000  # rows that live in a plan
 
 
-def settled(frame: DataFrame, name: str) -> DataFrame:
-    """The frame's rows, computed now: within the plan if they are few, else from a table in the shared folder.
+def settled(frame: DataFrame, name: str, held: int = HELD) -> DataFrame:
+    """The frame's rows, computed now: within the plan if they are at most ``held``, else from a table in the shared folder.
 
     What is derived from requests is used several times in a plan. This way it is computed once, and Spark
     knows its size when it chooses how to join, however many requests there are.
     """
-    few = frame.limit(HELD + 1).toArrow()
-    if few.num_rows <= HELD:
-        return frame.sparkSession.createDataFrame(few, schema=frame.schema)
+    if held:
+        few = frame.limit(held + 1).toArrow()
+        if few.num_rows <= held:
+            return frame.sparkSession.createDataFrame(few, schema=frame.schema)
     path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -43,27 +43,26 @@ def name_patterns(parsed: DataFrame) -> DataFrame:
 
 
 def pattern_grams(pattern: Column) -> Column:
-    """The grams of the longest part of the pattern without a wildcard; a shorter part is the only one."""
+    """The grams of the longest part of the pattern without a wildcard; of a part too short for one, the empty gram."""
     parts = F.transform(
         F.split(ascii_lower(pattern), "[%_]"), lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"))
     )
 
     def made(part: Column) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.length(part) - (_GRAM - 1), F.lit(1)))
-        return F.array_distinct(F.transform(places, lambda i: F.substring(part, i, F.lit(_GRAM))))
+        grams = F.array_distinct(F.transform(places, lambda i: F.substring(part, i, F.lit(_GRAM))))
+        return F.when(F.length(part) >= _GRAM, grams).otherwise(F.array(F.lit("")))
 
     return F.transform(F.slice(F.array_sort(parts), 1, 1), lambda p: made(p["p"]))[0]
 
 
 def name_grams(name: Column) -> Column:
-    """Everything `pattern_grams` may ask a matching name for: its parts of up to three characters, and the empty one."""
+    """What `pattern_grams` may ask a matching name for: its parts of three characters, and the empty one."""
     folded = ascii_lower(name)
-    places = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
-
-    def of_size(n: int) -> Column:
-        return F.transform(places, lambda i: F.substring(folded, i, F.lit(n)))
-
-    return F.array_distinct(F.concat(F.array(F.lit("")), *map(of_size, range(1, _GRAM + 1))))
+    places = F.sequence(F.lit(1), F.greatest(F.length(name) - (_GRAM - 1), F.lit(1)))
+    parts = F.transform(places, lambda i: F.substring(folded, i, F.lit(_GRAM)))
+    long_enough = F.when(F.length(name) >= _GRAM, parts).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), long_enough))
 
 
 def gram_rows(symbols: DataFrame) -> DataFrame:
@@ -74,25 +73,34 @@ def gram_rows(symbols: DataFrame) -> DataFrame:
 def rarest_grams(patterns: DataFrame, grams: DataFrame) -> DataFrame:
     """The patterns with the one of their grams that the fewest names hold; without any name there is no row."""
     asked = patterns.withColumn("gram", F.explode(pattern_grams(F.col("pattern"))))
-    wanted = settled(asked.select("query_id", "tuple_no", "gram"), "grams")
-    counts = only(grams, "gram", wanted).groupBy("gram").agg(F.countDistinct("name").alias("n"))
+    # An empty gram needs no count: it has no rival.
+    wanted = settled(asked.filter("gram <> ''").select("query_id", "tuple_no", "gram"), "grams")
+    counts = only(grams, "gram", wanted).groupBy("gram").agg(F.count("*").alias("n"))
     counted = wanted.join(counts, "gram", "left").groupBy("query_id", "tuple_no")
     rarest = counted.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
-    return patterns.join(rarest.filter("least.n > 0"), ["query_id", "tuple_no"]).withColumn("gram", F.col("least.gram")).drop("least")
+    least = rarest.filter("least.n > 0").select("query_id", "tuple_no", "least.gram")
+    return patterns.join(least, ["query_id", "tuple_no"])
 
 
 def match_names(symbols: DataFrame, patterns: DataFrame, grams: DataFrame | None = None) -> DataFrame:
     """Symbols whose name holds a pattern (LIKE rules), of the kind, language and path asked for.
 
     Joined by hash on one gram per pattern, its rarest, and then tested in full, instead of testing every pattern on
-    every symbol; a pattern has one gram, so no pair comes twice. ``grams`` is the table of `gram_rows`, which may
+    every symbol; a pattern has one gram, so no pair comes twice. Patterns too short for a gram are tested on every distinct
+    name: no index tells more about them. ``grams`` is the table of `gram_rows`, which may
     hold names that are gone and rows twice; without it, it is made of the symbols. Only names that are found meet their
     symbols.
     """
     grams = gram_rows(symbols) if grams is None else grams
+    grams = grams.select("gram", "name")
+    holds = like_substring(F.col("name"), F.col("pattern"))
     keyed = settled(rarest_grams(patterns, grams), "patterns")
-    found = only(grams, "gram", keyed).join(keyed, "gram")
-    found = found.filter(like_substring(F.col("name"), F.col("pattern"))).drop("gram").distinct()
+    found = only(grams, "gram", keyed).join(keyed, "gram").filter(holds).drop("gram")
+    short = settled(patterns.filter(F.array_contains(pattern_grams(F.col("pattern")), "")), "short")
+    if not short.isEmpty():
+        names = grams.filter("gram = ''").select("name")
+        found = found.unionByName(names.join(F.broadcast(short), holds))  # requests against all names
+    found = found.distinct()
     kind = F.col("wanted_kind")
     return (
         symbols.join(found, "name")

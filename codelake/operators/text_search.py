@@ -1,5 +1,7 @@
 """Ranked text search over postings."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,8 +52,19 @@ def request_words(index, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def score_words(index, phrases: DataFrame, words: DataFrame) -> DataFrame:
     """(query_id, chunk key, language, score) of every chunk that answers the phrases."""
-    matches = match_phrases(only(index.postings, "term", words), words)
-    return score_chunks(score_parts(matches, index.stats, known_holding(index, words)), phrases)
+    known = known_holding(index, words)
+    if known is None:
+        return score_chunks(score_parts(match_phrases(index.postings, words), index.stats), phrases)
+    # A stored index is read once for all words; phrases are put together from what was found.
+    found = only(index.postings, "term", words).join(words.select("term").distinct(), "term", "left_semi")
+    found = settled(found.drop("level", "segment", "bucket"), "postings", held=0)
+    matches = match_phrases(found, words)
+    # Only phrases that the counts of terms say nothing about are matched twice: once for their number.
+    unknown = settled(words.join(known, ["query_id", "phrase_id"], "left_anti"), "unknown")
+    if not unknown.isEmpty():
+        again = match_phrases(found, unknown)
+        known = known.unionByName(again.groupBy("query_id", "phrase_id").agg(F.count("*").alias("holding")))
+    return score_chunks(score_parts(matches, index.stats, known), phrases)
 
 
 def score_text(index, parsed: DataFrame) -> DataFrame:
@@ -87,14 +100,18 @@ def best_text(index, parsed: DataFrame, most: int) -> DataFrame:
     single = phrases.groupBy("query_id").agg(F.count("*").alias("n"), F.max("prefix").alias("p"))
     single = settled(single.filter("n = 1 AND NOT p").select("query_id"), "single")
     single = settled(words.filter(_plain()).join(single, "query_id", "left_semi").select("query_id", "term"), "single")
-    others = single.select("query_id")
-    rest, rest_words = (settled(t.join(others, "query_id", "left_anti"), "rest") for t in (phrases, words))
-    found = []
-    if not rest.isEmpty():
-        found.append(top_text(score_words(index, rest, rest_words), parsed, most))
-    if not single.isEmpty() or not found:
-        found.append(best_of_levels(index, parsed, single, most))
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    rest, rest_words = (settled(t.join(single.select("query_id"), "query_id", "left_anti"), "rest") for t in (phrases, words))
+    if rest.isEmpty():
+        return best_of_levels(index, parsed, single, most)
+
+    def others() -> DataFrame:
+        return settled(top_text(score_words(index, rest, rest_words), parsed, most), "others")
+
+    if single.isEmpty():
+        return others()
+    with ThreadPoolExecutor(2) as pool:
+        found = [pool.submit(others), pool.submit(best_of_levels, index, parsed, single, most)]
+        return found[0].result().unionByName(found[1].result())
 
 
 def levels_of(index, parsed: DataFrame, single: DataFrame) -> DataFrame:

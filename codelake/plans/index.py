@@ -135,16 +135,17 @@ def apply_delta(
     version = store.new_version()
     seen = Observation()
     bytes_ = F.sum(F.when(F.col("status").isin(*CHANGED), F.octet_length("content").cast("bigint")))
-    watched = delta.observe(seen, *counter_columns(), F.coalesce(bytes_, F.lit(0)).alias("bytes"))
+    buried = F.count_if("buried") if "buried" in delta.columns else F.count_if(F.lit(False))
+    watched = delta.observe(seen, *counter_columns(), F.coalesce(bytes_, F.lit(0)).alias("bytes"), buried.alias("buried"))
     staged = store.stage(watched, version, "delta", "status")
-    counters = measured(seen, *COUNTERS, "bytes")
-    weight = counters.pop("bytes")
+    counters = measured(seen, *COUNTERS, "bytes", "buried")
+    weight, buried = counters.pop("bytes"), counters.pop("buried")
     counters |= {"symbols_extracted": 0, "chunks_created": 0}
     metadata = {
         "schema_version": SCHEMA_VERSION, "stem": str(stem).lower(), "chunk_lines": str(chunk_lines),
         "created_at": snapshot.metadata.get("created_at", str(int(time.time()))),
     }
-    if counters["files_indexed"] + counters["files_deleted"]:
+    if counters["files_indexed"] + counters["files_deleted"] + buried:
         buckets = max(1, min(snapshot.buckets, -(-weight // BUCKET_BYTES)))
         segment = Segment(version, buckets, counters["files_indexed"])
         following, made = add_segment(store, snapshot, segment, staged, chunk_lines, stem)
@@ -177,6 +178,8 @@ def add_segment(
         "symbols": parsed.filter(error.isNull()),
         "files": fresh,
     }
+    if "buried" in staged.columns:
+        tables["deleted"] = staged.filter("buried").select(*FILE_KEY, "mtime")
     lost = {}
     if snapshot.segments:
         moved = staged.filter(~F.col("status").isin("unchanged", "skipped")).select(*FILE_KEY)

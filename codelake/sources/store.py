@@ -31,11 +31,12 @@ TABLES = {
     "symbols": schemas.SYMBOLS,
     "postings": schemas.POSTINGS,
 }
-# Tables without files of their own: what is superseded, signed counts of terms, and names by the grams they hold.
+# Beside them: what is superseded, signed counts of terms, names by the grams they hold, and deletions a stream brought.
 SIDE_TABLES = {
     "superseded": "repo string, path string, at bigint",
     "terms": schemas.TERMS,
     "grams": schemas.GRAMS,
+    "deleted": "repo string, path string, mtime bigint",
 }
 EVERY = {**TABLES, **SIDE_TABLES}
 SORTED_BY = {
@@ -46,6 +47,7 @@ SORTED_BY = {
     "superseded": ["path"],
     "terms": ["term", "level"],
     "grams": ["gram", "name"],
+    "deleted": ["path"],
 }
 BUCKET_BYTES = 2 << 20  # of text, so that a small refresh makes few files
 MERGE_FACTOR = 8  # so many segments of one order of size become one
@@ -147,7 +149,9 @@ class IndexStore:
     def live(self, rows: DataFrame, snapshot: Snapshot) -> DataFrame:
         """Rows with repo, path and segment, without those of superseded files."""
         spent = [s.id for s in snapshot.segments if s.superseded]
-        return rows.join(self.superseded(snapshot), [*FILE_KEY, "segment"], "left_anti") if spent else rows
+        if not spent:
+            return rows
+        return rows.join(self.superseded(snapshot), [*FILE_KEY, "segment"], "left_anti").select(*rows.columns)
 
     def table(self, name: str, snapshot: Snapshot | None = None) -> DataFrame:
         """Live rows of a table as of a snapshot, with the ``segment`` and ``bucket`` they lie in."""
@@ -162,8 +166,8 @@ class IndexStore:
         placed = rows.select(*columns, F.lit(segment.id).cast("bigint").alias("segment"), bucket.alias("bucket"))
         if name in TABLES:
             placed = placed.hint("rebalance", F.col("bucket"))
-        else:
-            placed = placed.repartitionByRange(*SORTED_BY[name])
+        elif name == "terms":  # a prefix is a range of terms
+            placed = placed.repartitionByRange("term")
         (
             placed.sortWithinPartitions("segment", "bucket", *SORTED_BY[name])
             .write.mode("append")
@@ -198,14 +202,16 @@ class IndexStore:
 
     # -- merging and sweeping
 
-    def due(self, snapshot: Snapshot, factor: int = MERGE_FACTOR) -> list[Segment]:
-        """Segments to be merged: `factor` of one order of size, and those that are mostly superseded."""
+    def due(self, snapshot: Snapshot, factor: int | None = None) -> list[Segment]:
+        """Segments to be merged: `factor` of one order of size, and those that are mostly superseded with all smaller ones."""
+        factor = factor or MERGE_FACTOR
         orders: dict[int, list[Segment]] = {}
         for s in snapshot.segments:
             orders.setdefault(int(math.log(max(s.files, 1), factor)), []).append(s)
         crowded = [s for same in orders.values() if len(same) >= factor for s in same]
-        spent = [s for s in snapshot.segments if s.superseded > SPENT * s.files]
-        return [s for s in snapshot.segments if s in crowded or s in spent]
+        spent = max((s.files for s in snapshot.segments if s.superseded > SPENT * s.files), default=-1)
+        found = [s for s in snapshot.segments if s in crowded or s.files <= spent]
+        return found if len(found) > 1 or any(s.superseded for s in found) else []
 
     def merge(self, snapshot: Snapshot, due: list[Segment]) -> Snapshot:
         """One segment with the live rows of `due` in their place; totals and counts of terms stay what they are."""
@@ -218,6 +224,7 @@ class IndexStore:
         tables["terms"] = summed_terms(self.segments("terms", ids))
         # Names that went with their files stay listed until here.
         tables["grams"] = gram_rows(tables["symbols"])
+        tables["deleted"] = self.segments("deleted", ids).groupBy(*FILE_KEY).agg(F.max("mtime").alias("mtime"))
         others = [s.id for s in rest if s.superseded]
         if others:
             gone = self.superseded(snapshot).filter(F.col("segment").isin(others))

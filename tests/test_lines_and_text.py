@@ -128,3 +128,16 @@ def test_percentiles(spark, values):
     ordered = sorted(map(float, values))
     assert [row[p] for p in points] == [ordered[int(len(ordered) * q)] for q in points.values()]
     assert row.n == len(values)
+
+
+def test_percentiles_of_outliers(spark):
+    """What is in question shrinks whatever the values are; no group above the limit is sorted."""
+    values = [float(i % 5000) for i in range(20_000)] + [1e15, -1e15, float("inf"), float("-inf"), float("nan")]
+    frame = spark.createDataFrame([("g", v) for v in values] + [("h", 1.0), ("e", None)], "g string, v double")
+    points = {"low": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "top": 0.99999}
+    found = {r.g: r for r in percentiles(frame, "g", "v", points, left=50, cuts=8).collect()}
+    ordered = sorted(values, key=lambda v: (v != v, v))
+    for name, q in points.items():
+        expected, got = ordered[int(len(ordered) * q)], found["g"][name]
+        assert got == expected or (got != got and expected != expected)
+    assert found["h"].p50 == 1.0 and (found["e"].n, found["e"].p50) == (0, 0.0)

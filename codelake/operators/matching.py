@@ -137,7 +137,7 @@ def match_none(scored: DataFrame, excluded: DataFrame) -> DataFrame:
     return scored.join(chunks_of_query(excluded), ["query_id", *CHUNK_KEY], "left_anti")
 
 
-def match_near(matches: DataFrame, rows: DataFrame, distance: int = 10) -> DataFrame:
+def match_near(matches: DataFrame, rows: DataFrame, distance: int | Column = 10) -> DataFrame:
     """NEAR: the occurrences of a query's phrases with at most ``distance`` words in between.
 
     A group of occurrences ends where its last phrase begins; every other phrase must begin no
@@ -178,3 +178,19 @@ def match_near(matches: DataFrame, rows: DataFrame, distance: int = 10) -> DataF
     return kept.groupBy(*MATCH).agg(
         F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("start")).alias("starts")
     )
+
+
+def match_groups(matches: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Matches of phrases with a ``near`` are kept where their group is near enough; all others as they are.
+
+    Each group is treated as a query of its own, named by its query, its number and its distance.
+    """
+    key = ["query_id", "phrase_id"]
+    named = phrases.filter("near IS NOT NULL").select(*key, F.struct("query_id", "near", "distance").alias("group"))
+    grouped = matches.join(named, key)
+    wanted = named.select(F.col("group").alias("query_id"), "phrase_id")
+    near = match_near(
+        grouped.withColumn("query_id", F.col("group")).drop("group"), wanted, F.col("query_id.distance")
+    )
+    others = matches.join(named, key, "left_anti")
+    return others.unionByName(near.withColumn("query_id", F.col("query_id.query_id")))

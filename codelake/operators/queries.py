@@ -7,12 +7,20 @@ from codelake.functions.text import BLANK, WORD, normalize_whitespace
 from codelake.functions.tokens import tokens
 from codelake.settings import MAX_CONTEXT, MAX_TOPK
 
+NEAR_WORDS = 10  # between the phrases of NEAR where it names no distance
+FARTHEST = 1 << 30
 FILTERS = ("symbol", "def", "class", "import", "lang", "path")
 
 _PAIR = rf"([{WORD}]+):([^{BLANK}]+)"
-# Text syntax: words, "quoted phrases", a + b, trailing *, leading ^, AND / OR / NOT.
-_STRING = r'(?:[A-Za-z0-9_\x1a\x{80}-\x{10FFFF}]+|"[^"]*(?:""[^"]*)*")'
-_UNIT = rf"(?:\^[{BLANK}]*)?{_STRING}(?:[{BLANK}]*\+[{BLANK}]*{_STRING})*(?:[{BLANK}]*\*)?"
+# Text syntax: words, "quoted phrases", a + b, trailing *, leading ^, AND / OR / NOT, NEAR(a "b c", 3).
+_BARE = r"[A-Za-z0-9_\x1a\x{80}-\x{10FFFF}]"
+_CONNECTIVE = rf"(?:AND|OR|NOT)(?!{_BARE})"
+# Possessive throughout: a NEAR that never closes is given up in one pass.
+_STRING = rf'(?:(?!{_CONNECTIVE}){_BARE}++|"[^"]*+(?:""[^"]*+)*+")'
+_PHRASE = rf"{_STRING}(?:[{BLANK}]*\+[{BLANK}]*{_STRING})*(?:[{BLANK}]*\*)?"
+_NEAR = rf"NEAR[{BLANK}]*\([{BLANK}]*(?:{_PHRASE}[{BLANK}]*+)++(?:,[{BLANK}]*[0-9]+[{BLANK}]*)?\)"
+_UNIT = rf"{_NEAR}|{_CONNECTIVE}|(?:\^[{BLANK}]*)?{_PHRASE}"
+_DISTANCE = rf",[{BLANK}]*([0-9]+)[{BLANK}]*\)\z"
 
 
 def valid_request(topk: Column, context: Column) -> Column:
@@ -91,16 +99,49 @@ def valid_text(text: Column) -> Column:
             | _is_connective(F.coalesce(F.get(units, e["i"] + 1), F.lit("")))
         ),
     )
-    rest = F.regexp_replace(F.regexp_replace(text, _UNIT, ""), f"[{BLANK}]+", "")
-    return (rest == "") & (F.size(units) > 0) & ~odd
+    return (_beside_units(text) == "") & (F.size(units) > 0) & ~odd
+
+
+def _beside_units(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, _UNIT, ""), f"[{BLANK}]+", "")
+
+
+def refused_texts(queries: DataFrame) -> DataFrame:
+    """(query_id, text_query, reason) of requests whose text finds nothing because of how it is written."""
+    text = F.col("text_query")
+    rest = _beside_units(text)
+    reason = (
+        F.when(F.contains(rest, F.lit('"')), "a quotation mark without its other half")
+        .when(rest.rlike(r"[()]"), "parentheses that are not those of NEAR(word word, distance)")
+        .when(rest != "", F.concat(F.lit("characters that have no meaning outside quotation marks: "), rest))
+        .otherwise("AND, OR or NOT without a word on each side")
+    )
+    asked = parse_queries(queries).filter((text != "") & ~valid_text(text))
+    return asked.select("query_id", "text_query", reason.alias("reason"))
+
+
+def _phrases_of(unit: Column) -> Column:
+    """The phrases a unit asks for: those listed in NEAR, or the unit itself."""
+    is_near = F.rlike(unit, F.lit(f"^{_NEAR}$"))
+    listed = F.regexp_replace(F.regexp_replace(unit, rf"^NEAR[{BLANK}]*\(", ""), rf"(?:{_DISTANCE}|\)\z)", "")
+    return F.when(is_near, F.regexp_extract_all(listed, F.lit(_PHRASE), F.lit(0))).otherwise(F.array(unit))
+
+
+def _distance_of(unit: Column) -> Column:
+    """How many words may lie between the phrases of a NEAR unit; null for other units."""
+    digits = F.regexp_extract(unit, _DISTANCE, 1)
+    given = F.least(F.coalesce(digits.try_cast("bigint"), F.lit(FARTHEST)), F.lit(FARTHEST)).cast("int")
+    is_near = F.rlike(unit, F.lit(f"^{_NEAR}$"))
+    return F.when(is_near, F.when(digits == "", NEAR_WORDS).otherwise(given))
 
 
 def text_phrases(parsed: DataFrame) -> DataFrame:
-    """(query_id, phrase_id, alternative, exclusion, text, prefix, initial) of valid text queries.
+    """(query_id, phrase_id, alternative, exclusion, text, prefix, initial, near, distance) of valid text queries.
 
     ``alternative`` counts the sides of OR. ``exclusion`` is 0 for what must be there; phrases
     that share a higher number must not all be there. Words side by side bind tightest, then NOT,
-    then AND, then OR.
+    then AND, then OR. Phrases of a query that share a ``near`` must lie within ``distance`` words; it is null for all
+    others.
     """
     state = F.struct(
         F.lit(0).alias("alternative"),
@@ -126,7 +167,22 @@ def text_phrases(parsed: DataFrame) -> DataFrame:
 
     text = F.col("text_query")
     asked = parsed.filter((text != "") & valid_text(text))
-    phrases = F.aggregate(text_units(text), state, step)["out"]
+    units = F.aggregate(text_units(text), state, step)["out"]
+    phrases = F.flatten(
+        F.transform(
+            units,
+            lambda u, i: F.transform(
+                _phrases_of(u["text"]),
+                lambda phrase: F.struct(
+                    u["alternative"].alias("alternative"),
+                    u["exclusion"].alias("exclusion"),
+                    phrase.alias("text"),
+                    F.when(_distance_of(u["text"]).isNotNull(), i).alias("near"),
+                    _distance_of(u["text"]).alias("distance"),
+                ),
+            ),
+        )
+    )
     return (
         asked.select("query_id", F.posexplode(phrases).alias("phrase_id", "p"))
         .select(
@@ -137,6 +193,8 @@ def text_phrases(parsed: DataFrame) -> DataFrame:
             "p.text",
             F.endswith(F.col("p.text"), F.lit("*")).alias("prefix"),
             F.startswith(F.col("p.text"), F.lit("^")).alias("initial"),
+            "p.near",
+            "p.distance",
         )
         .filter(F.size(tokens(F.col("text"))) > 0)
     )

@@ -36,13 +36,18 @@ def bm25(matches: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
+def holding_of(matches: DataFrame) -> DataFrame:
+    """(query_id, phrase_id, holding): in how many chunks each phrase occurs."""
+    return matches.groupBy("query_id", "phrase_id").agg(F.count("*").alias("holding"))
+
+
 def score_parts(matches: DataFrame, stats: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """What each phrase adds to the score of each chunk that holds it, as column ``part``.
 
     A phrase's document frequency is counted over its own matches, unless ``known`` (query_id, phrase_id, holding) gives
     it for all phrases.
     """
-    holding = matches.groupBy("query_id", "phrase_id").agg(F.count("*").alias("holding")) if known is None else known
+    holding = holding_of(matches) if known is None else known
     # One subquery for both values; asked for twice, it runs once.
     corpus = stats.select(F.struct("n_chunks", "avgdl")).scalar()
     idf = inverse_document_frequency(corpus["n_chunks"], F.col("holding"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from codelake.functions.scoring import bm25_part, inverse_document_frequency
 from codelake.functions.text import like_substring
-from codelake.operators.matching import expand_prefixes, match_phrases, phrase_rows
+from codelake.operators.matching import expand_prefixes, match_groups, match_phrases, phrase_rows
 from codelake.operators.queries import side_limit, text_phrases
-from codelake.operators.ranking import score_parts, top_rows
+from codelake.operators.ranking import holding_of, score_parts, top_rows
 from codelake.operators.small import only, settled
 from codelake.schemas import CHUNK_KEY
 from codelake.settings import BM25_B, BM25_K1, SCORE_DIGITS
@@ -53,8 +53,12 @@ def request_words(index, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def score_words(index, phrases: DataFrame, words: DataFrame) -> DataFrame:
     """(query_id, chunk key, language, score) of every chunk that answers the phrases."""
     known = known_holding(index, words)
+    near = not phrases.filter("near IS NOT NULL").isEmpty()
     if known is None:
-        return score_chunks(score_parts(match_phrases(index.postings, words), index.stats), phrases)
+        matches = match_phrases(index.postings, words)
+        if near:  # A phrase's weight follows from all chunks that hold it, near the others or not.
+            known, matches = holding_of(matches), match_groups(matches, phrases)
+        return score_chunks(score_parts(matches, index.stats, known), phrases)
     # A stored index is read once for all words; phrases are put together from what was found.
     found = only(index.postings, "term", words).join(words.select("term").distinct(), "term", "left_semi")
     found = settled(found.drop("level", "segment", "bucket"), "postings", held=0)
@@ -63,7 +67,9 @@ def score_words(index, phrases: DataFrame, words: DataFrame) -> DataFrame:
     unknown = settled(words.join(known, ["query_id", "phrase_id"], "left_anti"), "unknown")
     if not unknown.isEmpty():
         again = match_phrases(found, unknown)
-        known = known.unionByName(again.groupBy("query_id", "phrase_id").agg(F.count("*").alias("holding")))
+        known = known.unionByName(holding_of(again))
+    if near:
+        matches = match_groups(matches, phrases)
     return score_chunks(score_parts(matches, index.stats, known), phrases)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codelake.operators.queries import parse_queries
+from codelake.operators.queries import parse_queries, refused_texts
 from codelake.operators.results import (
     json_envelopes,
     merge_sides,
@@ -232,3 +232,50 @@ def results_with_context(spark, sf):
 @query("qry_06_stemmed_search")
 def stemmed(spark, sf):
     return search(C.mixed_index(spark, sf, stem=True), C.requests(spark))
+
+
+# Groups of near words in the request text; each pair of words is looked at from the rarer of the two.
+NEAR_TEXTS = ("NEAR(the is, 3)", "NEAR(de la, 0)", "license NOT NEAR(the of, 2)", "NEAR(the license) OR NEAR(de la, 1)")
+
+
+@query(
+    "qry_08_near_in_text",
+    f"""WITH {DOCS}, {chunk_views()},
+    asked(a, b, distance) AS (VALUES ('the', 'is', 3), ('de', 'la', 0), ('the', 'of', 2), ('the', 'license', 10), ('de', 'la', 1)),
+    near AS (SELECT DISTINCT a, b, distance, p.path, p.chunk_id
+      FROM asked JOIN post p ON p.term = a JOIN post q ON q.term = b AND q.path = p.path AND q.chunk_id = p.chunk_id
+      WHERE len(list_filter(p.positions, lambda x: len(list_filter(q.positions, lambda y: abs(x - y) - 1 <= distance)) > 0)) > 0)
+    SELECT DISTINCT query_id, path, chunk_id FROM (
+      SELECT 0 AS query_id, path, chunk_id FROM near WHERE b = 'is'
+      UNION ALL SELECT 1, path, chunk_id FROM near WHERE distance = 0
+      UNION ALL SELECT 2, path, chunk_id FROM post WHERE term = 'license'
+        AND NOT EXISTS (FROM near n WHERE n.b = 'of' AND n.path = post.path AND n.chunk_id = post.chunk_id)
+      UNION ALL SELECT 3, path, chunk_id FROM near WHERE b = 'license' OR distance = 1)""",
+)
+def near_in_text(spark, sf):
+    index = index_from_files(C.document_files(spark, sf), C.CHUNK_LINES, stem=False)
+    scored = score_text(index, parse_queries(C.requests(spark, NEAR_TEXTS)))
+    return scored.select("query_id", "path", "chunk_id")
+
+
+# One shape per part; what is wrong with each follows from its place in the list.
+REFUSED_SHAPES = ("({n} OR zz) AND a", "a AND", 'say "{n}', "foo-{k}", "{n}", "NEAR({n}, x)", "NEAR({n}, 3)", "a.{k},b")
+
+
+@query(
+    "qry_09_refused_texts",
+    """SELECT p_partkey::INTEGER AS query_id,
+      CASE p_partkey % 8 WHEN 2 THEN 'a quotation mark without its other half'
+        WHEN 0 THEN 'parentheses that are not those of NEAR(word word, distance)'
+        WHEN 5 THEN 'parentheses that are not those of NEAR(word word, distance)'
+        WHEN 1 THEN 'AND, OR or NOT without a word on each side'
+        WHEN 3 THEN 'characters that have no meaning outside quotation marks: -'
+        ELSE 'characters that have no meaning outside quotation marks: .,' END AS reason
+      FROM part WHERE p_partkey % 8 NOT IN (4, 6)""",
+)
+def refused(spark, sf):
+    k = F.col("p_partkey")
+    shape = F.get(F.array(*map(F.lit, REFUSED_SHAPES)), (k % len(REFUSED_SHAPES)).cast("int"))
+    text = F.replace(F.replace(shape, F.lit("{n}"), F.col("p_name")), F.lit("{k}"), k.cast("string"))
+    asked = C.table(spark, sf, "part").select(k.cast("int").alias("query_id"), text.alias("query"))
+    return refused_texts(asked).select("query_id", "reason")

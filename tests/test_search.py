@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from codelake.functions.stemming import porter_stem
 from codelake.operators import matching as M
 from codelake.operators.postings import build_postings, corpus_stats
-from codelake.operators.queries import parse_queries, rejected_requests
+from codelake.operators.queries import parse_queries, refused_texts, rejected_requests
 from codelake.operators.ranking import bm25
 from codelake.operators.text_search import score_text
 from codelake.plans import corpora as C
@@ -50,6 +50,10 @@ TEXTS = [
     "^the", "^ run handle", "run + the", "the OR flies", "run NOT the", "run NOT the handler", "run AND handle NOT cafe",
     "run NOT the AND cafe", "the OR run NOT cafe", "the handler OR cafe", "relational", "Größe", "grosse", "жжжings",
     "x1 AND", "AND x", "requests.get", "foo-bar", "print(", "a,b", "*", '""', "nowhere", "the nowhere", "fly",
+    "NEAR(run the)", "NEAR(run the, 0)", "NEAR(the handler, 2)", 'NEAR("a b" cafe, 3)', "NEAR (run + the flies, 5 )",
+    "NEAR(han* the cafe, 4)", "run NOT NEAR(the cafe, 1)", "NEAR(run the, 1) OR NEAR(cafe flies, 0) NOT x1", "NEAR(run)",
+    'NEAR("" run, 2)', "NEAR run", "NEAR(run AND the)", "NEAR(run the, x)", "NEAR(^run the)", "^NEAR(run the)", "NEAR()",
+    "cafe NEAR(run the, 2) x1", "run + AND", "AND*", "ANDx OR the", "NEAR(run run, 3)", "NEAR(the run, 99999999999)",
     '"the"* run', "run NOT the NOT cafe", "the OR", "NOT the", 'say "the', "the\tcafe",
 ]
 
@@ -73,6 +77,13 @@ def test_text_search_agrees_with_fts5(spark, files_of, texts):
             assert found[i][path] == pytest.approx(score, abs=2e-6), (text, path)
 
 
+def test_refused_texts_have_a_reason(spark):
+    asked = ("(pass OR zz) AND def", "NEAR(def pass)", 'say "the', "the OR", "print(", "a-b", "def:x", "x1")
+    found = {r.query_id: r.reason for r in refused_texts(C.requests(spark, asked)).collect()}
+    assert sorted(found) == [0, 2, 3, 4, 5]
+    assert "parentheses" in found[0] and "quotation" in found[2] and "AND" in found[3] and found[5].endswith(": -")
+
+
 def test_unstemmed_search_agrees_with_fts5(spark, files_of, texts):
     engine = Fts5(texts, stem=False)
     index = index_from_files(files_of(texts), stem=False)

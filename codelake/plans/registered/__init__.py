@@ -4,6 +4,7 @@ from codelake.plans.registered import (  # noqa: F401
     columns,
     delta,
     jobs,
+    scans,
     searches,
     statistics,
     symbols,

@@ -1,20 +1,22 @@
-"""The ``codefiles`` data source: a recursive listing of a source tree, hidden files included.
+"""Listing and reading a source tree, hidden files included.
 
-Spark's own file sources leave out names that begin with ``_`` or ``.``, and code has many
-(``__init__.py``). The driver only opens directories until there are enough of them to share out;
-each task walks its own subtrees. Contents are read in a second step (`with_content`), after the
-listing has been spread evenly, so one huge subtree does not become one task's reading.
+Spark's own file sources leave out names that begin with ``_`` or ``.``, and code has many (``__init__.py``). The tree is
+opened in rounds: tasks share the directories that are still closed, each opens what lies below its own until it has
+seen enough, and hands on what is closed by then, to be shared anew. Sizes and times are asked for in a second step and
+contents read in a third (`with_content`), each after the files have been dealt out evenly, so neither one huge subtree
+nor one huge directory becomes one task's work.
 """
 
 import os
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from codelake.operators.small import schema_of, settled
+from codelake.operators.small import local_rows, schema_of, settled
 from codelake.schemas import RAW_FILES
 from codelake.settings import (
     BINARY_PROBE_BYTES,
@@ -27,86 +29,96 @@ from codelake.settings import (
 LISTING = "path string, size_bytes bigint, mtime bigint"
 BATCH_BYTES = 16 << 20  # of file contents in a batch
 TASK_BYTES = 128 << 20  # of listed files for a reading task
+OPENED = 5_000  # entries a task of the first round sees before it hands on closed directories; each round doubles it
+TASK_FILES = 10_000  # whose sizes one task asks for
+BATCH_ROWS = 1_000
 
 
-class Subtrees(InputPartition):
-    def __init__(self, directories: list[str], shallow: list[str]):
-        super().__init__(None)
-        self.directories = directories  # walked to the bottom
-        self.shallow = shallow  # only their own files
-
-
-def _child_directories(directory: str, skip: frozenset[str]) -> list[str]:
-    try:
-        with os.scandir(directory) as entries:
-            return [
-                e.path for e in entries if e.is_dir(follow_symlinks=False) and e.name not in skip
-            ]
-    except OSError:
-        return []
-
-
-class CodeFilesReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.root = os.path.realpath(options["path"])
-        self.partitions_wanted = int(options.get("partitions", 64))
-        self.skip = frozenset(filter(None, options.get("excludedirs", "").split("\n")))
-
-    def partitions(self) -> list[InputPartition]:
-        frontier, opened = [self.root], []
-        while frontier and len(frontier) < self.partitions_wanted:
-            below = [child for d in frontier for child in _child_directories(d, self.skip)]
-            opened, frontier = opened + frontier, below
-        n = max(1, min(self.partitions_wanted, len(frontier) + len(opened)))
-        parts = [Subtrees(frontier[i::n], opened[i::n]) for i in range(n)]
-        return [p for p in parts if p.directories or p.shallow]
-
-    def read(self, partition: Subtrees) -> Iterator[tuple]:
-        for directory in partition.shallow:
-            yield from self._files_in(directory)
-        for top in partition.directories:
-            for directory, below, _ in os.walk(top):
-                below[:] = [d for d in below if d not in self.skip]
-                yield from self._files_in(directory)
-
-    def _files_in(self, directory: str) -> Iterator[tuple]:
+def _opened(root: str, start: list[str], skip: frozenset[str], enough: int) -> Iterator[tuple[str, bool]]:
+    """What lies below some directories, breadth first, as (path, whether it is a directory left closed).
+
+    Links to directories are not followed. Directories that cannot be read and names that are not UTF-8 are left out.
+    """
+    closed, seen = deque(start), 0
+    while closed and seen < enough:
+        directory = closed.popleft()
         try:
-            entries = list(os.scandir(directory))
+            with os.scandir(os.path.join(root, directory)) as entries:
+                for entry in entries:
+                    seen += 1
+                    if not entry.name.isascii() and entry.name.encode(errors="replace").decode() != entry.name:
+                        continue
+                    path = f"{directory}/{entry.name}" if directory else entry.name
+                    if entry.is_dir(follow_symlinks=False):
+                        if entry.name not in skip:
+                            closed.append(path)
+                    elif not entry.is_dir():
+                        yield path, False
         except OSError:
-            return
-        for entry in entries:
-            if entry.is_dir():
-                continue
-            try:
-                stat = entry.stat()
-            except OSError:
-                continue  # vanished or dangling
-            yield os.path.relpath(entry.path, self.root), stat.st_size, int(stat.st_mtime)
+            continue
+    for directory in closed:
+        yield directory, True
+
+
+def _in_batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == BATCH_ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
-class CodeFiles(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "codefiles"
+def _open_round(closed: DataFrame, root: str, skip: frozenset[str], enough: int) -> DataFrame:
+    schema = pa.schema([("path", pa.string()), ("closed", pa.bool_())])
 
-    def schema(self) -> str:
-        return LISTING
+    def go(batches):
+        # All of a task's directories at once: what it sees is counted over all of them.
+        start = [path for batch in batches for path in batch.column("path").to_pylist()]
+        yield from _in_batches(_opened(root, start, skip, enough), schema)
 
-    def reader(self, schema) -> DataSourceReader:
-        return CodeFilesReader(self.options)
+    return closed.select("path").mapInArrow(go, "path string, closed boolean")
+
+
+def _with_stat(files: DataFrame, root: str) -> DataFrame:
+    schema = pa.schema([("path", pa.string()), ("size_bytes", pa.int64()), ("mtime", pa.int64())])
+
+    def asked(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                try:
+                    stat = os.stat(os.path.join(root, path))
+                except OSError:
+                    continue  # vanished or dangling
+                yield path, stat.st_size, int(stat.st_mtime)
+
+    return files.select("path").mapInArrow(lambda batches: _in_batches(asked(batches), schema), LISTING)
 
 
 def list_files(
-    spark: SparkSession, root: str, exclude_dirs: list[str] = (), partitions: int = 64
+    spark: SparkSession, root: str, exclude_dirs: list[str] = (), partitions: int = 64,
+    wanted: Column | None = None, opened: int = OPENED,
 ) -> DataFrame:
-    """Every file below ``root``: relative path, size, whole-second mtime."""
-    spark.dataSource.register(CodeFiles)
-    return (
-        spark.read.format("codefiles")
-        .option("partitions", partitions)
-        .option("excludeDirs", "\n".join(exclude_dirs))
-        .load(root)
-    )
+    """Every file below ``root``: relative path, size, whole-second mtime.
+
+    ``wanted`` is a condition on the path; other files are never asked for their size. The directories a round leaves
+    closed lie in a table in the shared folder, so that the driver holds none of them. A root that is not there gives
+    no rows.
+    """
+    root, skip = os.path.realpath(root), frozenset(exclude_dirs)
+    closed, rounds, left = local_rows(spark, [("",)], "path string"), [], 1
+    while left:
+        shared = closed if left == 1 else closed.repartition(min(left, partitions * 16))
+        found = settled(_open_round(shared, root, skip, opened << len(rounds)), "opened", held=0)
+        rounds.append(found.filter("NOT closed").select("path"))
+        closed = found.filter("closed")
+        left = closed.count()
+    files = reduce(DataFrame.unionByName, rounds)
+    if wanted is not None:
+        files = files.filter(wanted)
+    return _with_stat(files.repartition(max(partitions, -(-files.count() // TASK_FILES))), root)
 
 
 def with_content(listing: DataFrame, root: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -164,7 +176,7 @@ def read_repo(
     partitions: int = 64,
 ) -> DataFrame:
     """The text files of a source tree as ``raw_files`` rows; names and sizes are tested before reading."""
-    from codelake.sources.selection import is_binary, select_by_name_and_size
+    from codelake.sources.selection import is_binary, wanted_names
 
     if not os.path.exists(root):
         raise FileNotFoundError(f"no such repository: {root}")
@@ -176,8 +188,8 @@ def read_repo(
     if os.path.exists(ignore_file):
         with open(ignore_file, encoding="utf-8", errors="ignore") as f:
             names += ignored_names(f.read())
-    listing = list_files(spark, root, names, partitions)
-    wanted = select_by_name_and_size(listing, names, exclude_files, max_bytes)
+    listing = list_files(spark, root, names, partitions, wanted_names(F.col("path"), names, exclude_files))
+    wanted = listing.filter(F.col("size_bytes") <= max_bytes)
     # Deal files out evenly before the reading: subtrees differ in size. The listing is settled first,
     # so that it is not made twice and its bytes tell how many tasks should share the reading.
     wanted = settled(wanted, "listing")

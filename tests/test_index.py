@@ -67,6 +67,24 @@ def test_scan(spark, tree, partitions):
     assert sorted(every) == sorted(TREE)
 
 
+@pytest.mark.parametrize("opened", [1, 7, 5000])
+def test_listing_in_rounds(spark, tmp_path, opened):
+    """Whatever a round leaves closed: a deep chain, many directories, one full directory, a name that is not UTF-8."""
+    files = {f"d{i}/e{j}/f.py": b"#" * i for i in range(9) for j in range(3)}
+    files |= {f"full/{i}.md": b"x" for i in range(300)} | {"/".join("abcdefghij") + "/deep.c": b"12345", "ä/ü.py": b""}
+    write(tmp_path, files | {"d1/skip/x.py": b""})
+    os.makedirs(tmp_path / "empty")
+    open(os.path.join(os.fsencode(tmp_path), b"\xff.py"), "wb").close()
+    os.symlink(tmp_path / "nowhere", tmp_path / "dangling")
+    found = list_files(spark, str(tmp_path), ["skip"], 3, opened=opened).collect()
+    assert len(found) == len(files) and {r.path: r.size_bytes for r in found} == {p: len(c) for p, c in files.items()}
+    wanted = list_files(spark, str(tmp_path), ["skip"], 3, F.col("path").endswith(".c"), opened)
+    assert [(r.path, r.mtime) for r in wanted.collect()] == [
+        ("a/b/c/d/e/f/g/h/i/j/deep.c", int(os.stat(tmp_path / "a/b/c/d/e/f/g/h/i/j/deep.c").st_mtime))
+    ]
+    assert list_files(spark, str(tmp_path / "nothing")).count() == 0
+
+
 def test_scan_of_nothing(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_repo(spark, str(tmp_path / "nowhere"), "r")

@@ -35,6 +35,27 @@ def stems(spark, sf):
     return words.select("term", stem(F.col("term")).alias("stem"))
 
 
+# Endings of a word whose stem is known: tra<key>k has one vowel, and no rule looks at its last letter.
+FORMS = {
+    "": "", "s": "", "ing": "", "ings": "", "ed": "", "ness": "", "ful": "", "fulness": "", "sses": "ss", "ies": "i", "y": "i",
+    "ly": "li", "ment": "ment", "ational": "at", "ization": "iz", "eed": "e",
+}
+
+
+@query(
+    "fts_13_stems_of_forms",
+    "SELECT concat('tra', p_partkey, 'k', form) AS term, concat('tra', p_partkey, 'k', ending) AS stem FROM part, (VALUES "
+    + ", ".join(f"('{form}', '{ending}')" for form, ending in FORMS.items())
+    + ") AS forms(form, ending)",
+)
+def stems_of_forms(spark, sf):
+    forms = F.explode(F.array(*map(F.lit, FORMS))).alias("form")
+    words = C.table(spark, sf, "part").select("p_partkey", forms).select(
+        F.concat(F.lit("tra"), "p_partkey", F.lit("k"), "form").alias("term")
+    )
+    return words.select("term", stem(F.col("term")).alias("stem"))
+
+
 @query(
     "fts_03_postings",
     BASE + " SELECT term, path, chunk_id, dl, tf, array_to_string(positions, ',') AS positions FROM post",

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelake.llm.components import components
-from codelake.llm.scratch import small, stored, whole
+from codelake.llm.scratch import joined, small, stored, whole
 from codelake.llm.textkernel import blocks, lower_words, mixed, ranges, span_hashes, utf8
 
 BANDS, ROWS = 42, 6
@@ -32,6 +32,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.1, 20.0, 255  # spacing of the scale, rate of the variates, largest register value
 SLACK = 4.75  # standard errors by which an estimate may fall short and still be verified
 BLOCK_ROWS = 1024
+BLOCK_BYTES = 64 << 20  # of sets and sketches; documents are long now and then
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -190,11 +191,15 @@ def with_estimates(pairs: DataFrame, classes: DataFrame, least: float) -> DataFr
 def across(members: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between members of a bucket that have different labels.
 
-    `members` has bucket, size, lefts, left, class, label, n, sketch, shingles: left rows are compared with every row of
-    their bucket, likeliest partners first, on the full sets; lefts counts them. Rows that a link joins in a task are
-    not compared there again, so a task gives at most one link for each left row and label.
+    `members` has bucket, size, bytes, lefts, left_bytes, left, class, label, n, sketch, shingles: left rows are compared
+    with every row of their bucket, likeliest partners first, on the full sets; lefts and left_bytes count them. Rows
+    that a link joins in a task are not compared there again, so a task gives at most one link for each left row and
+    label. A task holds about BLOCK_ROWS rows of each kind, or as many as fill BLOCK_BYTES.
     """
-    blocks_of, chunks_of = (F.ceil(F.col(c) / BLOCK_ROWS).cast("int") for c in ("size", "lefts"))
+    blocks_of, chunks_of = (
+        F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
+        for rows, size in (("size", "bytes"), ("lefts", "left_bytes"))
+    )
     own = [F.pmod(F.xxhash64("class", F.lit(s)), n).cast("int") for s, n in ((1, blocks_of), (2, chunks_of))]
     # A row stands in its block for all chunks of left rows, and a left row asks in its chunk in all blocks.
     placed = members.withColumns({"own_block": own[0], "own_chunk": own[1], "blocks": blocks_of, "chunks": chunks_of})
@@ -264,7 +269,8 @@ def groups(
     smallest doc_id reachable, and `first_row` the row that has it (the first one, if rows repeat). Null and empty
     texts, and texts without words, have empty sets and are linked with nothing, not even with each other. A null
     doc_id sorts last: it is a component's id only if the component has no other. Repeated rows fall into one component.
-    Other columns are ignored; an empty table gives no rows. The table is read again to verify, so `docs` must give the
+    Other columns are ignored; an empty table gives no rows. A text of any length is one task's slice; of very long sets
+    fewer are compared in a task. The table is read again to verify, so `docs` must give the
     same texts each time. `row` names a column of distinct numbers that tell the rows apart, if there is one.
     """
     sketched = stored(sketch(docs, words, doc_id, text, row), "sketches")
@@ -276,8 +282,8 @@ def groups(
         "classes",
     )
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    spread = classes.select("class", "sketch", band.alias("band")).select(
-        "class", F.xxhash64("band", F.substring("sketch", F.col("band") * ROWS + 1, F.lit(ROWS))).alias("bucket")
+    spread = classes.select("class", "n", "sketch", band.alias("band")).select(
+        "class", "n", F.xxhash64("band", F.substring("sketch", F.col("band") * ROWS + 1, F.lit(ROWS))).alias("bucket")
     )
     pivots = stored(
         spread.groupBy("bucket").agg(F.min("class").alias("pivot"), F.count("*").alias("size")).filter("size > 1"), "pivots"
@@ -287,27 +293,30 @@ def groups(
     links = verified(docs, stored(with_estimates(star, classes, least), "pairs"), classes, words, least)
     labels = components(links)
 
-    known = inside.filter("size > 2").select("bucket", "class").join(labels.withColumnRenamed("v", "class"), "class", "left")
+    known = inside.filter("size > 2").select("bucket", "class", "n").join(labels.withColumnRenamed("v", "class"), "class", "left")
     known = stored(known.withColumn("label", F.coalesce("label", "class")), "labelled")
     # Members outside their bucket's largest component ask; a bucket of one component is done.
-    by_label = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    shape = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"))
-    open_buckets = shape.filter(F.col("size") > F.col("most.n")).select(
-        "bucket", "size", (F.col("size") - F.col("most.n")).alias("lefts"), F.col("most.label").alias("main")
+    by_label = known.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum(8 * F.col("n") + REGISTERS).alias("bytes"))
+    shape = by_label.groupBy("bucket").agg(
+        F.max(F.struct("n", "label", "bytes")).alias("most"), F.sum("n").alias("size"), F.sum("bytes").alias("bytes")
     )
+    open_buckets = shape.filter(F.col("size") > F.col("most.n")).select(
+        "bucket", "size", "bytes", (F.col("size") - F.col("most.n")).alias("lefts"),
+        (F.col("bytes") - F.col("most.bytes")).alias("left_bytes"), F.col("most.label").alias("main"),
+    )
     members = known.join(stored(open_buckets, "open"), "bucket").withColumn("left", F.col("label") != F.col("main"))
     members = stored(members.drop("main"), "askers")
     asked = classes.join(members.select("class").distinct(), "class")
     sets = full_sets(docs, asked.select("class", "text_hash", "n", "f1", "f2"), words)
-    members = members.join(asked.select("class", "n", "sketch"), "class").join(sets, "class")
+    members = members.join(asked.select("class", "sketch"), "class").join(sets, "class")
     more = stored(across(members, least).distinct(), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
     merged = classes.join(labels.withColumnRenamed("v", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    tops = merged.groupBy("label").agg(F.min("top").alias("first"))
+    tops = stored(merged.groupBy("label").agg(F.min("top").alias("first")), "tops")
     named = stored(
-        merged.join(tops, "label").select("n", "f1", "f2", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row")),
+        joined(merged, tops, "label").select("n", "f1", "f2", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row")),
         "components",
     )
     empty = sketched.filter("n = 0").select(

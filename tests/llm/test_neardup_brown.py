@@ -36,9 +36,12 @@ def variants(seed, n, length, changes):
     return out
 
 
-@pytest.mark.parametrize(("block", "words"), [(neardup.BLOCK_ROWS, 5), (7, 4)])
-def test_groups_are_those_of_brute_force(spark, monkeypatch, block, words):
+@pytest.mark.parametrize(
+    ("block", "size", "words"), [(neardup.BLOCK_ROWS, neardup.BLOCK_BYTES, 5), (7, neardup.BLOCK_BYTES, 4), (neardup.BLOCK_ROWS, 4000, 5)]
+)
+def test_groups_are_those_of_brute_force(spark, monkeypatch, block, size, words):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", size)
     texts = variants(1, 60, 120, 5) + variants(2, 40, 60, 4) + variants(3, 30, 200, 14) + variants(4, 20, 9, 1)
     texts += [t.upper() + " \n" for t in texts[:20]] + ["a b", "A  b", "a b c", "", None, " \n", "one two three four", "x " * 500, "x x x x x"]
     random.Random(9).shuffle(texts)

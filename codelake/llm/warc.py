@@ -1,8 +1,9 @@
 """WARC archives through a table of payload chunks.
 
-A payload is a sequence of rows (record, chunk, data) of bounded size. Each carries the length and digest of all
-bytes up to its end, so the last row of a record has those of the whole payload, and neither the writer nor the reader
-ever holds a whole record. Archives are `.warc.gz` files, one gzip member per record, one file per task.
+A payload is a sequence of rows (record, chunk, data) of bounded size, cut before anything is shuffled or sent to Python.
+The writer carries a record's digest from chunk to chunk and checks it at the last one. A row that is read back has the
+length and digest of all bytes up to its end, so the last row of a record has those of the whole payload. Neither side
+holds a whole record. Archives are `.warc.gz` files, one gzip member per record, one file per task.
 """
 
 import base64
@@ -21,6 +22,7 @@ from codelake.llm.records import opened
 from codelake.llm.scratch import new_folder, stored
 
 CHUNK = 256 << 10
+FEW = 200_000  # revisits (rows of 60 bytes) that are broadcast
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -57,27 +59,39 @@ def digested(pages: DataFrame) -> DataFrame:
     ).select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("bigint").alias("bytes"))
 
 
-def chunked(pages: DataFrame, least: int = 0, size: int = CHUNK) -> DataFrame:
-    """The chunk rows to write; a record's rows follow each other. A revisit is one row without data."""
-    decided = stored(plan(pages, least), "revisits")
-    p, d = digested(pages).alias("p"), decided.alias("d")
-    rows = p.join(d, F.col("p.page_id").eqNullSafe(F.col("d.page_id")) & (F.col("p.sha1") == F.col("d.sha1")), "left")
-    n = F.when(F.col("refers_to").isNotNull(), 1).otherwise(F.greatest(F.ceil(F.col("bytes") / size), F.lit(1))).cast("int")
-    rows = rows.select("p.page_id", "url", "payload", "p.sha1", "bytes", "refers_to", n.alias("n"))
+def chunked(pages: DataFrame, least: int = 0, size: int = CHUNK, most: int = FEW) -> DataFrame:
+    """The chunk rows to write; a record's rows follow each other. A revisit is one row without data.
+
+    Up to `most` revisits are broadcast, and the payloads stay where they are read. Beyond that the chunk rows are
+    shuffled and sorted: the rows of a record come from one task, so a page split among several tasks stays in order.
+    """
+    revisits = stored(plan(pages, least).filter("refers_to IS NOT NULL"), "revisits")
+    few = revisits.count() <= most
+    n = F.greatest(F.ceil(F.col("bytes") / size), F.lit(1)).cast("int")
+    rows = digested(pages).select("*", F.monotonically_increasing_id().alias("row"), n.alias("n"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"))
-    data = F.when(F.col("refers_to").isNull(), F.substring("payload", F.col("chunk") * size + 1, F.lit(size)))
-    return rows.select(
-        "page_id", "url", "sha1", "bytes", "refers_to", "chunk", (F.col("chunk") + 1 == F.col("n")).alias("last"),
-        data.alias("data"),
+    data = F.substring("payload", F.col("chunk") * size + 1, F.lit(size))
+    p = rows.select("page_id", "url", "sha1", "bytes", "row", "n", "chunk", data.alias("data")).alias("p")
+    d = (F.broadcast(revisits) if few else revisits).alias("d")
+    found = p.join(d, F.col("p.page_id").eqNullSafe(F.col("d.page_id")) & (F.col("p.sha1") == F.col("d.sha1")), "left")
+    again = F.col("refers_to").isNotNull()
+    kept = found.filter(~again | (F.col("chunk") == 0)).select(
+        "p.page_id", "url", "p.sha1", "bytes", "refers_to", "row", "chunk",
+        (again | (F.col("chunk") + 1 == F.col("n"))).alias("last"), F.when(~again, F.col("data")).alias("data"),
     )
+    return (kept if few else kept.sortWithinPartitions("row", "chunk")).drop("row")
 
 
 def head(page_id: int | None, url: str | None, sha1: str, size: int, refers_to: int | None) -> tuple[bytes, bytes]:
-    """WARC and HTTP headers of a record. Line ends in an address are percent-encoded."""
+    """WARC and HTTP headers of a record. Line ends in an address are percent-encoded.
+
+    A record's id is that of its page and payload: only rows equal in both give records with one id.
+    """
     http = HTTP % size
+    name = f"<urn:page:{{}}:{sha1}>"
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
+        ("WARC-Record-ID", name.format("" if page_id is None else page_id)),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Payload-Digest", "sha1:" + bare(bytes.fromhex(sha1))),
         ("X-Payload-Length", str(size)),
@@ -87,15 +101,15 @@ def head(page_id: int | None, url: str | None, sha1: str, size: int, refers_to:
     if url is not None:
         fields.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
     if refers_to is not None:
-        fields += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", PROFILE)]
+        fields += [("WARC-Refers-To", name.format(refers_to)), ("WARC-Profile", PROFILE)]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode(), http
 
 
-def write(pages: DataFrame, folder: str | None = None, least: int = 0, size: int = CHUNK) -> DataFrame:
+def write(pages: DataFrame, folder: str | None = None, least: int = 0, size: int = CHUNK, most: int = FEW) -> DataFrame:
     """Write the pages to archives below `folder`; one row (file, records) per archive.
 
     Null payloads are empty and null addresses are left out. Repeated rows become repeated records. Columns other than
-    page_id, url and html are ignored; an empty table gives no archive. An archive is renamed when complete, so a task
+    page_id, url and html are ignored; an empty table gives no archive. A very long payload is chunk rows. An archive is renamed when complete, so a task
     that runs again replaces its own.
     """
     spark = pages.sparkSession
@@ -128,7 +142,7 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0, size: int
             store.move(temporary, f"{path}/{name}")
             yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "records": [records]})
 
-    files = chunked(pages, least, size).mapInArrow(put, "file string, records bigint")
+    files = chunked(pages, least, size, most).mapInArrow(put, "file string, records bigint")
     return stored(files, "archives")
 
 
@@ -140,7 +154,7 @@ def read(files: DataFrame, with_data: bool = True, size: int = CHUNK) -> DataFra
     """
 
     def number(uri: str | None) -> int | None:
-        digits = (uri or "").removeprefix("<urn:page:").removesuffix(">")
+        digits = (uri or "").removeprefix("<urn:page:").partition(":")[0]
         return int(digits) if digits else None
 
     def rows(file: str) -> Iterator[dict]:

@@ -171,6 +171,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert large.count() == 0
 
 
+def test_warc_chunks_that_are_shuffled_stay_in_order(spark, tmp_path):
+    rows = [(i, "u", f"<p>{i % 7}</p>" * (1 + i % 7 * 40), 0, "") for i in range(60)] + [(1, "u", "other", 0, "")] + [(2, "u", "t" * 500, 0, "")] * 9
+    pages = spark.createDataFrame(rows, PAGES).repartition(5)
+    records = []
+    for most in (0, 200_000):
+        found = warc.read(warc.write(pages, str(tmp_path / f"m{most}"), size=64, most=most), size=64).collect()
+        assert all(r.bytes_so_far <= r.payload_bytes for r in found)
+        records.append(sorted((r.page_id, r.record_type, r.refers_to or -1, r.payload_bytes, r.payload_digest) for r in found if r.last))
+    assert records[0] == records[1] and len(records[0]) == len(rows)
+    assert sum(r[1] == "response" for r in records[0]) == 7 + 1 + 9
+
+
 def test_warc_damage_and_nothing(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "a payload", 0, "")], PAGES)
     files = warc.write(pages, str(tmp_path / "w"))

@@ -89,7 +89,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.digest(chat.expand(rows))
+    return chat.digest(chat.lay_out(rows))
 
 
 @query("op1_best_fit_packing")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import brute
 import pytest
@@ -78,22 +79,53 @@ TURNS = "conv_id bigint, turn bigint, role string, text string, example string"
 @pytest.mark.parametrize("said", ["</s>[INST] ok [/INST]", "<|end|>", "\\<|end|>\\", "<", "a\\|b<\\|turn|>", "", None, "x\n<|text|>\n"])
 def test_chat_reads_back_what_was_said(spark, said):
     rows = [(1, 0, "user", said, "e"), (1, 1, "assistant", said, "e"), (1, 2, "user", "b", "e"), (1, 3, "assistant", said, "e"), (1, 4, "user", "<", "e")]
-    examples = chat.expand(spark.createDataFrame(rows, TURNS))
+    laid = chat.lay_out(spark.createDataFrame(rows, TURNS))
+    examples = chat.expand(laid).cache()
     assert examples.count() == 3
-    one = chat.digest(examples).first()
+    one = chat.digest(laid).first()
     text = said or ""
     turns = "".join(f"{r[2]}\n{r[3] or ''}\n" for r in rows)
     assert one.n_turns == 5 and one.turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
     assert one.loss_chars == 2 * len(text) and one.loss_sha256 == hashlib.sha256((2 * text).encode()).hexdigest()
     for r in examples.collect():
         assert (r.loss_length > 0) == (r.example < 2 and text != "")
+    read = examples.select(
+        "example", chat.read_turns(F.col("formatted")).alias("turns"),
+        chat.read_loss(F.col("formatted"), F.col("loss_start").cast("int"), F.col("loss_length")).alias("loss"),
+    ).orderBy("example").collect()
+    for r, upto in zip(read, (2, 4, 5), strict=True):
+        assert [(t.role, t.text) for t in r.turns] == [(x[2], x[3] or "") for x in rows[:upto]]
+        assert r.loss == (text if upto < 5 else "")
+
+
+def test_chat_cells_shift_what_they_hold(spark):
+    """Cells of two turn numbers give the same turns as one cell, and both those of plain Python."""
+    rng = random.Random(3)
+    rows = [(c, rng.choice([None, -3, *range(12)]), rng.choice(["user", "assistant", "<|text|>"]), "x" * rng.randrange(9), "e")
+            for c in (1, 1, 1, 2, 3) for _ in range(14)]
+    conversations = spark.createDataFrame(rows, TURNS).repartition(3)
+    want = []
+    for c in (1, 2, 3):
+        own = sorted((-(2**63) if t is None else t, role, text) for k, t, role, text, _ in rows if k == c)
+        start = example = 0
+        for i, (_, role, text) in enumerate(own):
+            shown = f"<|turn|>{role.replace('<|', chr(60) + chr(92) + '|')}<|text|>{text}<|end|>"
+            trained = role == "assistant"
+            ends, loss = trained or i + 1 == len(own), len(text) if trained else 0
+            mask = (example, start + len(shown) - len("<|end|>") - loss, loss) if ends else (None, None, None)
+            want.append((c, i, start, shown, *mask))
+            start, example = start + len(shown), example + trained
+    for cell in (2, 1000):
+        laid = chat.lay_out(conversations, cell=cell)
+        found = laid.select("conv_id", "nth", "start", "formatted", "example", "loss_start", "loss_length").collect()
+        assert sorted(map(tuple, found), key=lambda r: r[:2]) == want
 
 
 def test_chat_edges(spark):
     rows = [(None, 0, "assistant", "a", "e"), (None, 0, "user", "b", "e"), (2, 1, None, None, "e"), (3, None, "assistant", "y", "e"),
             (3, 1, "assistant", "x", "e"), (3, 1, "assistant", "x", "e"), (3, 1, "assistant", "w", "e")]
-    found = chat.digest(chat.expand(spark.createDataFrame(rows, TURNS))).collect()
+    found = chat.digest(chat.lay_out(spark.createDataFrame(rows, TURNS))).collect()
     assert sorted((r.conv_id or 0, r.n_turns, r.loss_chars) for r in found) == [(0, 1, 0), (0, 1, 1), (2, 1, 0), (3, 4, 4)]
     three = next(r for r in found if r.conv_id == 3)
     assert three.loss_sha256 == hashlib.sha256(b"ywxx").hexdigest()
-    assert chat.digest(chat.expand(spark.createDataFrame([], TURNS))).count() == 0
+    assert chat.digest(chat.lay_out(spark.createDataFrame([], TURNS))).count() == 0

@@ -1,14 +1,19 @@
 """Scores of documents under a Brown class-based bigram model.
 
 p(word | word before) = p(class | class before) * p(word | class). Classes come from exchange clustering, which moves
-types to the class that raises the likelihood of the class bigrams most. Types are all words that occur at least `least`
-times in the training texts and the endings of the other words, so that a rare or unseen word has a class too. Words of
-at least 1/`lexicon` of the training tokens (at most `lexicon`, whatever the corpus) and endings are clustered first, one
-after another, by the driver; every other type starts in the class of its ending. Then Spark moves all types, a part of
-them in each round: the tokens, written once as numbers of types, give each type's counts with the classes beside it,
-and each type goes to its best class. A round that does not raise the likelihood is taken back; smaller parts follow.
-The list of types with their counts and classes is sent to the tasks; it grows with the number of words that occur `least`
-times. Counts of rarer words are a table that the words of the texts are joined with.
+types to the class that raises the likelihood of the class bigrams most. Types are the words that make up at least
+1/`common` of the training tokens (so there are at most `common` of them, whatever the corpus) and occur `least` times,
+and the endings of all other words. Words of at least 1/`lexicon` of the tokens (at most `lexicon`) and endings are
+clustered first, one after another, by the driver; every other type starts in the class of its ending. Then Spark moves all
+types, a part of them in each round: the tokens, written once as numbers of types, give each type's counts with the classes
+beside it, and each type goes to its best class. A round that does not raise the likelihood is taken back; smaller parts
+follow.
+
+All other words that occur `least` times then move from the class of their ending to their own best one. They are a table:
+their counts are added up by word, and the texts' words are joined with it. None of them has more than 1/`common` of the
+tokens, so no key of these shuffles is hot. What their moves change in the class bigrams and in a text's score is worked
+out from the moved words and the classes beside them. Driver and tasks hold the types and the matrix of classes, both
+bounded by parameters; the table of words grows with the corpus.
 """
 
 import zlib
@@ -33,6 +38,7 @@ END_WORD = np.int64(zlib.crc32(b"end of a text"))  # stands for the end among th
 FOLDS, HELD_OUT = 5, 1
 COUNTED = 4 * BLOCK  # bytes of text counted together before Spark adds up
 GATHERED = 1 << 21  # tokens counted together
+COUNTS = "key bigint, home int, counts array<bigint>"
 MARK = np.isin(np.arange(256), list(b"!\"'(),-.:;?")).astype(np.int64)
 
 
@@ -95,30 +101,45 @@ def word_counts(train: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
 
 
-def numbered(train: DataFrame, types: Types) -> DataFrame:
-    """(tokens): the types of each text's words and its end."""
+def numbered(rows: DataFrame, types: Types) -> DataFrame:
+    """(row, doc_id, held_out, tokens, others): types of each text's words and its end, hashes of the words that are no type."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words, endings, first in hashed(batch):
-                tokens = with_ends(types.of(words, endings), first, 0).astype(np.int32)
-                at = (first + np.arange(len(first))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at), pa.array(tokens))], names=["tokens"])
+                kinds = types.of(words, endings)
+                other = kinds > len(types.hashes)
+                held = np.append(0, np.cumsum(other))[first]
+                columns = [
+                    *(part.column(c) for c in ("row", "doc_id", "held_out")),
+                    as_lists(first + np.arange(len(first)), with_ends(kinds, first, 0).astype(np.int32)),
+                    as_lists(held, words[other]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "tokens", "others"])
 
-    return train.select("text").mapInArrow(number, "tokens array<int>")
+    return rows.mapInArrow(number, "row bigint, doc_id bigint, held_out boolean, tokens array<int>, others array<bigint>")
 
 
-def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The tokens of some texts, one text after the other."""
-    held, n = [], 0
+def as_lists(at: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
+
+
+def sizes(column: pa.ListArray) -> np.ndarray:
+    return np.diff(column.offsets.to_numpy())
+
+
+def gathered(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[np.ndarray]]:
+    """The lists of some texts in columns `names`, one text after the other; the first column bounds how many."""
+    held, n = [[] for _ in names], 0
     for batch in batches:
-        held.append(batch.column("tokens").flatten().to_numpy())
-        n += len(held[-1])
+        for of, c in zip(held, names, strict=True):
+            of.append(batch.column(c).flatten().to_numpy())
+        n += len(held[0][-1])
         if n >= GATHERED:
-            yield np.concatenate(held)
-            held, n = [], 0
+            yield [np.concatenate(x) for x in held]
+            held, n = [[] for _ in names], 0
     if n:
-        yield np.concatenate(held)
+        yield [np.concatenate(x) for x in held]
 
 
 def bigrams(tokens: DataFrame, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +147,7 @@ def bigrams(tokens: DataFrame, of: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     size = int(of.max()) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seq in sequences(batches):
+        for (seq,) in gathered(batches, "tokens"):
             seq = of[seq].astype(np.int64)
             code, keys = pd.factorize(np.append(0, seq[:-1]) * size + seq)  # texts begin after an end
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(code))], names=["pair", "n"])
@@ -137,56 +158,154 @@ def bigrams(tokens: DataFrame, of: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return pair // size, pair % size, n
 
 
+def counted(of: np.ndarray, code: np.ndarray, codes: int) -> tuple[np.ndarray, pa.ListArray]:
+    """Each value of `of` once, and for it the list of code + codes * (how often it has that code)."""
+    keys, n = np.unique(of * codes + code, return_counts=True)
+    of = keys // codes
+    at = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    return of[at], as_lists(np.append(at, len(of)), keys % codes + codes * n)
+
+
+def summed(found: DataFrame, codes: int, least: int = 0) -> DataFrame:
+    """(key, home, counts of struct (code, n)) from the lists of `counted`, for keys with `least` tokens or more."""
+    # Packed as lists for the shuffle; all that follows is done where a key's rows are.
+    found = found.repartition("key").select("key", "home", F.explode("counts").alias("x"))
+    found = found.groupBy("key", (F.col("x") % codes).cast("int").alias("code")).agg(
+        F.max("home").alias("home"), F.sum(F.expr(f"x div {codes}")).alias("n")
+    )
+    tokens = F.when((F.col("code") < codes // 2) | (F.col("code") == codes - 1), F.col("n"))  # one code before each
+    found = found.groupBy("key").agg(
+        F.max("home").alias("home"), F.collect_list(F.struct("code", "n")).alias("counts"), F.sum(tokens).alias("tokens")
+    )
+    return (found.filter(F.col("tokens") >= least) if least else found).drop("tokens")
+
+
 def beside(tokens: DataFrame, cls: np.ndarray, part: int, parts: int, classes: int) -> DataFrame:
-    """(type, code, n), as lists, for one part of the types: code c counts class c before it, classes + 1 + c class c after it,
-    and 2 * (classes + 1) the type itself after it, which the others leave out."""
+    """(key, home, counts) for one part of the types, key and home: code c counts class c before it, classes + 1 + c class c
+    after it, and 2 * (classes + 1) the type itself after it, which the others leave out."""
     span = classes + 1
     codes = 2 * span + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seq in sequences(batches):
+        for (seq,) in gathered(batches, "tokens"):
             b = seq.astype(np.int64)
             a = np.append(0, b[:-1])
             same, asks = a == b, (b > 0) & (b % parts == part)
-            before = (b * codes + np.where(same, 2 * span, cls[a]))[asks]
-            asks = (a > 0) & (a % parts == part) & ~same
-            keys, n = np.unique(np.concatenate([before, (a * codes + span + cls[b])[asks]]), return_counts=True)
-            of = keys // codes
-            at = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(of)).astype(np.int32)), pa.array(keys % codes + codes * n))
-            yield pa.RecordBatch.from_arrays([pa.array(of[at].astype(np.int32)), lists], names=["type", "counts"])
+            before = np.where(same, 2 * span, cls[a])[asks]
+            follows = (a > 0) & (a % parts == part) & ~same
+            key, lists = counted(np.append(b[asks], a[follows]), np.append(before, (span + cls[b])[follows]), codes)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(key.astype(np.int32)), lists], names=["key", "home", "counts"])
 
-    # Packed as lists for the shuffle; all that follows is done where a type's rows are.
-    found = tokens.mapInArrow(count, "type int, counts array<bigint>").repartition("type")
-    found = found.select("type", F.explode("counts").alias("x"))
-    found = found.groupBy("type", (F.col("x") % codes).cast("int").alias("code")).agg(F.sum(F.expr(f"x div {codes}")).alias("n"))
-    return found.groupBy("type").agg(F.collect_list(F.struct("code", "n")).alias("counts"))
+    return summed(tokens.mapInArrow(count, COUNTS), codes)
+
+
+def beside_others(numbers: DataFrame, cls: np.ndarray, last: int, least: int, classes: int) -> DataFrame:
+    """What `beside` gives, for the words that are no type (types above `last`): key is the word's hash, home its ending's type."""
+    span = classes + 1
+    codes = 2 * span + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seq, words in gathered(batches, "tokens", "others"):
+            at = np.flatnonzero(seq > last)
+            if not len(at):
+                continue
+            code, keys = pd.factorize(words)
+            home = np.zeros(len(keys), np.int32)
+            home[code] = seq[at]
+            again = (np.diff(at) == 1) & (code[1:] == code[:-1])
+            same, leads = np.append(False, again), ~np.append(again, False)
+            before = np.where(same, 2 * span, cls[np.append(0, seq[:-1])[at]])
+            after = span + cls[seq[at[leads] + 1]]  # a text's last token is its end
+            key, lists = counted(np.append(code, code[leads]), np.append(before, after), codes)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[key]), pa.array(home[key]), lists], names=["key", "home", "counts"])
+
+    return summed(numbers.select("tokens", "others").mapInArrow(count, COUNTS), codes, least)
 
 
 def moves(counts: DataFrame, cls: np.ndarray, matrix: np.ndarray) -> DataFrame:
-    """(type, best) for the types of `beside` whose best class is another than now."""
+    """(key, best) for the keys of `beside` whose best class is another than that of their home."""
     span = len(matrix)
     codes = 2 * span + 1
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("counts")
-            at = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())))
+            at = np.append(0, np.cumsum(sizes(lists)))
             flat = lists.flatten()
             code, n = (flat.field(c).to_numpy().astype(np.int64) for c in ("code", "n"))
-            types = batch.column("type").to_numpy()
+            keys, homes = batch.column("key").to_numpy(), batch.column("home").to_numpy()
             for lo, hi in blocks(at, SPREAD):
                 row = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
                 part = slice(at[lo], at[hi])
                 order = np.argsort(row * codes + code[part], kind="stable")  # sums are the same whatever the order
-                own = cls[types[lo:hi]].astype(np.int64)
-                best, gain = best_classes(types[lo:hi], own, row[order], code[part][order], n[part][order].astype(float), matrix)
+                own = cls[homes[lo:hi]].astype(np.int64)
+                best, gain = best_classes(keys[lo:hi], own, row[order], code[part][order], n[part][order].astype(float), matrix)
                 goes = (best != own) & (gain > 1e-6)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(types[lo:hi][goes]), pa.array(best[goes].astype(np.int32))], names=["type", "best"]
+                    [pa.array(keys[lo:hi][goes]), pa.array(best[goes].astype(np.int32))], names=["key", "best"]
                 )
 
-    return counts.mapInArrow(move, "type int, best int")
+    return counts.mapInArrow(move, "key bigint, best int")
+
+
+def occurrences(numbers: DataFrame, cls: np.ndarray, last: int, span: int) -> DataFrame:
+    """(row, held_out, word, around) for each word that is no type; `around` packs its place in the text, the class of its
+    ending, and the classes before and after it, each of `span` values."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = sizes(batch.column("tokens"))
+            seq = batch.column("tokens").flatten().to_numpy()
+            at = np.flatnonzero(seq > last)
+            of = np.repeat(np.arange(len(n)), n)[at]
+            place = at - (np.cumsum(n) - n)[of]
+            c = cls[seq].astype(np.int64)
+            around = ((place * span + c[at]) * span + np.append(0, c[:-1])[at]) * span + c[at + 1]
+            rows, held = (batch.column(x).to_numpy(zero_copy_only=False)[of] for x in ("row", "held_out"))
+            words = batch.column("others").flatten()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows), pa.array(held.astype(bool)), words, pa.array(around)], names=["row", "held_out", "word", "around"]
+            )
+
+    return numbers.mapInArrow(find, "row bigint, held_out boolean, word bigint, around bigint")
+
+
+def shifts(moved: pa.ListArray, span: int) -> tuple[np.ndarray, ...]:
+    """What the moved words of some texts change: (text, class pair before, class pair after) for bigrams, and
+    (text, class before, class after) for the words. `moved` holds span * around + the new class."""
+    n = sizes(moved)
+    of, x = np.repeat(np.arange(len(n)), n), moved.flatten().to_numpy()
+    order = np.lexsort((x, of))
+    of, x = of[order], x[order]
+    best, after, before, home = x % span, x // span % span, x // span**2 % span, x // span**3 % span
+    place = x // span**4
+    joined = (of[1:] == of[:-1]) & (place[1:] == place[:-1] + 1)  # both words of the bigram are moved
+    leads = np.ones(len(of), bool)
+    leads[:-1] = ~joined
+    now = before.copy()
+    now[1:][joined] = best[:-1][joined]
+    old = np.append(before * span + home, (home * span + after)[leads])
+    new = np.append(now * span + best, (best * span + after)[leads])
+    return np.append(of, of[leads]), old, new, of, home, best
+
+
+def shifted_matrix(met: DataFrame, matrix: np.ndarray) -> np.ndarray:
+    """The bigrams of classes once the words have moved."""
+    span = len(matrix)
+
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(span * span, np.int64)
+        for batch in batches:
+            _, old, new, *_ = shifts(batch.column("moved"), span)
+            total += np.bincount(new, minlength=span * span) - np.bincount(old, minlength=span * span)
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], names=["pair", "n"])
+
+    found = met.filter("NOT held_out").select("moved").mapInArrow(change, "pair bigint, n bigint")
+    out = matrix.copy()
+    for r in found.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most span * span rows
+        out[r["pair"] // span, r["pair"] % span] += r["n"]
+    return out
 
 
 def likelihood(matrix: np.ndarray) -> float:
@@ -215,7 +334,7 @@ def clustered(
     for k in range(rounds if n_words else 0):
         found = moves(beside(tokens, cls, k % parts, parts, classes), cls, matrix).toPandas()  # at most one row a type
         after = cls.copy()
-        after[found["type"].to_numpy(np.int64)] = found["best"].to_numpy(np.int16)
+        after[found["key"].to_numpy(np.int64)] = found["best"].to_numpy(np.int16)
         made = class_matrix(tokens, after, classes)
         rise = likelihood(made) - held
         if rise > 0:
@@ -344,16 +463,65 @@ def class_bigrams(a: np.ndarray, b: np.ndarray, n: np.ndarray, cls: np.ndarray,
     return out
 
 
+@dataclass(frozen=True)
+class Model:
+    """`others` (word, ending, n, best) are the words that are no type; `best` is null where the ending's class stays.
+    `met` (row, held_out, rare, n_rare, moved) is what the texts hold of them."""
+
+    types: Types
+    cls: np.ndarray
+    matrix: np.ndarray
+    others: DataFrame
+    met: DataFrame
+    rise: float
+    tokens: int
+    words: int
+
+
+def fit(
+    rows: DataFrame, classes: int, lexicon: int, common: int, least: int, rounds: int, most_parts: int, still: float
+) -> tuple[Model, DataFrame]:
+    """The model of the rows (row, doc_id, held_out, text) that are not held out, and all rows as `numbered`."""
+    words = stored(word_counts(rows.filter(~F.col("held_out"))), "words")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    n_all, n_words = total["n"], total["v"]
+    bound = max(least, -(-n_all // common))
+    words = words.filter(F.col("word") != int(END_WORD))
+    frequent = words.filter(F.col("n") >= bound).toPandas().sort_values("word")  # at most `common` rows
+    types = Types(frequent["word"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64), frequent["ending"].to_numpy(np.int64), n_all)
+    last, span = len(types.hashes), classes + 1
+    numbers = stored(numbered(rows, types), "numbered")
+    train = numbers.filter(~F.col("held_out"))
+    cls, matrix, rise = clustered(train.select("tokens"), types, classes, lexicon, rounds, most_parts, still)
+
+    moved = stored(moves(beside_others(train, cls, last, least, classes), cls, matrix), "moved")
+    others = words.filter(F.col("n") < bound).join(moved.withColumnRenamed("key", "word"), "word", "left")
+    asked = occurrences(numbers, cls, last, span).join(others.select("word", "n", "best"), "word", "left")
+    met = asked.groupBy("row", "held_out").agg(
+        F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare"), F.count("n").alias("n_rare"),
+        F.collect_list(F.col("around") * span + F.col("best")).alias("moved"),
+    )
+    met = stored(met, "met")
+    after = shifted_matrix(met, matrix)
+    if likelihood(after) > likelihood(matrix):
+        matrix = after
+    else:  # taken back
+        others = others.withColumn("best", F.lit(None).cast("int"))
+        met = met.withColumn("moved", F.array().cast("array<bigint>"))
+    return Model(types, cls, matrix, others, met, rise, n_all, n_words), numbers
+
+
 def score(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes: int = CLASSES, lexicon: int = 4096,
-    least: int = 10, rounds: int = 12, most_parts: int = 16, still: float = 0.005,
+    common: int = 1 << 20, least: int = 10, rounds: int = 12, most_parts: int = 16, still: float = 0.005,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity, last_rise.
 
     What the clustering takes its time for is stated by parameters: words of at least 1/`lexicon` of the training tokens
-    are clustered one after another before the others (more of them: slower, and the driver holds their bigrams); words
-    of at least `least` training occurrences have a class of their own, rarer ones that of their ending (fewer: a longer
-    list of types); the exchange ends with a round that raises the likelihood by less than `still` a token, after
+    are clustered one after another before the others (more of them: slower, and the driver holds their bigrams); words of
+    at least 1/`common` take part in all rounds of the exchange (more of them: a longer list of types in driver and tasks, 24
+    bytes each), the others move once, after it; words of at least `least` training occurrences have a class of their own,
+    rarer ones that of their ending; the exchange ends with a round that raises the likelihood by less than `still` a token, after
     `rounds` rounds, or once the types are dealt into more than `most_parts` parts. `last_rise` is what the last round
     raised the likelihood by a token (natural logarithm; not above 0 if it was taken back): a run that `rounds` has cut
     short shows a value above `still`.
@@ -362,87 +530,67 @@ def score(
     its id as text leaves 1 modulo 5; a null id counts as 0 and is trained on. `base_score` is the add-a-half unigram
     log10 probability and `score` that of the class model. Null and empty texts are an end alone. Repeated rows are
     counted and scored each. Other columns are ignored; an empty table gives no rows, and if nothing is left to train
-    on, all counts are 0.
+    on, all counts are 0. A very long text is counted and scored whole, in one task.
     """
     fold = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % FOLDS
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"),
         (fold == HELD_OUT).alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
-    train = rows.filter(~F.col("held_out"))
-    words = stored(word_counts(train), "words")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_all, n_words = total["n"], total["v"]
-
-    frequent = words.filter((F.col("n") >= least) & (F.col("word") != int(END_WORD))).toPandas().sort_values("word")
-    types = Types(frequent["word"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64), frequent["ending"].to_numpy(np.int64), n_all)
-    numbers = stored(numbered(train, types), "numbered")
-    cls, matrix, rise = clustered(numbers, types, classes, lexicon, rounds, most_parts, still)
-    share = (matrix.sum(axis=0) + 1) / (matrix.sum() + classes + 1)
+    model, numbers = fit(rows, classes, lexicon, common, least, rounds, most_parts, still)
+    types, cls, matrix, last, span = model.types, model.cls, model.matrix, len(model.types.hashes), classes + 1
+    share = (matrix.sum(axis=0) + 1) / (matrix.sum() + span)
     step = np.log10((matrix + PULL * share) / (matrix.sum(axis=1, keepdims=True) + PULL))
 
-    # Distinct words per class: of the endings by a count of the rarer words, of the others from the list itself.
-    rare = words.filter((F.col("n") < least) & (F.col("word") != int(END_WORD)))
-    room = np.zeros((classes + 1, 2))
-    np.add.at(room, cls[1 : 1 + len(types.hashes)], np.stack([types.counts, np.ones(len(types.hashes))], axis=1))
-    for r in rare.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # at most ENDINGS rows
-        room[cls[1 + len(types.hashes) + r["ending"]]] += (r["n"], r["v"])
+    # Tokens and distinct words per class.
+    room = np.zeros((span, 2))
+    np.add.at(room, cls[1 : 1 + last], np.stack([types.counts, np.ones(last)], axis=1))
+    grouped = model.others.groupBy("ending", "best").agg(F.sum("n").alias("n"), F.count("*").alias("v"))
+    for r in grouped.collect():  # at most ENDINGS * (span + 1) rows
+        room[cls[1 + last + r["ending"]] if r["best"] is None else r["best"]] += (r["n"], r["v"])
     size = np.log10(room[:, 0] + 0.5 * (room[:, 1] + 1))
 
-    ends = train.count()
+    ends = numbers.filter(~F.col("held_out")).count()
     known = np.log10(types.counts + 0.5)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, word, ending, first in hashed(batch):
-                many, n = part.num_rows, np.diff(first)
-                of_row, ended = np.repeat(np.arange(many), n), np.repeat(np.arange(many), n + 1)
-                t = types.of(word, ending)
-                path = with_ends(cls[t], first, 0)
-                moves = step[np.append(0, path[:-1]), path]
-                common = (t > 0) & (t <= len(types.hashes))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(c) for c in ("row", "doc_id", "held_out")), pa.array(n + 1),
-                        pa.array(np.bincount(of_row[common], minlength=many) + (ends > 0)),
-                        pa.array(np.bincount(of_row[common], known[t[common] - 1], many).astype(float)),
-                        pa.array((np.bincount(ended, moves, many) - np.bincount(of_row, size[cls[t]], many)).astype(float)),
-                    ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_common", "common", "classes"],
-                )
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, many = sizes(batch.column("tokens")), batch.num_rows
+            t, of = batch.column("tokens").flatten().to_numpy(), np.repeat(np.arange(many), n)
+            path = cls[t]
+            steps = step[np.append(0, path[:-1]), path] - np.where(t > 0, size[path], 0)
+            common = (t > 0) & (t <= last)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("row", "doc_id", "held_out")), pa.array(n.astype(np.int64)),
+                    pa.array(np.bincount(of[common], minlength=many) + (ends > 0)),
+                    pa.array(np.bincount(of[common], known[t[common] - 1], many).astype(float)),
+                    pa.array(np.bincount(of, steps, many).astype(float)),
+                ],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_common", "common", "classes"],
+            )
+
+    def correct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = step.ravel()
         for batch in batches:
-            for part, word, ending, first in hashed(batch):
-                other = types.of(word, ending) > len(types.hashes)
-                w, r = word[other], np.repeat(np.arange(part.num_rows), np.diff(first))[other]
-                code, _ = pd.factorize(w.view(np.uint64) + mixed(r.astype(np.uint64)))
-                if len(code):
-                    at = np.zeros(code.max() + 1, np.int64)
-                    at[code] = np.arange(len(code))
-                    numbers = part.column("row").to_numpy(zero_copy_only=False)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(numbers[r[at]]), pa.array(w[at]), pa.array(np.bincount(code).astype(np.int32))],
-                        names=["row", "word", "times"],
-                    )
-
-    judged = rows.mapInArrow(
+            of, old, new, word, home, best = shifts(batch.column("moved"), span)
+            gain = np.bincount(of, flat[new] - flat[old], batch.num_rows)
+            gain = gain - np.bincount(word, size[best] - size[home], batch.num_rows)
+            columns = [*(batch.column(c) for c in ("row", "rare", "n_rare")), pa.array(gain.astype(float))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "rare", "n_rare", "shift"])
+
+    judged = numbers.drop("others").mapInArrow(
         judge, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_common bigint, common double, classes double"
     )
-    # The types hold all words that the training texts repeat, so no word here gathers many of their rows.
-    asked = rows.select("row", "text").mapInArrow(ask, "row bigint, word bigint, times int")
-    met = asked.join(rare.select("word", "n"), "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_rare"),
-    )
+    met = model.met.mapInArrow(correct, "row bigint, rare double, n_rare bigint, shift double")
     log_end = float(np.log10(ends + 0.5))
-    log_all = float(np.log10(n_all + 0.5 * (n_words + 1)))
+    log_all = float(np.log10(model.tokens + 0.5 * (model.words + 1)))
     counts = F.coalesce("rare", F.lit(0.0)) + F.col("common") + log_end
     out = judged.join(met, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-        F.lit(n_all).cast("bigint").alias("train_tokens"),
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         (counts - F.col("n_tokens") * log_all).alias("base_score"),
-        (counts - log_end + F.col("classes")).alias("score"), F.lit(rise).alias("last_rise"),
+        (counts - log_end + F.col("classes") + F.coalesce("shift", F.lit(0.0))).alias("score"), F.lit(model.rise).alias("last_rise"),
     )
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return out.withColumn("perplexity", perplexity)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codelake.llm import brown, components, neardup
@@ -176,7 +177,7 @@ def corpus():
 
 def test_scores(spark):
     rows = corpus()
-    found = brown.score(spark.createDataFrame(rows, DOCS), classes=6, lexicon=60).collect()
+    found = brown.score(spark.createDataFrame(rows, DOCS), classes=6, lexicon=60, common=50).collect()
     assert len(found) == len(rows)
     tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(brute.LOWER)), "\n"]
     held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 5 == 1
@@ -195,6 +196,43 @@ def test_scores(spark):
     assert brown.score(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("common", [1 << 20, 40])
+def test_scores_are_those_of_plain_python_with_the_same_classes(spark, common):
+    """`common` of 40 leaves most words to the table: they move once, and scores are corrected for it."""
+    r = random.Random(9)
+    rows = corpus() + [(2000 + k, " ".join(r.choice("pqr") + str(r.randrange(9)) + r.choice(["aa", "bb"]) for _ in range(60)), 1, "x") for k in range(80)]
+    docs = spark.createDataFrame(rows, DOCS)
+    params = dict(classes=6, lexicon=60, common=common, least=3, rounds=3, most_parts=4, still=0.005)
+    slim = docs.selectExpr("monotonically_increasing_id() AS row", "doc_id", "coalesce(crc32(cast(doc_id AS string)), 0) % 5 = 1 AS held_out", "coalesce(text, '') AS text")
+    model, _ = brown.fit(slim, **params)
+    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(brute.LOWER)), "\n"]
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 5 == 1
+    train = [tokens(t) for k, t, *_ in rows if not held(k)]
+    c = Counter(w for ws in train for w in ws)
+    every = sorted({w for _, t, *_ in rows for w in tokens(t)} - {"\n"})
+    _, hashes, endings, _ = next(brown.hashed(pa.RecordBatch.from_pydict({"text": [" ".join(every)]})))
+    own = {x.word: x.best for x in model.others.collect() if x.best is not None}
+    at = model.types.of(hashes, endings)
+    cls = {w: own.get(int(h), int(model.cls[t])) for w, h, t in zip(every, hashes, at, strict=True)} | {"\n": 0}
+    assert bool(own) == (common == 40)
+    matrix = np.zeros((7, 7))
+    for ws in train:
+        for a, b in zip(["\n", *ws], ws):  # noqa: B905
+            matrix[cls[a], cls[b]] += 1
+    assert (matrix == model.matrix).all()
+    share = (matrix.sum(axis=0) + 1) / (matrix.sum() + 7)
+    step = (matrix + share) / (matrix.sum(axis=1, keepdims=True) + 1)
+    in_class = [[n for w, n in c.items() if cls[w] == k] for k in range(7)]
+    score = lambda ws: sum(
+        math.log10(step[cls[a], cls[b]]) + (b != "\n" and math.log10((c[b] + 0.5) / (sum(in_class[cls[b]]) + 0.5 * (len(in_class[cls[b]]) + 1))))
+        for a, b in zip(["\n", *ws], ws)  # noqa: B905
+    )
+    want = sorted((k or 0, len(tokens(t)), score(tokens(t))) for k, t, *_ in rows)
+    found = sorted((x.doc_id or 0, x.n_tokens, x.score) for x in brown.score(docs, **params).collect())
+    assert [x[:2] for x in found] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in found], [x[2] for x in want], rtol=1e-9)
+
+
 def test_nothing_to_train_on(spark):
     only = [k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1][:3]
     found = brown.score(spark.createDataFrame([(k, "some words", 1, "x") for k in only], DOCS), classes=3).collect()

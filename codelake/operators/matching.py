@@ -17,6 +17,8 @@ from codelake.schemas import CHUNK_KEY
 
 CHUNK = [*CHUNK_KEY, "language", "dl"]  # the last two follow from the key
 MATCH = ["query_id", "phrase_id", *CHUNK, "n_words"]
+SALTS = 32  # tasks that share the postings of a term, where there are too many phrase rows to send to all tasks
+
 
 def phrase_rows(phrases: DataFrame, stem: bool = True) -> DataFrame:
     """Phrase texts (query_id, phrase_id, text[, prefix, initial]) to one row per word."""
@@ -60,9 +62,24 @@ def expand_prefixes(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return rows.filter("NOT prefix").unionByName(expanded.select(*rows.columns).distinct())
 
 
-def match_words(postings: DataFrame, rows: DataFrame) -> DataFrame:
+def with_terms(postings: DataFrame, rows: DataFrame, salted: bool, how: str = "inner") -> DataFrame:
+    """Postings joined by term with phrase rows. Salted, the postings of a term found everywhere are dealt over several tasks
+    by their chunk, and each phrase row goes to all of these."""
+    if not salted:
+        return postings.join(rows, "term", how)
+    salt = F.pmod(F.xxhash64(*CHUNK_KEY), F.lit(SALTS)).cast("int")
+    copies = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return postings.withColumn("salt", salt).join(copies, ["term", "salt"], how).drop("salt")
+
+
+def too_many(rows: DataFrame, held: int = HELD) -> bool:
+    """Whether phrase rows are more than what lives in a plan."""
+    return rows.select("term").limit(held + 1).count() > held
+
+
+def match_words(postings: DataFrame, rows: DataFrame, salted: bool = False) -> DataFrame:
     """`match_phrases` for single words without a prefix: every posting is a match as it stands."""
-    hits = postings.join(rows, "term")
+    hits = with_terms(postings, rows, salted)
     starts = F.when(F.col("initial"), F.array(F.lit(0))).otherwise(F.col("positions"))
     first = F.get("positions", F.lit(0)) == 0
     return hits.filter(~F.col("initial") | first).select(
@@ -71,9 +88,9 @@ def match_words(postings: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def match_phrases(
-    postings: DataFrame, rows: DataFrame, vocabulary: DataFrame | None = None
+    postings: DataFrame, rows: DataFrame, vocabulary: DataFrame | None = None, salted: bool = False
 ) -> DataFrame:
-    """Where each phrase occurs. Give a vocabulary if any phrase ends in a prefix.
+    """Where each phrase occurs. Give a vocabulary if any phrase ends in a prefix, and ask for salts if there are `too_many` rows.
 
     Positions are shifted back by the word's place in the phrase; a phrase begins wherever all
     its words agree. The groups are one phrase in one chunk. Single words need no grouping.
@@ -82,7 +99,7 @@ def match_phrases(
     words, others = rows.filter(single), rows.filter(~single)
     if vocabulary is not None:
         others = expand_prefixes(others, vocabulary)
-    hits = postings.join(others, "term").select(
+    hits = with_terms(postings, others, salted).select(
         *MATCH,
         "initial",
         F.transform("positions", lambda p: p - F.col("offset")).alias("begins"),
@@ -97,7 +114,7 @@ def match_phrases(
         .filter(F.size("starts") > 0)
         .select(*MATCH, F.size("starts").alias("tf"), "starts")
     )
-    return match_words(postings, words).unionByName(grouped)
+    return match_words(postings, words, salted).unionByName(grouped)
 
 
 def _agreed_by_all(begins: str, n_words: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codelake.functions.scoring import bm25_part, inverse_document_frequency
 from codelake.functions.text import like_substring
-from codelake.operators.matching import expand_prefixes, match_groups, match_phrases, phrase_rows
+from codelake.operators.matching import expand_prefixes, match_groups, match_phrases, phrase_rows, too_many, with_terms
 from codelake.operators.queries import side_limit, text_phrases
 from codelake.operators.ranking import holding_of, score_parts, top_rows
 from codelake.operators.small import only, settled
@@ -53,20 +53,21 @@ def request_words(index, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def score_words(index, phrases: DataFrame, words: DataFrame) -> DataFrame:
     """(query_id, chunk key, language, score) of every chunk that answers the phrases."""
     known = known_holding(index, words)
+    salted = too_many(words)
     near = not phrases.filter("near IS NOT NULL").isEmpty()
     if known is None:
-        matches = match_phrases(index.postings, words)
+        matches = match_phrases(index.postings, words, salted=salted)
         if near:  # A phrase's weight follows from all chunks that hold it, near the others or not.
             known, matches = holding_of(matches), match_groups(matches, phrases)
         return score_chunks(score_parts(matches, index.stats, known), phrases)
     # A stored index is read once for all words; phrases are put together from what was found.
-    found = only(index.postings, "term", words).join(words.select("term").distinct(), "term", "left_semi")
+    found = with_terms(only(index.postings, "term", words), words.select("term").distinct(), salted, "left_semi")
     found = settled(found.drop("level", "segment", "bucket"), "postings", held=0)
-    matches = match_phrases(found, words)
+    matches = match_phrases(found, words, salted=salted)
     # Only phrases that the counts of terms say nothing about are matched twice: once for their number.
     unknown = settled(words.join(known, ["query_id", "phrase_id"], "left_anti"), "unknown")
     if not unknown.isEmpty():
-        again = match_phrases(found, unknown)
+        again = match_phrases(found, unknown, salted=salted)
         known = known.unionByName(holding_of(again))
     if near:
         matches = match_groups(matches, phrases)

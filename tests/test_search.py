@@ -236,3 +236,33 @@ def test_parsing(spark):
         ("hello world", "text"), ("auth", "text"), ("b", "hybrid"), ("y", "text"), ("a c", "hybrid"),
     ]
     assert (rows[1].lang_filter, rows[1].path_filter, rows[2].def_filter) == ("python", "auth", "ab")
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_salted_joins_give_the_same_chunks(spark, files_of, texts, tmp_path, monkeypatch, stored):
+    """As with more phrase rows than a plan holds: the postings of a term are dealt out by chunk."""
+    from codelake.operators import text_search
+    from codelake.plans.index import build_index, open_index
+
+    if stored:
+        for path, text in texts.items():
+            (tmp_path / "src").mkdir(exist_ok=True)
+            (tmp_path / "src" / path).write_text(text)
+        build_index(spark, str(tmp_path / "src"), str(tmp_path / "index"), repo="r")
+        index = open_index(spark, str(tmp_path / "index"))
+    else:
+        index = index_from_files(files_of(texts))
+    asked = ["run the", '"run the"', "the OR flies", "han*", "run NOT the", "^the", "NEAR(run the, 2)", "the", "the"]
+    requests = spark.createDataFrame([(i, q, 50, 0) for i, q in enumerate(asked)], "query_id int, query string, topk int, context int")
+    parsed = parse_queries(requests)
+    found = []
+    for salted in (False, True):
+        monkeypatch.setattr(text_search, "too_many", lambda rows, salted=salted: salted)
+        rows = score_text(index, parsed).select("query_id", "path", "chunk_id", "score").collect()
+        found.append(sorted(map(tuple, rows)))
+    assert found[0] == found[1] and {r[0] for r in found[0]} == set(range(len(asked)))
+
+
+def test_too_many_rows(spark):
+    rows = spark.range(5).selectExpr("cast(id AS string) AS term")
+    assert M.too_many(rows, 4) and not M.too_many(rows, 5)

@@ -266,3 +266,21 @@ def test_salted_joins_give_the_same_chunks(spark, files_of, texts, tmp_path, mon
 def test_too_many_rows(spark):
     rows = spark.range(5).selectExpr("cast(id AS string) AS term")
     assert M.too_many(rows, 4) and not M.too_many(rows, 5)
+
+
+def test_names_meet_symbols_without_sending_symbols_to_the_driver(spark):
+    """Symbols made from a table that is small on disk are not few: only what was found, once counted, may be broadcast."""
+    from codelake.operators.small import HELD
+    from codelake.operators.symbol_search import match_names, name_patterns
+
+    text = F.lit(None).cast("string")
+    symbols = spark.range(2 * HELD).select(
+        F.lit("r").alias("repo"), F.concat(F.lit("p"), "id").alias("path"), F.lit("python").alias("language"),
+        F.concat(F.when(F.col("id") < HELD + 1, "many_").otherwise("few_"), F.col("id") % (2 * HELD - 3)).alias("name"),
+        F.lit("class").alias("kind"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), text.alias("signature"),
+    )
+    for pattern, n, joins in (("many_", HELD + 1, 0), ("few_", HELD - 1, 1), ("few_9999", 0, 1)):
+        found = match_names(symbols, name_patterns(parse_queries(C.requests(spark, (f"symbol:{pattern}",)))))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == joins and "BuildLeft" not in plan
+        assert found.count() == n

@@ -173,3 +173,15 @@ def test_streamed_versions_in_all_orders(spark, tmp_path, last):
     assert index.files.count() == (0 if last is VERSIONS else len(orders))
     texts = {r.content for r in index.chunks.select("content").collect()}
     assert texts == (set() if last is VERSIONS else {"four"})
+
+
+def test_arrivals_are_files_by_bytes(spark, tmp_path, monkeypatch):
+    """How many files, and so triggers, a stream brings follows from its contents, not from how many tasks wrote it."""
+    from codelake.plans.registered import delta
+
+    rows = spark.range(0, 200, 1, 32).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 100).cast("binary").alias("content"))
+    for name, at_most, files in (("few", delta.ARRIVING, 4), ("more", 2_000, 10)):
+        monkeypatch.setattr(delta, "ARRIVING", at_most)
+        delta.arrive(rows, str(tmp_path / name))
+        assert len(list((tmp_path / name).glob("*.parquet"))) == files
+        assert spark.read.parquet(str(tmp_path / name)).distinct().count() == 200

@@ -4,8 +4,8 @@ An example holds every turn before the reply as context and the reply as the onl
 last reply train nothing; they follow in one example without a target, so that no turn is lost.
 
 All examples of a conversation are prefixes of one text. `lay_out` gives that text as a table of turns, each with where
-it begins; the turn that ends an example carries the example's number and loss mask. No conversation is put together in
-one row. `expand` writes the prefixes out.
+it begins; the turn that ends an example carries the example's number and loss mask. `write_out` makes the examples of it,
+each with its whole context, and `digest` reads these back. No conversation is put together in one row.
 
 Template of a turn: START role SEP text END. Control strings begin with `<|`; inside roles and texts a backslash is
 doubled and `<|` becomes `<\\|`, so a control string there can never be read as one and unescaping gives the text back.
@@ -89,7 +89,8 @@ def lay_out(conversations: DataFrame, cell: int = CELL) -> DataFrame:
     ends = F.col("trained") | (F.col("last") & ~F.coalesce("followed", F.lit(False)))
     length = F.when(F.col("trained"), F.col("reply")).otherwise(0)
     return turns.select(
-        "conv_id", "conversation", nth.alias("nth"), start.alias("start"), "formatted", F.when(ends, example).alias("example"),
+        "conv_id", "conversation", nth.alias("nth"), start.alias("start"), "formatted", example.alias("first"),
+        F.when(ends, example).alias("example"),
         F.when(ends, start + F.col("chars") - len(END) - length).alias("loss_start"), F.when(ends, length).alias("loss_length"),
     )
 
@@ -98,19 +99,33 @@ def place() -> Column:
     return F.concat("conversation", F.lit(" "), F.col("cell").cast("string")).alias("place")
 
 
+def write_out(turns: DataFrame) -> DataFrame:
+    """The examples of `lay_out`'s turns, written out in full and read back: rows (conv_id, conversation, example, nth, start,
+    formatted, loss_start, loss_length, last), the turns of an example side by side in a file.
+
+    Each example has all turns up to its reply; its text is their `formatted` in order, and the row that ends it says where
+    the mask lies in that text. `last` marks a conversation's last example, which holds all its turns. What this writes grows
+    with the square of a conversation's length. An example is never one row, and those of a conversation are dealt over tasks.
+    """
+    final = turns.filter("example IS NOT NULL").groupBy("conversation").agg(F.max("example").alias("final"))
+    held = joined(turns, stored(final, "final"), "conversation").withColumn("of", F.explode(F.sequence("first", "final")))
+    mask = [F.when(F.col("example") == F.col("of"), F.col(c)).alias(c) for c in ("loss_start", "loss_length")]
+    last = (F.col("of") == F.col("final")).alias("last")
+    rows = held.select("conv_id", "conversation", F.col("of").alias("example"), "nth", "start", "formatted", *mask, last)
+    dealt = rows.repartition("conversation", "example").sortWithinPartitions("conversation", "example", "nth")
+    return stored(dealt, "examples")
+
+
 def expand(turns: DataFrame) -> DataFrame:
-    """The examples (conv_id, conversation, example, formatted, loss_start, loss_length) of `lay_out`'s turns, as whole texts.
+    """The examples (conv_id, conversation, example, formatted, loss_start, loss_length) of `lay_out`'s turns, a whole text in a row.
 
-    What this writes grows with the square of a conversation's length, and an example is one row; where that is too
-    much, train from the table of turns.
+    Where a text is too much for a row, train from the rows of `write_out`.
     """
-    ends = turns.filter("example IS NOT NULL").drop("start", "formatted").withColumnRenamed("nth", "upto")
-    parts = turns.select("conversation", "nth", "formatted")
-    prefixes = ends.join(parts, "conversation").filter("nth <= upto")
     held = F.array_sort(F.collect_list(F.struct("nth", "formatted")))
-    return prefixes.groupBy("conv_id", "conversation", "example", "loss_start", "loss_length").agg(
-        F.array_join(F.transform(held, lambda t: t["formatted"]), "").alias("formatted")
-    )
+    return write_out(turns).groupBy("conv_id", "conversation", "example").agg(
+        F.max("loss_start").alias("loss_start"), F.max("loss_length").alias("loss_length"),
+        F.array_join(F.transform(held, lambda t: t["formatted"]), "").alias("formatted"),
+    )
 
 
 def read_turns(formatted: Column) -> Column:
@@ -126,10 +141,12 @@ def read_loss(formatted: Column, start: Column, length: Column) -> Column:
 
 
 def digest(turns: DataFrame) -> DataFrame:
-    """One row per conversation, read back from `lay_out`'s turns alone.
+    """One row per conversation of `lay_out`'s turns, read back from its written examples alone.
 
+    What was said is read from the last example, a reply under its mask from its own example, and the length from all of them.
     The digests of a conversation are carried from row to row of its turns; a task holds one batch of them.
     """
+    written = write_out(turns)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, conv_id, said, learnt, sums = None, None, hashlib.sha256(), hashlib.sha256(), [0, 0, 0]
@@ -149,23 +166,27 @@ def digest(turns: DataFrame) -> DataFrame:
                         done.append(row())
                     now, conv_id, sums = r["conversation"], r["conv_id"], [0, 0, 0]
                     said, learnt = hashlib.sha256(), hashlib.sha256()
-                said.update(r["said"].encode())
-                sums[0] += 1
-                if r["chars"] is not None:
+                if r["said"] is not None:
+                    said.update(r["said"].encode())
+                    sums[0] += 1
+                if r["loss"] is not None:
                     learnt.update(r["loss"].encode())
                     sums[1] += len(r["loss"])
-                    sums[2] += r["chars"]
+                sums[2] += r["chars"] or 0
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema)
         if now is not None:
             yield pa.RecordBatch.from_pylist([row()], schema)
 
-    ordered = turns.repartition("conversation").sortWithinPartitions("conversation", "nth")
     turn = read_turns(F.col("formatted"))[0]
-    read = ordered.select(
-        "conv_id", "conversation",
-        F.concat(turn["role"], F.lit("\n"), turn["text"], F.lit("\n")).alias("said"),
-        read_loss(F.col("formatted"), (F.col("loss_start") - F.col("start")).cast("int"), F.col("loss_length")).alias("loss"),
-        F.when(F.col("example").isNotNull(), F.col("start") + F.char_length("formatted")).alias("chars"),
+    loss = read_loss(F.col("formatted"), (F.col("loss_start") - F.col("start")).cast("int"), F.col("loss_length"))
+    read = written.filter("last OR loss_start IS NOT NULL").select(
+        "conv_id", "conversation", "nth",
+        F.when(F.col("last"), F.concat(turn["role"], F.lit("\n"), turn["text"], F.lit("\n"))).alias("said"),
+        loss.alias("loss"), F.lit(None).cast("bigint").alias("chars"),
     )
-    return read.mapInArrow(fold, DIGESTS)
+    lengths = written.groupBy("conv_id", "conversation").agg(F.sum(F.char_length("formatted")).cast("bigint").alias("chars"))
+    nothing = F.lit(None).cast("string")
+    sizes = lengths.select("conv_id", "conversation", F.lit(-1).alias("nth"), nothing.alias("said"), nothing.alias("loss"), "chars")
+    rows = read.unionByName(sizes).repartition("conversation").sortWithinPartitions("conversation", "nth")
+    return rows.select("conv_id", "conversation", "said", "loss", "chars").mapInArrow(fold, DIGESTS)

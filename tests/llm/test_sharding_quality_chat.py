@@ -121,6 +121,28 @@ def test_chat_cells_shift_what_they_hold(spark):
         assert sorted(map(tuple, found), key=lambda r: r[:2]) == want
 
 
+def test_chat_examples_are_written_out(spark, monkeypatch):
+    """Each example holds its whole context, and the digest is read from the written examples, not from the turns."""
+    said = ["a", "<|end|>", "b", "", "c\\", "reply", "<"]
+    rows = [(7, i, "assistant" if i % 2 else "user", text, "e") for i, text in enumerate(said)] + [(8, 0, "user", "x", "e")]
+    laid = chat.lay_out(spark.createDataFrame(rows, TURNS))
+    whole = {}
+    for r in sorted(chat.write_out(laid).collect(), key=lambda r: (r.conv_id, r.example, r.nth)):
+        whole.setdefault((r.conv_id, r.example), []).append(r)
+    assert {k: len(v) for k, v in whole.items()} == {(7, 0): 2, (7, 1): 4, (7, 2): 6, (7, 3): 7, (8, 0): 1}
+    texts = {(r.conv_id, r.example): r for r in chat.expand(laid).collect()}
+    for key, parts in whole.items():
+        assert [p.nth for p in parts] == list(range(len(parts)))
+        assert texts[key].formatted == "".join(p.formatted for p in parts)
+        assert [p.loss_start for p in parts] == [None] * (len(parts) - 1) + [texts[key].loss_start]
+        assert {p.last for p in parts} == {key in ((7, 3), (8, 0))}
+    sizes = {c: sum(len(r.formatted) for (conv, _), r in texts.items() if conv == c) for c in (7, 8)}
+    assert {r.conv_id: r.formatted_chars for r in chat.digest(laid).collect()} == sizes
+    written = chat.write_out(laid)
+    monkeypatch.setattr(chat, "write_out", lambda turns: written.filter("conv_id = 8"))
+    assert [r.conv_id for r in chat.digest(laid).collect()] == [8]
+
+
 def test_chat_edges(spark):
     rows = [(None, 0, "assistant", "a", "e"), (None, 0, "user", "b", "e"), (2, 1, None, None, "e"), (3, None, "assistant", "y", "e"),
             (3, 1, "assistant", "x", "e"), (3, 1, "assistant", "x", "e"), (3, 1, "assistant", "w", "e")]

@@ -141,3 +141,40 @@ def test_percentiles_of_outliers(spark):
         expected, got = ordered[int(len(ordered) * q)], found["g"][name]
         assert got == expected or (got != got and expected != expected)
     assert found["h"].p50 == 1.0 and (found["e"].n, found["e"].p50) == (0, 0.0)
+
+
+def test_shortcuts_for_plain_text_change_nothing(spark):
+    """ASCII texts take a shorter way through tokens, line ends and case; the ways must agree on every text."""
+    from codelake.functions.lines import _RARE, _has_rare_ends, lf_lines
+    from codelake.functions.text import ascii_lower, decode_text
+    from codelake.functions.tokens import fold, tokens
+
+    texts = [chr(c) for c in range(0x250)] + [
+        None, "", "A_b-C9\n", "a\r\nb\rc", "\r", "\n", "\n\n", "x\n\r", "Ünï Côde\n", "Kelvin K", "İI", "日本 x1", "z",
+        "é", "a b", "\x1cQ\x1d", "\U0001f600 OK\n", "x = " + "-" * 500 + "1\n",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    t = F.col("t")
+    pairs = {
+        "tokens": (tokens(t), F.regexp_extract_all(fold(t), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))),
+        "rare": (_has_rare_ends(t), t.rlike(f"[{_RARE}]")),
+        "lines": (lf_lines(t), F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, r"\n\z", ""), "\n", -1))),
+        "lower": (ascii_lower(t), F.translate(t, upper, upper.lower())),
+        "decoded": (decode_text(t.cast("binary")), F.regexp_replace(t, r"\r\n?", "\n")),
+    }
+    found = rows.select(t, *[c.alias(f"{k}_{i}") for k, both in pairs.items() for i, c in enumerate(both)]).collect()
+    for k in pairs:
+        assert [r[f"{k}_0"] for r in found] == [r[f"{k}_1"] for r in found], k
+
+
+def test_grams_fold_a_name_once(spark):
+    from codelake.operators.symbol_search import name_grams
+
+    names = ["J_1.Run", "ab", "", None, "ÀBcd", "aaaa"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", name_grams(F.col("name")).alias("grams"))
+    assert [r.grams for r in rows.collect()] == [
+        ["", "j_1", "_1.", "1.r", ".ru", "run"], [""], [""], [""], ["", "Àbc", "bcd"], ["", "aaa"],
+    ]
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "substring(lambda" in plan and "substring(translate" not in plan and "substring(CASE" not in plan

@@ -178,3 +178,14 @@ def test_grams_fold_a_name_once(spark):
     ]
     plan = rows._jdf.queryExecution().analyzed().toString()
     assert "substring(lambda" in plan and "substring(translate" not in plan and "substring(CASE" not in plan
+
+
+def test_grams_of_plain_names_by_one_expression(spark):
+    from codelake.operators.symbol_search import name_grams
+
+    names = ["", "ab", "abc", "Abcabc", "a\nb\rc", "x.y_1", "\U0001d54fabc", "\u00c4bCd", "a\U0001f600b"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", name_grams(F.col("name")).alias("grams"))
+    for r in rows.collect():
+        folded = "".join(c.lower() if c.isascii() else c for c in r.name)
+        assert r.grams == list(dict.fromkeys(["", *(folded[i : i + 3] for i in range(len(folded) - 2))]))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1

@@ -91,7 +91,7 @@ def _scored(spark, sf, *rows):
     words = M.phrase_rows(phrases(spark, *rows), stem=False)
     chunks = C.document_chunks(spark, sf)
     found = build_postings(chunks, stem=False)
-    return words, bm25(M.match_phrases(found, words), corpus_stats(chunks))
+    return words, bm25(M.written(M.match_phrases(found, words)), corpus_stats(chunks))
 
 
 @query(
@@ -153,7 +153,7 @@ def prefix(spark, sf):
     texts = phrases(spark, (0, 0, "th", True, False), (1, 0, "tion", True, False), (2, 0, "a", True, False))
     chunks = C.document_chunks(spark, sf)
     found = build_postings(chunks, stem=False)
-    matches = M.match_phrases(found, M.phrase_rows(texts, stem=False), found.select("term"))
+    matches = M.written(M.match_phrases(found, M.phrase_rows(texts, stem=False), found.select("term")))
     scored = bm25(matches, corpus_stats(chunks))
     key = ["query_id", "path", "chunk_id"]
     return matches.select(*key, "tf").join(scored.select(*key, "score"), key)

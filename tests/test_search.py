@@ -284,3 +284,21 @@ def test_names_meet_symbols_without_sending_symbols_to_the_driver(spark):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("BroadcastHashJoin") == joins and "BuildLeft" not in plan
         assert found.count() == n
+
+
+def test_postings_are_made_once_for_a_search(spark, files_of, texts):
+    """Scores need the number of chunks that hold a phrase and the chunks themselves: both read matches written once."""
+    index = index_from_files(files_of(texts), 10, stem=False)
+    asked = ("the handler", "NEAR(run the, 3)", "han* NOT cafe")
+    scored = score_text(index, parse_queries(C.requests(spark, asked)))
+    assert "inline(" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.query_id for r in scored.collect()} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("name", ("fts_05_all_words", "fts_07_not", "fts_09_prefix"))
+def test_queries_make_postings_once(spark, sf, name):
+    from codelake.plans.registered import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    # Words that must not occur are matched, plain ones and phrases, by a plan of their own.
+    assert plan.count("inline(") == (2 if name == "fts_07_not" else 0)

@@ -295,7 +295,7 @@ def test_postings_are_made_once_for_a_search(spark, files_of, texts):
     assert {r.query_id for r in scored.collect()} == {0, 1, 2}
 
 
-@pytest.mark.parametrize("name", ("fts_05_all_words", "fts_07_not", "fts_09_prefix"))
+@pytest.mark.parametrize("name", ("fts_05_all_words", "fts_07_not", "fts_09_prefix", "set_02_sides_together"))
 def test_queries_make_postings_once(spark, sf, name):
     from codelake.plans.registered import QUERIES
 

@@ -302,3 +302,18 @@ def test_queries_make_postings_once(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     # Words that must not occur are matched, plain ones and phrases, by a plan of their own.
     assert plan.count("inline(") == (2 if name == "fts_07_not" else 0)
+
+
+def test_near_is_shared_by_as_many_tasks_as_there_are_occurrences_for(spark, files_of, texts, monkeypatch):
+    words = M.phrase_rows(spark.createDataFrame([(0, 0, "run"), (0, 1, "the")], "query_id int, phrase_id int, text string"), stem=False)
+    chunks = index_from_files(files_of(texts), 10, stem=False)
+    matches = M.match_phrases(chunks.postings, words)
+    shown = ["phrase_id", "path", "chunk_id", "tf", "starts"]
+    expected = sorted(M.match_near(matches, words, 3).select(*shown).collect())
+    occurrences = matches.select(F.explode("starts")).count()
+    monkeypatch.setattr(M, "OCCURRENCES", 2)
+    near = M.match_near(matches, words, 3)
+    tasks = -(-occurrences // 2)
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f"], {tasks}\n" in near._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(near.select(*shown).collect()) == expected and expected

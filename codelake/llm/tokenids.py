@@ -9,6 +9,7 @@ token's id. With `ordinary` they are read as any other text: a document cannot w
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,12 +24,14 @@ WIDE_BLANK_LEADS = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 ASCII_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 LATIN_LETTER = np.isin(np.arange(256), [b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)])  # after a byte 0xC3
 ASCII_MARK = np.isin(np.arange(256), [b for b in b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"])  # not the apostrophe
+TOGETHER = 512 << 10  # bytes of text whose pieces are looked up together
+LONG = 200  # bytes of a piece that is encoded by the tokenizer's own call
 
 _encoders: dict[tuple[str, int, bool], "Encoder"] = {}
 
 
 def encoder(path: str, remembered: int = 300_000, ordinary: bool = False) -> "Encoder":
-    """One encoder per Python worker; it remembers at most so many distinct pieces and then starts over."""
+    """One encoder per Python worker; it remembers at most so many distinct pieces, and of a full table the half met last."""
     key = (path, remembered, ordinary)
     if key not in _encoders:
         _encoders[key] = Encoder(path, remembered, ordinary)
@@ -60,13 +63,21 @@ class Encoder:
             self.shown = {b: shown.get(b, chr(b)) for b in range(256)}
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used = np.zeros(4096, np.uint32), 0
+        self.keys = np.zeros(0, np.uint64)  # in order; beside them where a piece's ids begin, their number, and when it was last met
+        self.begin, self.size, self.met = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat, self.turn = np.zeros(0, np.uint32), 0
+
+    def _keep_latest(self, number: int) -> None:
+        """Forget the pieces met longest ago, all but at most so many, and none of those met in this turn."""
+        limit = np.partition(self.met, -number)[-number] if 0 < number < len(self.met) else self.turn
+        kept = (self.met > limit) | (self.met == self.turn)
+        self.flat = self.flat[ranges(self.begin[kept], self.size[kept])]
+        self.keys, self.size, self.met = self.keys[kept], self.size[kept], self.met[kept]
+        self.begin = np.cumsum(self.size) - self.size
 
     def _ids(self, raw: bytes) -> list[int]:
         text = raw.decode("utf-8", "replace")
-        if len(raw) > 200:
+        if len(raw) > LONG:
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         if text[text[0] == " " :].isalpha():  # the common case needs no splitting
             return [t.id for t in self.tokenizer.model.tokenize(raw.decode("latin-1").translate(self.shown))]
@@ -75,19 +86,27 @@ class Encoder:
             out += [t.id for t in self.tokenizer.model.tokenize(piece)]
         return out
 
-    def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
-        new = [self._ids(p) for p in pieces]
-        n, size = len(self.slots), np.fromiter(map(len, new), np.int64, len(new))
-        flat = np.fromiter((i for ids in new for i in ids), np.uint32, int(size.sum()))
-        while n + len(new) > len(self.begin):
-            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.begin[n : n + len(new)] = self.used + np.cumsum(size) - size
-        self.size[n : n + len(new)] = size
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.slots.update(zip(keys, range(n, n + len(new)), strict=True))
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encode the pieces data[start:end] and remember them."""
+        width = ends - starts
+        text = data[ranges(starts, width)]
+        stop = np.cumsum(width)
+        other = ~ASCII_LETTER[text]
+        other[stop - width] &= text[stop - width] != 32
+        plain = ~np.logical_or.reduceat(other, stop - width) & (width <= LONG)
+        # Letters after a blank at most, the common case, need no splitting; a byte is shown as one character.
+        raw = text.tobytes()
+        shown, tokenize = raw.decode("latin-1").replace(" ", self.shown[32]), self.tokenizer.model.tokenize
+        spans = zip((stop - width).tolist(), stop.tolist(), plain.tolist(), strict=True)
+        new = [[t.id for t in tokenize(shown[a:b])] if easy else self._ids(raw[a:b]) for a, b, easy in spans]
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        flat = np.fromiter(chain.from_iterable(new), np.uint32, int(size.sum()))
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.keys, self.begin = np.insert(self.keys, at, keys[order]), np.insert(self.begin, at, begin[order])
+        self.size, self.met = np.insert(self.size, at, size[order]), np.insert(self.met, at, self.turn)
+        self.flat = np.concatenate([self.flat, flat])
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         before, here = data[:-1], data[1:]
@@ -108,18 +127,20 @@ class Encoder:
         starts = self._cuts(data, offsets)
         ends = np.append(starts[1:], len(data))
         back, keys = pd.factorize(span_hashes(data, starts, ends))
-        first = np.zeros(len(keys), np.int64)
-        first[back[::-1]] = np.arange(len(back))[::-1]
-        listed = keys.tolist()
-        missing = [i for i, k in enumerate(listed) if k not in self.slots]
-        if missing and len(self.slots) + len(missing) > self.remembered:
-            self._forget()
-            missing = list(range(len(listed)))
-        if missing:
-            raw = data.tobytes()
-            spans = zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)
-            self._learn([listed[i] for i in missing], [raw[s:e] for s, e in spans])
-        slot = np.fromiter(map(self.slots.__getitem__, listed), np.int64, len(listed))[back]
+        self.turn += 1
+        slot = np.searchsorted(self.keys, keys)
+        known = slot < len(self.keys)
+        known[known] = self.keys[slot[known]] == keys[known]
+        self.met[slot[known]] = self.turn
+        if not known.all():
+            missing = np.flatnonzero(~known)
+            if len(self.keys) + len(missing) > self.remembered:
+                self._keep_latest(self.remembered // 2)
+            first = np.zeros(len(keys), np.int64)
+            first[back[::-1]] = np.arange(len(back))[::-1]
+            self._learn(keys[missing], data, starts[first[missing]], ends[first[missing]])
+            slot = np.searchsorted(self.keys, keys)
+        slot = slot[back]
         size = self.size[slot]
         ids = self.flat[ranges(self.begin[slot], size)]
         upto = np.concatenate(([0], np.cumsum(size)))
@@ -135,7 +156,7 @@ class Encoder:
             return self._mixed(column, spelled)
         data, offsets = utf8(column)
         done = [
-            self._block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in blocks(offsets)
+            self._block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in blocks(offsets, TOGETHER)
         ]
         if not done:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import struct
+import tracemalloc
 from pathlib import Path
 
 import brute
@@ -48,6 +49,29 @@ def test_forgetting_changes_no_id():
         assert ids.tolist() == [i for x in brute.ids_of(part) for i in x[:-1]]
 
 
+def test_pieces_met_last_stay_remembered():
+    small = Encoder(brute.VOCABULARY, remembered=100)
+    learned = []
+    learn = small._learn
+    small._learn = lambda keys, *others: (learned.append(len(keys)), learn(keys, *others))
+    for i in range(20):
+        small.encode(pa.array([" ".join(["often", *(f"other{j}" for j in range(20)), *(f"new{i}x{j}" for j in range(10))])]))
+        assert len(small.keys) <= 100 and len(small.flat) == small.size.sum()
+    assert learned == [31, *[10] * 19]
+
+
+def test_a_worker_holds_little_while_it_encodes():
+    texts = pa.array([" ".join(f"w{i}x{j % 50}" for j in range(400)) for i in range(700)])
+    known = encoder(brute.VOCABULARY)
+    known.encode(texts)
+    tracemalloc.start()
+    ids, sizes = known.encode(texts)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert int(sizes.sum()) == len(ids) > 500_000
+    assert held < 24 << 20, held
+
+
 def plain_crc32c(data):
     crc = 0xFFFFFFFF
     for byte in data:

@@ -35,10 +35,11 @@ def joined(rows: DataFrame, named: DataFrame, key: str, how: str = "inner", salt
     """`rows` with the columns of `named`, which has one row per key, while any share of `rows` may have one key.
 
     `named` is broadcast if it was counted to be small; else every row of it is given `salts` times, and the rows of a
-    key are dealt over so many tasks.
+    key are dealt over so many tasks. Spark would size the copies as if each row were given once, so they are named a
+    merge join: a table of some 200,000 rows is below its threshold, and its copies do not fit the driver.
     """
     if named.count() <= 200_000:
         return rows.join(F.broadcast(named), key, how)
     salted = rows.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
     copies = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [key, "_salt"], how).drop("_salt")

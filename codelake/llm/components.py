@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelake.llm.scratch import stored
+from codelake.llm.scratch import small, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,18 +23,18 @@ def components(edges: DataFrame) -> DataFrame:
         )
         while True:  # chains get half as long each time
             up = parent.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            jumped = stored(parent.join(up, "p").select("v", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")), "parents")
+            jumped = stored(parent.join(small(up), "p").select("v", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")), "parents")
             moved = not jumped.filter("moved").isEmpty()
             parent = jumped.select("v", "p")
             if not moved:
                 break
         labels = stored(
-            labels.join(parent.withColumnRenamed("v", "label"), "label", "left").select("v", F.coalesce("p", "label").alias("label")),
+            labels.join(small(parent.withColumnRenamed("v", "label")), "label", "left").select("v", F.coalesce("p", "label").alias("label")),
             "labels",
         )
         a, b = (parent.select(F.col("v").alias(c), F.col("p").alias(f"p{c}")) for c in "ab")
         links = stored(
-            links.join(a, "a").join(b, "b").filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(),
+            links.join(small(a), "a").join(small(b), "b").filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(),
             "edges",
         )
     return labels

@@ -288,12 +288,12 @@ def groups(
     pivots = stored(
         spread.groupBy("bucket").agg(F.min("class").alias("pivot"), F.count("*").alias("size")).filter("size > 1"), "pivots"
     )
-    inside = stored(spread.join(pivots, "bucket"), "members")  # buckets of one are gone
+    inside = stored(spread.join(small(pivots), "bucket"), "members")  # buckets of one are gone
     star = inside.filter("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
     links = verified(docs, stored(with_estimates(star, classes, least), "pairs"), classes, words, least)
     labels = components(links)
 
-    known = inside.filter("size > 2").select("bucket", "class", "n").join(labels.withColumnRenamed("v", "class"), "class", "left")
+    known = inside.filter("size > 2").select("bucket", "class", "n").join(small(labels.withColumnRenamed("v", "class")), "class", "left")
     known = stored(known.withColumn("label", F.coalesce("label", "class")), "labelled")
     # Members outside their bucket's largest component ask; a bucket of one component is done.
     by_label = known.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum(8 * F.col("n") + REGISTERS).alias("bytes"))
@@ -304,16 +304,17 @@ def groups(
         "bucket", "size", "bytes", (F.col("size") - F.col("most.n")).alias("lefts"),
         (F.col("bytes") - F.col("most.bytes")).alias("left_bytes"), F.col("most.label").alias("main"),
     )
-    members = known.join(stored(open_buckets, "open"), "bucket").withColumn("left", F.col("label") != F.col("main"))
+    members = known.join(small(stored(open_buckets, "open")), "bucket").withColumn("left", F.col("label") != F.col("main"))
     members = stored(members.drop("main"), "askers")
     asked = classes.join(members.select("class").distinct(), "class")
     sets = full_sets(docs, asked.select("class", "text_hash", "n", "f1", "f2"), words)
-    members = members.join(asked.select("class", "sketch"), "class").join(sets, "class")
+    # Repeats in members are written in little space, so Spark would take it to be small.
+    members = members.join(asked.select("class", "sketch").hint("merge"), "class").join(sets.hint("merge"), "class")
     more = stored(across(members, least).distinct(), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    merged = classes.join(labels.withColumnRenamed("v", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    merged = classes.join(small(labels.withColumnRenamed("v", "class")), "class", "left").withColumn("label", F.coalesce("label", "class"))
     tops = stored(merged.groupBy("label").agg(F.min("top").alias("first")), "tops")
     named = stored(
         joined(merged, tops, "label").select("n", "f1", "f2", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row")),
@@ -322,7 +323,7 @@ def groups(
     empty = sketched.filter("n = 0").select(
         "row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("row").alias("first_row")
     )
-    full = sketched.filter("n > 0").join(named, ["n", "f1", "f2"])
+    full = sketched.filter("n > 0").join(small(named), ["n", "f1", "f2"])
     return full.select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id", "first_row").unionByName(empty)
 
 

@@ -22,8 +22,12 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 
 
 def small(frame: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A written table, marked for broadcast if it has at most so many rows; else Spark shuffles."""
-    return F.broadcast(frame) if frame.count() <= rows else frame
+    """A written table, marked for broadcast if it has at most so many rows, else for a merge join on equal keys.
+
+    Without a mark Spark may broadcast either side by the size of its files, which says little of rows that were
+    compressed well or are exploded on their way to the join.
+    """
+    return F.broadcast(frame) if frame.count() <= rows else frame.hint("merge")
 
 
 def whole(frame: DataFrame) -> Column:

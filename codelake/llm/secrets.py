@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelake.llm.scratch import stored, whole
+from codelake.llm.scratch import small, stored, whole
 
 SCOPE = 200
 KINDS = ("assign", "access", "hex", "ident", "value", "endpoint")
@@ -102,7 +102,7 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
         return F.explode(F.sequence(low, F.floor((F.col("end") + reach) / scope))).alias("bin")
 
     a = spread.filter(F.col("kind").isin(weak)).select("row", "kind", "start", "end", "role", bins(scope)).alias("a")
-    b = spread.select("row", "start", "end", "role", bins(0)).alias("b")
+    b = small(spread.select("row", "start", "end", "role", bins(0)).alias("b"))
     near = a.join(
         b,
         (F.col("a.row") == F.col("b.row")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.role") != F.col("b.role"))
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int
         linked(found, scope).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more")), "linked"
     )
     base = F.filter("parts", lambda p: p["kind"].isin(*BASE))
-    rows = found.select("row", "doc_id", base.alias("found")).join(more, "row", "left")
+    rows = found.select("row", "doc_id", base.alias("found")).join(small(more), "row", "left")
     added = F.coalesce("more", F.array().cast("array<struct<kind string, start int, end int>>"))
     return rows.select(
         "row", "doc_id",
@@ -170,7 +170,7 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
             done = max(done, s["end"])
         return "".join([*out, text[done:]])
 
-    both = keyed.join(found, "key", "left").withColumn(
+    both = keyed.join(small(found), "key", "left").withColumn(
         "text", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(replaced("row.text", "spans"))
     )
     changed = {"text": F.col("text")}
